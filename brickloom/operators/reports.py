@@ -105,7 +105,7 @@ def review_payload(name, source, confidence, level_1, level_2, level_3, notes) -
 
 def tag_list(tags: Column, n: int = 8) -> Column:
     """Trimmed non-empty tags, the first ``n``."""
-    return F.slice(F.filter(F.transform(F.split(tags, ","), F.trim), lambda t: t != ""), 1, n)
+    return F.slice(F.filter(F.transform(F.split(tags, ","), lambda t: F.trim(t)), lambda t: t != ""), 1, n)
 
 
 def validate_taxonomy(responses: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
 """Imports every query module so that the registry is complete."""
 
-from brickloom.plans import assembly_queries, catalog_queries  # noqa: F401
+from brickloom.plans import assembly_queries, catalog_queries, sequence_queries  # noqa: F401
 from brickloom.plans.registry import ORACLES, QUERIES  # noqa: F401
