@@ -56,9 +56,8 @@ def skip_synthetic(df: DataFrame, name: str = "assembly_id") -> DataFrame:
 
 def prefer_synthetic(df: DataFrame, name: str = "assembly_id") -> DataFrame:
     """Only the synthetic assemblies when there are any, else all."""
-    hit = F.col(name).startswith("9999")
-    any_hit = df.agg(F.max(hit).alias("_any"))
-    return df.crossJoin(F.broadcast(any_hit)).filter(hit | ~F.coalesce("_any", F.lit(False))).drop("_any")
+    synthetic = df.filter(F.col(name).startswith("9999"))
+    return df if synthetic.isEmpty() else synthetic
 
 
 # Words that route a set to a theme subset.

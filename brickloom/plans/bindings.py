@@ -117,3 +117,8 @@ touch AS (
   FROM studs a JOIN sockets b ON a.assembly_id = b.assembly_id AND a.owner <> b.owner
    AND (a.ax-b.ax)*(a.ax-b.ax) + (a.ay-b.ay)*(a.ay-b.ay) + (a.az-b.az)*(a.az-b.az) < 1.0
   WHERE abs(a.max_y - b.min_y) < 2.0 OR abs(b.max_y - a.min_y) < 2.0)"""
+
+
+def numbered_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items with their position ``pi`` in the order."""
+    return ordinal(table(spark, sf, "lineitem"), ["l_orderkey"], LINE_ORDER, "pi")

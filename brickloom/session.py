@@ -7,7 +7,6 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 MAX_GROUP_ROWS = 1_000_000
-BROADCAST_ROWS = 200_000
 
 
 def max_group_rows(spark: SparkSession) -> int:
