@@ -227,7 +227,10 @@ def snap_stack(parts: DataFrame) -> DataFrame:
     """
     df = scan(_sized(parts), ["assembly_id"], ["part_index"], sums={"_top": F.col("h")},
               lags={"_px": F.col("_nx"), "_pz": F.col("_nz")})
-    moves = {f"_d{a}": F.coalesce(_odd_shift(F.col(f"_n{a}"), F.col(f"_p{a}")), F.lit(0.0)) for a in "xz"}
+    moves = {
+        f"_d{a}": F.when(F.col(f"_p{a}").isNull(), 0.0).otherwise(_odd_shift(F.col(f"_n{a}"), F.col(f"_p{a}")))
+        for a in "xz"
+    }
     df = scan(df.withColumns(moves), ["assembly_id"], ["part_index"], sums={"_x": F.col("_dx"), "_z": F.col("_dz")})
     return df.select("assembly_id", "part_index", "part_id", "color", "step_id", (F.col("_x") + 10.0).alias("x"),
                      (F.col("h") - F.col("_top")).alias("y"), (F.col("_z") + 10.0).alias("z"))

@@ -1,4 +1,11 @@
 """Imports every query module so that the registry is complete."""
 
-from brickloom.plans import assembly_queries, catalog_queries, sequence_queries, source_queries  # noqa: F401
+from brickloom.plans import (  # noqa: F401
+    assembly_queries,
+    catalog_queries,
+    construct_queries,
+    sequence_queries,
+    source_queries,
+    stream_queries,
+)
 from brickloom.plans.registry import ORACLES, QUERIES  # noqa: F401
