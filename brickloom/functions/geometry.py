@@ -125,8 +125,25 @@ def world_bounds(df: DataFrame) -> DataFrame:
 
 
 def solids(df: DataFrame) -> DataFrame:
-    """part_id + transform -> dims, scalar pose and world bounds."""
-    return world_bounds(unpack(with_dims(df)))
+    """part_id + transform -> dims, stud counts, scalar pose, world bounds and whether it is rigid."""
+    body = world_bounds(unpack(with_dims(df)))
+    tests = []
+    for i in range(3):
+        for j in range(i, 3):
+            dot = _dot([F.col(f"r{k}{i}") * F.col(f"r{k}{j}") for k in range(3)])
+            tests.append(F.abs(dot - (1.0 if i == j else 0.0)) < 1e-3)
+    rigid = tests[0]
+    for test in tests[1:]:
+        rigid = rigid & test
+    return body.withColumns({"nx": stud_count("w"), "nz": stud_count("d"), "rigid": rigid})
+
+
+def stud_count(side: str) -> Column:
+    return F.greatest(F.lit(1), F.rint(F.col(side) / STUD).cast("int"))
+
+
+# the columns that pair tests on solids need
+SHAPE = ["h", "nx", "nz", "rigid", *[f"r{i}{j}" for i in range(3) for j in range(3)], "x", "y", "z"]
 
 
 def anchors(df: DataFrame, kind: str, keep: list[str], first: int | None = None) -> DataFrame:
@@ -134,8 +151,7 @@ def anchors(df: DataFrame, kind: str, keep: list[str], first: int | None = None)
 
     ``first`` keeps only the leading anchors, for operators defined on those.
     """
-    n = F.greatest(F.lit(1), F.rint(F.col("w") / STUD).cast("int"))
-    m = F.greatest(F.lit(1), F.rint(F.col("d") / STUD).cast("int"))
+    n, m = stud_count("w"), stud_count("d")
     last = n * m - 1 if first is None else F.least(n * m - 1, F.lit(first - 1))
     grid = df.withColumns({"_n": n, "_m": m, "anchor_idx": F.explode(F.sequence(F.lit(0), last))})
     i = F.floor(F.col("anchor_idx") / F.col("_m"))

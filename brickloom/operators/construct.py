@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from brickloom.functions.geometry import (
     anchors, identity, solids, transform_from, with_dims, yaw_rotation,
 )
+from brickloom.operators.grouped import map_groups
 from brickloom.operators.scans import first_per_key, ordinal, scan, top_per_key
 from brickloom.operators.spatial import blocked_pairs, placement_check, placement_members, placements
 from brickloom.session import durable
@@ -141,7 +142,8 @@ def candidate_placements(state: DataFrame, candidates: DataFrame) -> DataFrame:
 def valid_placements(state: DataFrame, placed: DataFrame) -> DataFrame:
     """Candidates that pass the placement check, with a stable id per assembly."""
     numbered = durable(placed.withColumn("candidate_id", F.xxhash64("part_id", "transform")))
-    return placement_check(state, numbered).filter("valid").drop("valid")
+    # they hang on an anchor by construction, so only collisions are left to check
+    return placement_check(state, numbered, anchored=True).filter("valid").drop("valid")
 
 
 def part_signature(part: Column, color: Column, transform: Column) -> Column:
@@ -278,25 +280,22 @@ def snap_search(parts: DataFrame) -> DataFrame:
 
 # --- disassembly ----------------------------------------------------------------------------------
 
-_ORDER_SCHEMA = "assembly_id {key}, part_index int, remove_no int"
+_EDGES = [f"{e}_{a}" for a in "xyz" for e in ("min", "max")]
 
 
-def _peel(group: pd.DataFrame) -> pd.DataFrame:
-    """Removal order of one small assembly: free parts first in, first out; the highest when stuck."""
-    group = group.sort_values("part_index", ignore_index=True)
-    lo, hi = {}, {}
-    for a in "xyz":
-        lo[a], hi[a] = group[f"min_{a}"].to_numpy(), group[f"max_{a}"].to_numpy()
-    under = np.ones((len(group), len(group)), dtype=bool)
-    for a in "xz":
-        under &= (lo[a][:, None] - 0.1 <= hi[a][None, :]) & (hi[a][:, None] + 0.1 >= lo[a][None, :])
-    under &= lo["y"][None, :] < hi["y"][:, None] - 0.1  # [part, blocker]
+def _peel(box: np.ndarray, mean_y: np.ndarray) -> list[int]:
+    """Removal order of one small assembly (rows in list order): free parts first in, first out; the
+    highest when stuck. box columns: min and max of x, y, z."""
+    lo_x, hi_x, lo_y, hi_y, lo_z, hi_z = box.T
+    under = lo_y[None, :] < hi_y[:, None] - 0.1  # [part, blocker]
+    for lo, hi in ((lo_x, hi_x), (lo_z, hi_z)):
+        under &= (lo[:, None] - 0.1 <= hi[None, :]) & (hi[:, None] + 0.1 >= lo[None, :])
     np.fill_diagonal(under, False)
     waiting = under.sum(axis=1)
-    gone = np.zeros(len(group), dtype=bool)
-    high = np.lexsort((group["part_index"], group["mean_y"]))
-    queue, order, at = list(np.flatnonzero(waiting == 0)), [], 0
-    while len(order) < len(group):
+    gone = np.zeros(len(box), dtype=bool)
+    high = iter(np.argsort(mean_y, kind="stable").tolist())
+    queue, order, at = np.flatnonzero(waiting == 0).tolist(), [], 0
+    while len(order) < len(box):
         if at == len(queue):
             queue.append(next(i for i in high if not gone[i]))
         part = queue[at]
@@ -307,14 +306,18 @@ def _peel(group: pd.DataFrame) -> pd.DataFrame:
         order.append(part)
         freed = np.flatnonzero(under[:, part] & ~gone)
         waiting[freed] -= 1
-        queue.extend(freed[waiting[freed] <= 0])
-    return pd.DataFrame(
-        {
-            "assembly_id": group["assembly_id"].iloc[0],
-            "part_index": group["part_index"].to_numpy()[order],
-            "remove_no": np.arange(len(order), dtype=np.int32),
-        }
-    )
+        queue.extend(freed[waiting[freed] <= 0].tolist())
+    return order
+
+
+def _peel_frame(frame: pd.DataFrame) -> pd.DataFrame:
+    starts = np.flatnonzero(frame["assembly_id"].ne(frame["assembly_id"].shift()).to_numpy())
+    box, mean_y = frame[_EDGES].to_numpy(), frame["mean_y"].to_numpy()
+    number = np.empty(len(frame), dtype=np.int32)
+    for lo, hi in zip(starts, [*starts[1:], len(frame)]):
+        order = _peel(box[lo:hi], mean_y[lo:hi])
+        number[lo + np.array(order)] = np.arange(hi - lo)
+    return pd.DataFrame({"assembly_id": frame["assembly_id"], "part_index": frame["part_index"], "remove_no": number})
 
 
 def disassembly_order(parts: DataFrame, small: int = 2000) -> DataFrame:
@@ -323,10 +326,9 @@ def disassembly_order(parts: DataFrame, small: int = 2000) -> DataFrame:
     sizes = parts.groupBy("assembly_id").agg(F.count(F.lit(1)).alias("n_parts"))
     sized = parts.join(sizes, "assembly_id")
     body = solids(sized.select("assembly_id", "part_index", "part_id", "transform", "n_parts"))
-    tight = body.filter(F.col("n_parts") <= small).select(
-        "assembly_id", "part_index", "mean_y", *[f"{e}_{a}" for e in ("min", "max") for a in "xyz"]
-    )
-    order = tight.groupBy("assembly_id").applyInPandas(_peel, _ORDER_SCHEMA.format(key=key))
+    tight = body.filter(F.col("n_parts") <= small).select("assembly_id", "part_index", "mean_y", *_EDGES)
+    schema = f"assembly_id {key}, part_index int, remove_no int"
+    order = map_groups(tight, "assembly_id", ["part_index"], _peel_frame, schema)
     large = sized.filter(F.col("n_parts") > small).drop("n_parts")
     if not large.isEmpty():
         order = order.unionByName(_peel_rounds(large))

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brickloom.functions.geometry import solids, unpack, with_dims
+from brickloom.functions.geometry import SHAPE, unpack, with_dims
 from brickloom.lookups import CABIN_PARTS, WHEEL_PARTS
 from brickloom.operators.graph import gravity_check
 from brickloom.operators.mirror import mirror_match
-from brickloom.operators.spatial import PLACING, near_anchors, placements
+from brickloom.operators.spatial import PLACING, anchor_hits, bodies, box_pairs, placements
 
 
 def com_stable(parts: DataFrame) -> DataFrame:
@@ -38,18 +38,17 @@ def com_stable(parts: DataFrame) -> DataFrame:
 def interlock_score(parts: DataFrame) -> DataFrame:
     """Parts whose sockets meet studs of two or more parts exactly one level below."""
     level = (F.rint(F.col("y") / 24.0) * 24).cast("int")
-    body = solids(placements(parts)).withColumn("level", level)
-    keep = ["owner", "copies", "level"]
+    body = bodies(parts).withColumn("level", level)
+    near = box_pairs(body, body, ["owner", "copies", "level", *SHAPE], pad=PLACING).filter("a_level = b_level + 24")
     held = (
-        near_anchors(body, body, PLACING, keep)
-        .filter("s_level = k_level + 24")
-        .select("assembly_id", "s_owner", "s_copies", "k_owner", "k_copies")
+        anchor_hits(near, "a_", "b_", PLACING, ["assembly_id", "a_owner", "a_copies", "b_owner", "b_copies"])
+        .drop("stud_idx", "socket_idx")
         .distinct()
-        .groupBy("assembly_id", "k_owner", "k_copies")
-        .agg(F.sum("s_copies").alias("below"))
+        .groupBy("assembly_id", "b_owner", "b_copies")
+        .agg(F.sum("a_copies").alias("below"))
         .filter("below >= 2")
         .groupBy("assembly_id")
-        .agg(F.sum("k_copies").alias("score"))
+        .agg(F.sum("b_copies").alias("score"))
     )
     sizes = parts.groupBy("assembly_id").agg(F.count(F.lit(1)).alias("n"))
     return sizes.join(held, "assembly_id", "left").select(

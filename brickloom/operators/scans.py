@@ -139,3 +139,12 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int, ran
 
 def all_of(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, columns)
+
+
+def opaque(condition: Column) -> Column:
+    """A filter on computed geometry as one unit.
+
+    Left bare, every conjunct becomes a constraint that the optimizer rewrites for each alias above
+    it, which takes seconds of planning on wide pose columns and never prunes anything here.
+    """
+    return F.coalesce(condition, F.lit(False))

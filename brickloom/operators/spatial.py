@@ -12,18 +12,18 @@ from pyspark.sql import functions as F
 
 from brickloom.functions.geometry import (
     BOX,
-    anchors,
+    SHAPE,
+    STUD,
     relative_matrix,
     relative_transform,
     solids,
 )
-from brickloom.operators.scans import all_of, first_per_key
+from brickloom.operators.scans import all_of, first_per_key, opaque
+from brickloom.session import durable
 
 CONTACT = 1.0
 PLACING = 5.0
-_CELL = {"x": 20.0, "y": 24.0, "z": 20.0}
-_SHIFT = {"x": 5.0, "y": 4.0, "z": 5.0}
-_BOX_CELL = 80.0
+_CELL = {"x": 60.0, "y": 24.0, "z": 60.0}
 
 
 def placements(parts: DataFrame) -> DataFrame:
@@ -33,6 +33,18 @@ def placements(parts: DataFrame) -> DataFrame:
     )
 
 
+SMALL = 48
+
+
+def bodies(parts: DataFrame) -> DataFrame:
+    """Placements as solids, with ``crowd``: the number of parts in their assembly.
+
+    Stored once, since every pair join reads it at least twice.
+    """
+    sizes = parts.groupBy("assembly_id").agg(F.count(F.lit(1)).alias("crowd"))
+    return durable(solids(placements(parts).join(sizes, "assembly_id")))
+
+
 def placement_members(parts: DataFrame, places: DataFrame | None = None) -> DataFrame:
     """assembly_id, owner, part_index for every part."""
     places = placements(parts) if places is None else places
@@ -42,35 +54,37 @@ def placement_members(parts: DataFrame, places: DataFrame | None = None) -> Data
     ).select("assembly_id", "owner", "part_index")
 
 
-def _cells(axis: str, reach: float) -> Column:
-    """Cells that a point grown by ``reach`` can touch: one, or two at a cell border."""
-    at = F.col(f"a{axis}") + _SHIFT[axis]
-    low, high = (F.floor((at + d) / _CELL[axis]) for d in (-reach, reach))
-    return F.sequence(low, high)
+def anchor_hits(pairs: DataFrame, stud: str, socket: str, reach: float, keep: list[str]) -> DataFrame:
+    """Stud/socket meetings within pairs of solids: ``keep`` plus stud_idx, socket_idx.
 
+    ``stud`` and ``socket`` are the column prefixes of both solids. Only the studs are listed. Sockets
+    lie on a 20-unit grid, so in the socket solid's own frame the one within ``reach`` (at most 5) is
+    the rounded grid point; distorted poses try every socket.
+    """
+    p, k = (lambda c: F.col(f"{stud}{c}")), (lambda c: F.col(f"{socket}{c}"))
+    rows = pairs.withColumn("stud_idx", F.explode(F.sequence(F.lit(0), p("nx") * p("nz") - 1)))
 
-def near_anchors(
-    stud_side: DataFrame, socket_side: DataFrame, reach: float, keep: list[str], first: int | None = None
-) -> DataFrame:
-    """Stud/socket pairs of one assembly closer than ``reach``.
+    def spot(q, index: Column, height: Column) -> list[Column]:
+        lx = STUD * F.floor(index / q("nz")) - 10.0 * (q("nx") - 1)
+        lz = STUD * (index % q("nz")) - 10.0 * (q("nz") - 1)
+        return [q(f"r{i}0") * lx + q(f"r{i}1") * height + q(f"r{i}2") * lz + q(a) for i, a in enumerate("xyz")]
 
-    Columns of the stud side get the prefix ``s_``, of the socket side ``k_``.
-    """
-    studs = anchors(stud_side, "stud", ["assembly_id", *keep], first)
-    for axis in "xyz":
-        studs = studs.withColumn(f"g{axis}", F.explode(_cells(axis, reach)))
-    sockets = anchors(socket_side, "socket", ["assembly_id", *keep], first).withColumns(
-        {f"g{a}": F.floor((F.col(f"a{a}") + _SHIFT[a]) / _CELL[a]) for a in "xyz"}
-    )
-    joint = ["assembly_id", "gx", "gy", "gz"]
-    named = [*keep, "anchor_idx", "ax", "ay", "az"]
-    left = studs.select(*joint, *[F.col(c).alias(f"s_{c}") for c in named])
-    right = sockets.select(*joint, *[F.col(c).alias(f"k_{c}") for c in named])
-    gap = sum(
-        ((F.col(f"s_a{a}") - F.col(f"k_a{a}")) * (F.col(f"s_a{a}") - F.col(f"k_a{a}")) for a in "xyz"),
-        F.lit(0.0),
-    )
-    return left.join(right, joint).filter(gap < reach * reach).drop("gx", "gy", "gz")
+    rows = rows.withColumns(dict(zip(("_ax", "_ay", "_az"), spot(p, F.col("stud_idx"), -p("h")))))
+
+    def grid(axis: int, count: Column) -> Column:
+        local = sum((k(f"r{i}{axis}") * (F.col(f"_a{a}") - k(a)) for i, a in enumerate("xyz")), F.lit(0.0))
+        at = F.rint((local + 10.0 * (count - 1)) / STUD)
+        return F.greatest(F.lit(0.0), F.least(at, count - 1.0)).cast("int")
+
+    nearest = grid(0, k("nx")) * k("nz") + grid(2, k("nz"))
+    every = F.sequence(F.lit(0), k("nx") * k("nz") - 1)
+    tried = F.when(k("rigid"), F.array(nearest)).otherwise(every)
+
+    def meets(index: Column) -> Column:
+        gap = [F.col(f"_a{a}") - v for a, v in zip("xyz", spot(k, index, F.lit(0.0)))]
+        return gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2] < reach * reach
+
+    return rows.select(*keep, "stud_idx", F.explode(F.filter(tried, meets)).alias("socket_idx"))
 
 
 def _vertical_touch(p: str, q: str, slack: float = 2.0) -> Column:
@@ -84,22 +98,22 @@ def contact_pairs(parts: DataFrame) -> DataFrame:
 
     part_a < part_b are the first part indexes of both placements.
     """
-    body = solids(placements(parts))
+    body = bodies(parts)
     return _contacts(body)
 
 
 def _contacts(body: DataFrame) -> DataFrame:
-    keep = ["owner", "copies", "min_y", "max_y"]
-    hits = near_anchors(body, body, CONTACT, keep).filter(
-        (F.col("s_owner") != F.col("k_owner")) & _vertical_touch("s_", "k_")
+    near = box_pairs(body, body, ["owner", "copies", *SHAPE], pad=CONTACT).filter(
+        opaque((F.col("a_owner") != F.col("b_owner")) & _vertical_touch("a_", "b_"))
     )
-    forward = F.col("s_owner") < F.col("k_owner")
-    return hits.select(
+    owners = ["assembly_id", "a_owner", "b_owner", "a_copies", "b_copies"]
+    forward = F.col("a_owner") < F.col("b_owner")
+    return anchor_hits(near, "a_", "b_", CONTACT, owners).select(
         "assembly_id",
-        F.least("s_owner", "k_owner").alias("part_a"),
-        F.greatest("s_owner", "k_owner").alias("part_b"),
-        F.when(forward, F.col("s_copies")).otherwise(F.col("k_copies")).alias("copies_a"),
-        F.when(forward, F.col("k_copies")).otherwise(F.col("s_copies")).alias("copies_b"),
+        F.least("a_owner", "b_owner").alias("part_a"),
+        F.greatest("a_owner", "b_owner").alias("part_b"),
+        F.when(forward, F.col("a_copies")).otherwise(F.col("b_copies")).alias("copies_a"),
+        F.when(forward, F.col("b_copies")).otherwise(F.col("a_copies")).alias("copies_b"),
     ).distinct()
 
 
@@ -138,30 +152,38 @@ def contact_edges_directed(parts: DataFrame) -> DataFrame:
 
 
 def box_pairs(a: DataFrame, b: DataFrame, keep: list[str], axes: str = "xyz", pad: float = 0.0) -> DataFrame:
-    """Pairs of one assembly whose boxes (grown by ``pad``) overlap on ``axes``.
+    """Pairs of one assembly whose boxes (grown by ``pad``) overlap on ``axes``. Prefixes: ``a_``, ``b_``.
 
-    Each box goes to every cell it covers; a pair is kept only in the cell that holds the lower
-    corner of the overlap, so no later distinct is needed. Prefixes: ``a_`` and ``b_``.
+    Assemblies with few parts (``crowd``) meet on the assembly alone, which needs no further shuffle
+    and has a fixed bound on pairs. In larger ones each box goes to every cell it covers; a pair is
+    kept only in the cell that holds the lower corner of the overlap, so no distinct is needed.
     """
+    named = list(dict.fromkeys([*keep, *BOX]))
+    tests, corners = [], []
+    for axis in axes:
+        low, high = F.col(f"a_min_{axis}") - pad, F.col(f"a_max_{axis}") + pad
+        tests += [low <= F.col(f"b_max_{axis}"), high >= F.col(f"b_min_{axis}")]
+        corners.append(F.floor(F.greatest(low, F.col(f"b_min_{axis}")) / _CELL[axis]) == F.col(f"g{axis}"))
+
+    def side(df, prefix, extra=()):
+        return df.select("assembly_id", *extra, *[F.col(c).alias(f"{prefix}{c}") for c in named])
+
+    few, many = F.col("crowd") <= SMALL, F.col("crowd") > SMALL
+    near = side(a.filter(few), "a_").join(side(b.filter(few), "b_"), "assembly_id").filter(opaque(all_of(tests)))
 
     def spread(df, grow):
         for axis in axes:
-            low = F.floor((F.col(f"min_{axis}") - grow) / _BOX_CELL)
-            high = F.floor((F.col(f"max_{axis}") + grow) / _BOX_CELL)
+            low = F.floor((F.col(f"min_{axis}") - grow) / _CELL[axis])
+            high = F.floor((F.col(f"max_{axis}") + grow) / _CELL[axis])
             df = df.withColumn(f"g{axis}", F.explode(F.sequence(low, high)))
         return df
 
-    joint = ["assembly_id", *[f"g{axis}" for axis in axes]]
-    named = list(dict.fromkeys([*keep, *BOX]))
-    left = spread(a, pad).select(*joint, *[F.col(c).alias(f"a_{c}") for c in named])
-    right = spread(b, 0.0).select(*joint, *[F.col(c).alias(f"b_{c}") for c in named])
-    tests = []
-    for axis in axes:
-        low, high = F.col(f"a_min_{axis}") - pad, F.col(f"a_max_{axis}") + pad
-        tests += [low <= F.col(f"b_max_{axis}"), high >= F.col(f"b_min_{axis}")]
-        corner = F.greatest(low, F.col(f"b_min_{axis}"))
-        tests.append(F.floor(corner / _BOX_CELL) == F.col(f"g{axis}"))
-    return left.join(right, joint).filter(all_of(tests)).drop(*joint[1:])
+    if a.filter(many).isEmpty():
+        return near
+    cells = [f"g{axis}" for axis in axes]
+    left, right = side(spread(a.filter(many), pad), "a_", cells), side(spread(b.filter(many), 0.0), "b_", cells)
+    far = left.join(right, ["assembly_id", *cells]).filter(opaque(all_of([*tests, *corners]))).drop(*cells)
+    return near.unionByName(far)
 
 
 def _quarter_turn(p: str) -> Column:
@@ -239,9 +261,9 @@ _OBB = ["owner", "copies", "w", "h", "d", "cx", "cy", "cz", *[f"r{i}{j}" for i i
 
 def collision_pairs(parts: DataFrame) -> DataFrame:
     """Overlapping placements; a placement with several copies also collides with itself."""
-    body = solids(placements(parts))
+    body = bodies(parts)
     hits = box_pairs(body, body, _OBB).filter(F.col("a_owner") < F.col("b_owner"))
-    apart = hits.filter(oriented_overlap()).select(
+    apart = hits.filter(opaque(oriented_overlap())).select(
         "assembly_id",
         F.col("a_owner").alias("part_a"),
         F.col("b_owner").alias("part_b"),
@@ -257,7 +279,7 @@ def collision_pairs(parts: DataFrame) -> DataFrame:
 
 def axis_aligned_collisions(parts: DataFrame) -> DataFrame:
     """The quarter-turn special case: box overlap after the clearance is taken off."""
-    body = solids(placements(parts))
+    body = bodies(parts)
     hits = box_pairs(body, body, ["owner", "copies"]).filter(F.col("a_owner") < F.col("b_owner"))
     return hits.filter(_aligned_overlap()).select(
         "assembly_id",
@@ -273,7 +295,7 @@ def blocked_pairs(parts: DataFrame) -> DataFrame:
 
     A placement with several copies blocks itself too.
     """
-    body = solids(placements(parts))
+    body = bodies(parts)
     hits = box_pairs(body, body, ["owner", "copies"], axes="xz", pad=0.1)
     higher = F.col("b_min_y") < F.col("a_max_y") - 0.1
     # copies of one placement block one another, hence the self pair when there is more than one
@@ -290,42 +312,47 @@ def blocked_pairs(parts: DataFrame) -> DataFrame:
 # --- placement checks ----------------------------------------------------------------------------
 
 
-def placement_check(state: DataFrame, candidates: DataFrame) -> DataFrame:
+def placement_check(state: DataFrame, candidates: DataFrame, anchored: bool = False) -> DataFrame:
     """Add ``valid`` to candidates (assembly_id, candidate_id, part_id, transform).
 
     Valid: collides with nothing, and the state is empty or a stud meets a socket within 5.
+    ``anchored`` says that the candidates are known to hang on the state.
     """
-    placed = solids(placements(state))
-    fresh = solids(candidates.select("assembly_id", F.col("candidate_id").alias("owner"),
-                                     "part_id", "transform").withColumn("copies", F.lit(1)))
+    placed = bodies(state)
+    sizes = state.groupBy("assembly_id").agg(F.count(F.lit(1)).alias("crowd"))
+    fresh = durable(solids(
+        candidates.select("assembly_id", F.col("candidate_id").alias("owner"), "part_id", "transform")
+        .join(sizes, "assembly_id")
+        .withColumn("copies", F.lit(1))
+    ))
     keys = ["assembly_id", "candidate_id"]
-    hit = (
-        box_pairs(placed, fresh, _OBB)
-        .filter(oriented_overlap())
-        .select("assembly_id", F.col("b_owner").alias("candidate_id"))
-        .distinct()
-        .withColumn("_hit", F.lit(True))
-    )
+    columns = list(dict.fromkeys([*_OBB, *SHAPE]))
+    if anchored:
+        near = box_pairs(placed, fresh, _OBB)
+    else:
+        near = box_pairs(placed, fresh, columns, pad=PLACING)
+    who = F.col("b_owner").alias("candidate_id")
+    hit = near.filter(opaque(oriented_overlap())).select("assembly_id", who).distinct()
+    if anchored:
+        flagged = candidates.join(hit.withColumn("_hit", F.lit(True)), keys, "left")
+        return flagged.withColumn("valid", F.col("_hit").isNull()).drop("_hit")
+    owner = ["assembly_id", "b_owner"]
     held = (
-        near_anchors(fresh, placed, PLACING, ["owner"])
-        .select("assembly_id", F.col("s_owner").alias("candidate_id"))
-        .unionByName(
-            near_anchors(placed, fresh, PLACING, ["owner"]).select(
-                "assembly_id", F.col("k_owner").alias("candidate_id")
-            )
-        )
+        anchor_hits(near, "a_", "b_", PLACING, owner)
+        .unionByName(anchor_hits(near, "b_", "a_", PLACING, owner))
+        .select("assembly_id", who)
         .distinct()
-        .withColumn("_held", F.lit(True))
     )
-    used = state.select("assembly_id").distinct().withColumn("_used", F.lit(True))
+    used = sizes.select("assembly_id", F.lit(True).alias("_used"))
+    marks = hit.withColumn("mark", F.lit("hit")).unionByName(held.withColumn("mark", F.lit("held")))
+    marks = marks.groupBy(*keys).agg(
+        F.bool_or(F.col("mark") == "hit").alias("_hit"), F.bool_or(F.col("mark") == "held").alias("_held")
+    )
+    valid = ~F.coalesce("_hit", F.lit(False)) & (F.coalesce("_held", F.lit(False)) | F.col("_used").isNull())
     return (
-        candidates.join(hit, keys, "left")
-        .join(held, keys, "left")
+        candidates.join(marks, keys, "left")
         .join(used, "assembly_id", "left")
-        .withColumn(
-            "valid",
-            F.col("_hit").isNull() & (F.col("_held").isNotNull() | F.col("_used").isNull()),
-        )
+        .withColumn("valid", valid)
         .drop("_hit", "_held", "_used")
     )
 
@@ -335,18 +362,19 @@ def parent_connections(parts: DataFrame) -> DataFrame:
 
     Parent studs against child sockets come first, then parent sockets against child studs.
     """
-    body = solids(placements(parts))
+    body = bodies(parts)
     pairs = _contacts(body).select("assembly_id", "part_a", "part_b")
     links = pairs.select("assembly_id", F.col("part_a").alias("p"), F.col("part_b").alias("c")).unionByName(
         pairs.select("assembly_id", F.col("part_b").alias("p"), F.col("part_a").alias("c"))
     )
-    near = near_anchors(body, body, PLACING, ["owner"]).filter("s_owner <> k_owner")
-    down = near.select("assembly_id", F.col("s_owner").alias("p"), F.col("k_owner").alias("c"),
-                       F.lit(0).alias("mode"), F.col("s_anchor_idx").alias("pi"),
-                       F.col("k_anchor_idx").alias("ci"))
-    up = near.select("assembly_id", F.col("k_owner").alias("p"), F.col("s_owner").alias("c"),
-                     F.lit(1).alias("mode"), F.col("k_anchor_idx").alias("pi"),
-                     F.col("s_anchor_idx").alias("ci"))
+    close = box_pairs(body, body, ["owner", *SHAPE], pad=PLACING).filter(
+        opaque((F.col("a_owner") != F.col("b_owner")) & _vertical_touch("a_", "b_"))
+    )
+    near = anchor_hits(close, "a_", "b_", PLACING, ["assembly_id", "a_owner", "b_owner"])
+    down = near.select("assembly_id", F.col("a_owner").alias("p"), F.col("b_owner").alias("c"),
+                       F.lit(0).alias("mode"), F.col("stud_idx").alias("pi"), F.col("socket_idx").alias("ci"))
+    up = near.select("assembly_id", F.col("b_owner").alias("p"), F.col("a_owner").alias("c"),
+                     F.lit(1).alias("mode"), F.col("socket_idx").alias("pi"), F.col("stud_idx").alias("ci"))
     best = first_per_key(down.unionByName(up), ["assembly_id", "p", "c"], ["mode", "pi", "ci"])
     named = links.join(best, ["assembly_id", "p", "c"], "left").select(
         "assembly_id",

@@ -450,7 +450,7 @@ def bind_raw(spark, sf, sql):
     return spark.sql(sql, part=table(spark, sf, "part"))
 
 
-META_SQL = S_DUCK + f""", {P_SQL}{VEH_SQL}{SYM_SQL},
+META_SQL = S_DUCK.replace("s AS (", "s AS MATERIALIZED (", 1) + f""", {P_SQL}{VEH_SQL}{SYM_SQL},
 geo AS (SELECT assembly_id, n, wheel_count, symmetry_score FROM vm JOIN vs USING (assembly_id)
   JOIN (SELECT assembly_id, count(*) AS n FROM p GROUP BY ALL) USING (assembly_id)),
 md AS (SELECT set_id, name, coalesce(nullif(theme, ''), CASE source WHEN 'BrickLink' THEN 'Studio MOC' ELSE 'Unknown' END) AS theme, year,
