@@ -11,7 +11,7 @@ from brickloom.functions.geometry import (
     anchors, identity, solids, transform_from, with_dims, yaw_rotation,
 )
 from brickloom.operators.grouped import map_groups
-from brickloom.operators.scans import first_per_key, ordinal, scan, top_per_key
+from brickloom.operators.scans import first_per_key, fits, ordinal, scan, top_per_key
 from brickloom.operators.spatial import blocked_pairs, placement_check, placement_members, placements
 from brickloom.session import durable
 
@@ -227,13 +227,14 @@ def snap_stack(parts: DataFrame) -> DataFrame:
     With upright parts that offset depends only on the two stud counts, so the pile is a running sum.
     Starts at x = z = 10.
     """
+    small = fits(parts, ["assembly_id"])
     df = scan(_sized(parts), ["assembly_id"], ["part_index"], sums={"_top": F.col("h")},
-              lags={"_px": F.col("_nx"), "_pz": F.col("_nz")})
+              lags={"_px": F.col("_nx"), "_pz": F.col("_nz")}, bounded=small)
     moves = {
         f"_d{a}": F.when(F.col(f"_p{a}").isNull(), 0.0).otherwise(_odd_shift(F.col(f"_n{a}"), F.col(f"_p{a}")))
         for a in "xz"
     }
-    df = scan(df.withColumns(moves), ["assembly_id"], ["part_index"], sums={"_x": F.col("_dx"), "_z": F.col("_dz")})
+    df = scan(df.withColumns(moves), ["assembly_id"], ["part_index"], sums={"_x": F.col("_dx"), "_z": F.col("_dz")}, bounded=small)
     return df.select("assembly_id", "part_index", "part_id", "color", "step_id", (F.col("_x") + 10.0).alias("x"),
                      (F.col("h") - F.col("_top")).alias("y"), (F.col("_z") + 10.0).alias("z"))
 
@@ -249,12 +250,13 @@ def snap_search(parts: DataFrame) -> DataFrame:
     such a part exists, parts pile up on the previous height. Positions are sums along that chain.
     """
     listed = F.col("h").isin(_LISTED)
+    small = fits(parts, ["assembly_id"])
     df = _sized(parts).withColumn("_good", listed)
     me = F.struct(F.col("h").alias("h"), F.col("_nx").alias("nx"), F.col("_nz").alias("nz"))
     df = scan(df, ["assembly_id"], ["part_index"], rank="_k", lags={"_prev": me, "_prev_good": F.col("_good")},
-              lasts={"_last_good": F.when(F.col("_good"), F.struct(F.col("part_index").alias("i"), me.alias("v")))})
-    df = scan(df, ["assembly_id"], [F.col("part_index").desc()], lags={"_next_good": F.col("_good")})
-    df = scan(df, ["assembly_id"], ["part_index"], lags={"_earlier": F.col("_last_good")})
+              lasts={"_last_good": F.when(F.col("_good"), F.struct(F.col("part_index").alias("i"), me.alias("v")))}, bounded=small)
+    df = scan(df, ["assembly_id"], [F.col("part_index").desc()], lags={"_next_good": F.col("_good")}, bounded=small)
+    df = scan(df, ["assembly_id"], ["part_index"], lags={"_earlier": F.col("_last_good")}, bounded=small)
     first, good = F.col("_k") == 0, F.col("_good")
     hangs = ~good & F.col("_earlier").isNotNull()
     base = F.when(hangs, F.col("_earlier.v")).otherwise(F.col("_prev"))
@@ -272,7 +274,7 @@ def snap_search(parts: DataFrame) -> DataFrame:
     }
     df = df.withColumns(step)
     carried = {f"_c{a}": F.when(F.col("_carries"), F.col(f"_d{a}")).otherwise(0.0) for a in "xyz"}
-    df = scan(df.withColumns(carried), ["assembly_id"], ["part_index"], sums={f"_s{a}": F.col(f"_c{a}") for a in "xyz"})
+    df = scan(df.withColumns(carried), ["assembly_id"], ["part_index"], sums={f"_s{a}": F.col(f"_c{a}") for a in "xyz"}, bounded=small)
     own = {a: F.col(f"_s{a}") + F.when(F.col("_carries"), 0.0).otherwise(F.col(f"_d{a}")) for a in "xyz"}
     return df.select("assembly_id", "part_index", "part_id", "color", "step_id", (own["x"] + 10.0).alias("x"),
                      own["y"].alias("y"), (own["z"] + 10.0).alias("z"))

@@ -29,6 +29,11 @@ def group_sizes(df: DataFrame, keys: list[str]) -> tuple[int, int]:
     return int(row.m or 0), int(row.t or 0)
 
 
+def fits(df: DataFrame, keys: list[str]) -> bool:
+    """True when every key is small enough for one window task; lets several scans share one check."""
+    return group_sizes(df, keys)[0] <= max_group_rows(df.sparkSession)
+
+
 def scan(
     df: DataFrame,
     keys: list[str],

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from brickloom.functions.geometry import cell
 from brickloom.lookups import ALLOWED_PARTS, part_table, color_table, DEFAULT_HEX
 from brickloom.functions.geometry import with_dims
-from brickloom.operators.scans import ordinal, scan
+from brickloom.operators.scans import fits, ordinal, scan
 
 
 def size_filter(parts: DataFrame, least: int = 1, below: int = 100) -> DataFrame:
@@ -35,13 +35,14 @@ def std_steps(ordered: DataFrame, order: str = "ord") -> DataFrame:
     A height jump starts a run; inside a run every fifth part starts a step.
     """
     y = cell("transform", 1, 3)
-    df = scan(ordered, ["assembly_id"], [order], rank="_k", lags={"_prev_y": y})
+    small = fits(ordered, ["assembly_id"])
+    df = scan(ordered, ["assembly_id"], [order], rank="_k", lags={"_prev_y": y}, bounded=small)
     jump = F.coalesce(F.abs(y - F.col("_prev_y")) > 8.0, F.lit(False))
     df = df.withColumn("_start", F.when(jump | (F.col("_k") == 0), F.col("_k")))
-    df = scan(df, ["assembly_id"], [order], lasts={"_run": F.col("_start")})
+    df = scan(df, ["assembly_id"], [order], lasts={"_run": F.col("_start")}, bounded=small)
     inside = F.col("_k") - F.col("_run")
     df = df.withColumn("new_step", (inside % 5 == 0) & (F.col("_k") > 0))
-    df = scan(df, ["assembly_id"], [order], sums={"std_step": F.col("new_step").cast("int")})
+    df = scan(df, ["assembly_id"], [order], sums={"std_step": F.col("new_step").cast("int")}, bounded=small)
     return df.drop("_k", "_prev_y", "_start", "_run")
 
 
@@ -49,9 +50,11 @@ def layer_steps(parts: DataFrame) -> DataFrame:
     """Ground-up order (stable), new step when the height moves by more than 5."""
     y = cell("transform", 1, 3)
     order = [y.desc(), F.col("part_index")]
-    df = scan(parts, ["assembly_id"], order, rank="ord", lags={"_prev_y": y})
+    small = fits(parts, ["assembly_id"])
+    df = scan(parts, ["assembly_id"], order, rank="ord", lags={"_prev_y": y}, bounded=small)
     df = df.withColumn("new_step", F.coalesce(F.abs(y - F.col("_prev_y")) > 5.0, F.lit(False)))
-    return scan(df, ["assembly_id"], ["ord"], sums={"layer_step": F.col("new_step").cast("int")}).drop("_prev_y")
+    steps = {"layer_step": F.col("new_step").cast("int")}
+    return scan(df, ["assembly_id"], ["ord"], sums=steps, bounded=small).drop("_prev_y")
 
 
 def stack_heights(parts: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from brickloom.operators.scans import scan
+from brickloom.operators.scans import fits, scan
 from brickloom.session import max_group_rows
 
 ENCRYPTED = "Encrypted - not possible"
@@ -111,16 +111,16 @@ PROFILER = Cadence(8.0, 2.0, 30.0, 5, 1.0)
 
 def _ops(events: DataFrame, rule: Cadence, keys: list[str]) -> DataFrame:
     """Position, streak and effect (-1 shorten, 1 double, 0 none) of every outcome."""
-    bad = (F.col("action") == "failure").cast("int")
-    df = scan(events, keys, ["ts", "seq"], rank="pos", sums={"fails": bad})
-    df = scan(df, keys, ["ts", "seq"], lasts={"last_fail": F.when(F.col("action") == "failure", F.col("pos"))})
+    small = fits(events, keys)
+    df = scan(events, keys, ["ts", "seq"], rank="pos", bounded=small)
+    df = scan(df, keys, ["ts", "seq"], lasts={"last_fail": F.when(F.col("action") == "failure", F.col("pos"))}, bounded=small)
     good = F.col("pos") - F.coalesce("last_fail", F.lit(-1))
     return df.withColumns(
         {
             "streak": F.when(F.col("action") == "failure", 0).otherwise(good % rule.streak).cast("int"),
             "effect": F.when(F.col("action") == "failure", 1).when(good % rule.streak == 0, -1).otherwise(0),
         }
-    ).drop("fails", "last_fail")
+    ).drop("last_fail")
 
 
 def cadence_state(events: DataFrame, rule: Cadence = ADAPTIVE, keys: tuple[str, ...] = ("crawler",)) -> DataFrame:
