@@ -12,9 +12,10 @@ from brickloom.functions import geometry as g
 from brickloom.lookups import MECABRICKS_COLORS, MECABRICKS_PARTS, values_sql
 from brickloom.operators import manual as m
 from brickloom.operators import sequencing as q
+import brickloom.plans.assembly_queries  # noqa: F401  (its SQL is reused here)
 from brickloom.plans.bindings import LINE_ORDER, P_SQL, numbered_lines, placed_parts, table
 from brickloom.plans.catalog_queries import bind, duck
-from brickloom.plans.registry import query
+from brickloom.plans.registry import ORACLES, query
 from brickloom.plans.sequence_queries import SYN, TRAIN_SQL, _pose
 from brickloom.sinks.ldraw import assembly_documents, homogenized_documents
 from brickloom.operators.spatial import parent_connections
@@ -191,13 +192,25 @@ def assembly_json(spark, sf):
     return _pose(d.assembly_json(back, least=2), "assembly_id", "part_index", "part_id", "color", "step_id")
 
 
-@query("to_homogenized_json")
+@query("to_homogenized_json", f"""WITH {P_SQL}, n AS (SELECT assembly_id, CAST(count(*) AS INTEGER) AS num_parts FROM p GROUP BY assembly_id HAVING count(*) < 100),
+c AS ({ORACLES["parent_connections"]})
+SELECT n.assembly_id, n.assembly_id || '-1_Set' AS set_name, num_parts, coalesce(string_agg(part_index || '<' || parent_index || ':' || parent_anchor || ':' || child_anchor, ',' ORDER BY part_index, parent_index), '') AS links
+FROM n LEFT JOIN c ON c.assembly_id = n.assembly_id GROUP BY n.assembly_id, num_parts""")
 def to_homogenized_json(spark, sf):
-    """The links are checked in parent_connections; here they are nested."""
+    """The nested connections, listed again as text."""
     small, names = _documents(spark, sf)
     docs = homogenized_documents(small, parent_connections(small), names)
-    links = F.aggregate(F.transform("sequence", lambda p: F.size(p["connections"])), F.lit(0), lambda a, v: a + v)
-    return docs.select("assembly_id", "set_name", "num_parts", links.alias("links"), F.to_json("sequence").alias("sequence"))
+    listed = F.flatten(
+        F.transform(
+            "sequence",
+            lambda p: F.transform(
+                p["connections"],
+                lambda c: F.concat(p["part_index"].cast("string"), F.lit("<"), c["parent_part_index"].cast("string"),
+                                   F.lit(":"), c["parent_anchor"], F.lit(":"), c["child_anchor"]),
+            ),
+        )
+    )
+    return docs.select("assembly_id", "set_name", "num_parts", F.array_join(listed, ",").alias("links"))
 
 
 # --- manuals --------------------------------------------------------------------------------------
