@@ -357,10 +357,9 @@ def placement_check(state: DataFrame, candidates: DataFrame, anchored: bool = Fa
     )
 
 
-def parent_connections(parts: DataFrame) -> DataFrame:
-    """Contacts with earlier parts and the first matching anchor pair of each.
-
-    Parent studs against child sockets come first, then parent sockets against child studs.
+def best_anchor(parts: DataFrame) -> DataFrame:
+    """First matching anchor pair of every contact, in both directions: p and c are the parent and child
+    placements. Parent studs against child sockets come first, then parent sockets against child studs.
     """
     body = bodies(parts)
     pairs = _contacts(body).select("assembly_id", "part_a", "part_b")
@@ -376,7 +375,7 @@ def parent_connections(parts: DataFrame) -> DataFrame:
     up = near.select("assembly_id", F.col("b_owner").alias("p"), F.col("a_owner").alias("c"),
                      F.lit(1).alias("mode"), F.col("socket_idx").alias("pi"), F.col("stud_idx").alias("ci"))
     best = first_per_key(down.unionByName(up), ["assembly_id", "p", "c"], ["mode", "pi", "ci"])
-    named = links.join(best, ["assembly_id", "p", "c"], "left").select(
+    return links.join(best, ["assembly_id", "p", "c"], "left").select(
         "assembly_id",
         "p",
         "c",
@@ -389,6 +388,11 @@ def parent_connections(parts: DataFrame) -> DataFrame:
         .otherwise("unknown")
         .alias("child_anchor"),
     )
+
+
+def parent_connections(parts: DataFrame) -> DataFrame:
+    """Contacts with earlier parts, the first matching anchor pair and the relative matrix of each."""
+    named = best_anchor(parts)
     members = placement_members(parts)
     pose = parts.select("assembly_id", "part_index", "transform")
     parent = members.select("assembly_id", F.col("owner").alias("p"), F.col("part_index").alias("parent_index"))

@@ -17,7 +17,7 @@ from brickloom.plans.bindings import (
     stacked_parts,
     table,
 )
-from brickloom.plans.registry import query
+from brickloom.plans.registry import ORACLES, query
 
 DIMS_SQL = f"""
 WITH ids AS (
@@ -377,3 +377,14 @@ def vehicle_reward(spark, sf):
     renamed = _as_vehicles(parts)
     stable = graph.gravity_check(parts)
     return metrics.vehicle_reward(renamed, stable=stable)
+
+
+BEST_SQL = ORACLES["parent_connections"].split(",\nmem AS")[0] + """
+SELECT l.assembly_id, po AS p, co AS c, CASE mode WHEN 0 THEN 'stud_' || pi WHEN 1 THEN 'socket_' || pi ELSE 'unknown' END AS parent_anchor,
+  CASE mode WHEN 0 THEN 'socket_' || ci WHEN 1 THEN 'stud_' || ci ELSE 'unknown' END AS child_anchor
+FROM links l LEFT JOIN best USING (assembly_id, po, co)"""
+
+
+@query("best_anchor", BEST_SQL)
+def best_anchor(spark, sf):
+    return spatial.best_anchor(placed_parts(spark, sf))

@@ -10,7 +10,7 @@ from brickloom.operators import ingest, metrics
 from brickloom.plans.assembly_queries import COM_SQL, GRAVITY_SQL, _component_sql
 from brickloom.plans.bindings import P_SQL, PL_SQL, STACK_SQL, numbered_lines, placed_parts, stacked_parts, table
 from brickloom.plans.catalog_queries import bind, duck
-from brickloom.plans.registry import query
+from brickloom.plans.registry import ORACLES, query
 from brickloom.plans.sequence_queries import FLAT_SQL, HEAD, _mpd, _pose, _rendered
 from brickloom.plans.source_queries import O_SQL, lines_sql
 from brickloom.operators.sequencing import size_filter
@@ -213,3 +213,21 @@ def ingest_models(spark, sf):
     lines = _rendered(spark, sf).withColumn("assembly_id", named)
     files = lines.select("assembly_id").distinct().withColumns({"file_path": F.col("assembly_id"), "source": F.lit("BrickLink")})
     return ingest.ingest_models(lines, files)["sets"].drop("source", "file_path")
+
+
+@query("incremental_ingest", ORACLES["ingest_models"].replace("FROM comp GROUP", "FROM comp WHERE assembly_id IN (SELECT assembly_id FROM p GROUP BY assembly_id HAVING count(*) < 100) GROUP"))
+def incremental_ingest(spark, sf):
+    """Texts of small assemblies arrive as a stream and end up in a versioned catalog."""
+    from brickloom.sinks.ldraw import to_ldraw
+    from brickloom.streaming.jobs import VersionedCatalog, ingest_stream, scratch_folder
+
+    lines = to_ldraw(size_filter(placed_parts(spark, sf)))
+    ordered = F.array_sort(F.collect_list(F.struct("ord", "sub", "line")))
+    texts = lines.groupBy("assembly_id").agg(F.array_join(F.transform(ordered, lambda v: v["line"]), "\n").alias("text"))
+    named = F.concat(F.lit("x"), F.col("assembly_id"))
+    models = texts.select(named.alias("assembly_id"), named.alias("file_path"), F.lit("BrickLink").alias("source"), "text")
+    folder = scratch_folder(spark, "inbox")
+    models.write.parquet(f"{folder}/models")
+    catalog = VersionedCatalog(spark, f"{folder}/catalog")
+    ingest_stream(spark.readStream.schema(models.schema).parquet(f"{folder}/models"), catalog, f"{folder}/progress")
+    return catalog.read("sets").drop("source", "file_path")
