@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brickloom.llm import fingerprint, packing, pii, token_files, urls
+from brickloom.llm import bpe, fingerprint, packing, pii, token_files, urls
 from brickloom.llm.common import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -96,3 +96,11 @@ def _token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_packed_sequences")
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary("byte_bpe_50k.json"))
+
+
+@query("op7_byte_bpe")
+def _byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return bpe.round_trips(docs, vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
