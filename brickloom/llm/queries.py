@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brickloom.llm import bpe, fingerprint, packing, pii, token_files, urls
+from brickloom.llm import bpe, fingerprint, packing, pii, token_files, toxicity, urls
 from brickloom.llm.common import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -104,3 +104,11 @@ def _byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return bpe.round_trips(docs, vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op1_toxicity_scores")
+def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
