@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brickloom.llm import bpe, fingerprint, packing, pii, token_files, toxicity, urls
+from brickloom.llm import bpe, fingerprint, html_text, packing, pii, token_files, toxicity, urls
 from brickloom.llm.common import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -112,3 +112,8 @@ def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query("op4_main_text")
+def _main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
