@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brickloom.llm import bpe, fingerprint, html_text, packing, pii, token_files, toxicity, urls
+from brickloom.llm import bpe, fingerprint, html_text, neighbours, packing, pii, token_files, toxicity, urls
 from brickloom.llm.common import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -117,3 +117,8 @@ def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_main_text")
 def _main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+@query("op3_nearest_vectors")
+def _nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
