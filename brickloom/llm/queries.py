@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brickloom.llm import bpe, fingerprint, html_text, neighbours, packing, pii, token_files, toxicity, urls
+from brickloom.llm import bpe, fingerprint, html_text, near_dup, neighbours, packing, pii, token_files, toxicity, urls
 from brickloom.llm.common import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -122,3 +122,9 @@ def _main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_nearest_vectors")
 def _nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+@query("op8_near_duplicates")
+def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return near_dup.near_duplicates(docs, near_dup.NearParams(shingle=4))
