@@ -51,6 +51,8 @@ def catalog_update_columns(sets: DataFrame, results: DataFrame, official: DataFr
     """Store classifications: only the taxonomy columns of known sets change; unknown ones are
     inserted as official sets with whatever the official table knows."""
     hit = F.col("_r").isNotNull()
+    # one result per set: the last one by time and, for equal times, by its values
+    results = last_per_key(results, ["set_id"], [c for c in results.columns if c != "set_id"])
     # every joined column is renamed, so the result keeps the stored table's own names
     res = results.select("set_id", F.struct(*CLASSIFICATION).alias("_r"))
     known = sets.join(res, "set_id", "left").withColumns(
@@ -296,7 +298,7 @@ def dominant_theme(parts, inventory_parts, inventories, official, themes, descri
     best = counts.groupBy("part_num").agg(F.min_by("theme", F.struct(-F.col("n"), F.col("theme"))).alias("theme"))
     named = parts.select("part_num").join(best, "part_num", "left")
     text = descriptions.select("theme", "description")
-    return named.join(F.broadcast(text), "theme", "left").select(
+    return named.join(text, "theme", "left").select(
         "part_num",
         F.coalesce("theme", F.lit(NO_THEME)).alias("theme"),
         F.when(F.col("theme").isNull(), NO_THEME_TEXT)

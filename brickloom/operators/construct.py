@@ -285,55 +285,52 @@ def snap_search(parts: DataFrame) -> DataFrame:
 _EDGES = [f"{e}_{a}" for a in "xyz" for e in ("min", "max")]
 
 
-def _peel(box: np.ndarray, mean_y: np.ndarray) -> list[int]:
-    """Removal order of one small assembly (rows in list order): free parts first in, first out; the
-    highest when stuck. box columns: min and max of x, y, z."""
+def _layers(box: np.ndarray, mean_y: np.ndarray) -> np.ndarray:
+    """Removal number of every part of one small assembly (rows in list order).
+
+    Parts leave in layers: all that nothing holds any more, by the number of the last part that held them and then by list
+    order. Where every part is held, the highest one is a layer of its own. box columns: min and max of x, y, z.
+    """
     lo_x, hi_x, lo_y, hi_y, lo_z, hi_z = box.T
-    under = lo_y[None, :] < hi_y[:, None] - 0.1  # [part, blocker]
+    holds = lo_y[None, :] < hi_y[:, None] - 0.1  # [part, holder]
     for lo, hi in ((lo_x, hi_x), (lo_z, hi_z)):
-        under &= (lo[:, None] - 0.1 <= hi[None, :]) & (hi[:, None] + 0.1 >= lo[None, :])
-    np.fill_diagonal(under, False)
-    waiting = under.sum(axis=1)
-    gone = np.zeros(len(box), dtype=bool)
-    high = iter(np.argsort(mean_y, kind="stable").tolist())
-    queue, order, at = np.flatnonzero(waiting == 0).tolist(), [], 0
-    while len(order) < len(box):
-        if at == len(queue):
-            queue.append(next(i for i in high if not gone[i]))
-        part = queue[at]
-        at += 1
-        if gone[part]:
-            continue
-        gone[part] = True
-        order.append(part)
-        freed = np.flatnonzero(under[:, part] & ~gone)
-        waiting[freed] -= 1
-        queue.extend(freed[waiting[freed] <= 0].tolist())
-    return order
-
-
-def _peel_frame(frame: pd.DataFrame) -> pd.DataFrame:
+        holds &= (lo[:, None] - 0.1 <= hi[None, :]) & (hi[:, None] + 0.1 >= lo[None, :])
+    np.fill_diagonal(holds, False)
+    number = np.full(len(box), -1)
+    last = np.full(len(box), -1)
+    while (number < 0).any():
+        inside = number < 0
+        open_ = inside & ~(holds & inside[None, :]).any(axis=1)
+        if not open_.any():
+            open_[np.flatnonzero(inside)[np.argmin(mean_y[inside])]] = True
+        layer = np.flatnonzero(open_)
+        layer = layer[np.argsort(last[layer], kind="stable")]
+        number[layer] = (~inside).sum() + np.arange(len(layer))
+        last = np.maximum(last, np.where(holds[:, layer], number[layer][None, :], -1).max(axis=1))
+    return number
+
+
+def _layer_frame(frame: pd.DataFrame) -> pd.DataFrame:
     starts = np.flatnonzero(frame["assembly_id"].ne(frame["assembly_id"].shift()).to_numpy())
     box, mean_y = frame[_EDGES].to_numpy(), frame["mean_y"].to_numpy()
     number = np.empty(len(frame), dtype=np.int32)
     for lo, hi in zip(starts, [*starts[1:], len(frame)]):
-        order = _peel(box[lo:hi], mean_y[lo:hi])
-        number[lo + np.array(order)] = np.arange(hi - lo)
+        number[lo:hi] = _layers(box[lo:hi], mean_y[lo:hi])
     return pd.DataFrame({"assembly_id": frame["assembly_id"], "part_index": frame["part_index"], "remove_no": number})
 
 
 def disassembly_order(parts: DataFrame, small: int = 2000) -> DataFrame:
-    """remove_no and build_no per part. Assemblies above ``small`` parts are peeled in joint rounds."""
+    """remove_no and build_no per part. Assemblies above ``small`` parts leave in joint rounds."""
     key = parts.schema["assembly_id"].dataType.simpleString()
     sizes = parts.groupBy("assembly_id").agg(F.count(F.lit(1)).alias("n_parts"))
     sized = parts.join(sizes, "assembly_id")
     body = solids(sized.select("assembly_id", "part_index", "part_id", "transform", "n_parts"))
     tight = body.filter(F.col("n_parts") <= small).select("assembly_id", "part_index", "mean_y", *_EDGES)
     schema = f"assembly_id {key}, part_index int, remove_no int"
-    order = map_groups(tight, "assembly_id", ["part_index"], _peel_frame, schema)
+    order = map_groups(tight, "assembly_id", ["part_index"], _layer_frame, schema)
     large = sized.filter(F.col("n_parts") > small).drop("n_parts")
     if not large.isEmpty():
-        order = order.unionByName(_peel_rounds(large))
+        order = order.unionByName(_layer_rounds(large))
     return order.join(sizes, "assembly_id").select(
         "assembly_id", "part_index", "remove_no", (F.col("n_parts") - 1 - F.col("remove_no")).cast("int").alias("build_no")
     )
@@ -350,7 +347,7 @@ def _part_blocks(parts: DataFrame) -> DataFrame:
     )
 
 
-def _peel_rounds(parts: DataFrame) -> DataFrame:
+def _layer_rounds(parts: DataFrame) -> DataFrame:
     """The same order in rounds over all large assemblies: a round removes every free part, ordered by
     the place of its last blocker, or the highest part where none is free."""
     blocks = durable(_part_blocks(parts))

@@ -42,24 +42,25 @@ def scan(
     sums: dict[str, Column] | None = None,
     lags: dict[str, Column] | None = None,
     lasts: dict[str, Column] | None = None,
+    maxes: dict[str, Column] | None = None,
     bounded: bool = False,
 ) -> DataFrame:
     """Add ordered-scan columns. ``order`` must be total within ``keys``.
 
     rank: 0-based row number. sums: running inclusive sums (NULL counts as 0). lags: value of the
-    previous row. lasts: latest non-null value so far. ``bounded`` skips the size check where the
+    previous row. lasts: latest non-null value so far. maxes: greatest value so far. ``bounded`` skips the size check where the
     caller has already limited the rows per key.
     """
     order = [F.col(c) if isinstance(c, str) else c for c in order]
-    sums, lags, lasts = sums or {}, lags or {}, lasts or {}
+    sums, lags, lasts, maxes = sums or {}, lags or {}, lasts or {}, maxes or {}
     limit = max_group_rows(df.sparkSession)
     largest, total = (0, 0) if bounded else group_sizes(df, keys)
     if largest <= limit:
-        return _scan_plain(df, keys, order, rank, sums, lags, lasts)
-    return _scan_ranges(df, keys, order, rank, sums, lags, lasts, max(2, 2 * total // limit))
+        return _scan_plain(df, keys, order, rank, sums, lags, lasts, maxes)
+    return _scan_ranges(df, keys, order, rank, sums, lags, lasts, maxes, max(2, 2 * total // limit))
 
 
-def _scan_plain(df, keys, order, rank, sums, lags, lasts):
+def _scan_plain(df, keys, order, rank, sums, lags, lasts, maxes):
     w = Window.partitionBy(*keys).orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = {}
@@ -71,17 +72,19 @@ def _scan_plain(df, keys, order, rank, sums, lags, lasts):
         out[name] = F.lag(value).over(w)
     for name, value in lasts.items():
         out[name] = F.last(value, ignorenulls=True).over(upto)
+    for name, value in maxes.items():
+        out[name] = F.max(value).over(upto)
     return df.withColumns(out)
 
 
-def _scan_ranges(df, keys, order, rank, sums, lags, lasts, ranges):
+def _scan_ranges(df, keys, order, rank, sums, lags, lasts, maxes, ranges):
     ranged = df.repartitionByRange(ranges, *[F.col(k) for k in keys], *order)
     # the range number must not change between the two uses below, hence the durable cut
     ranged = durable(ranged.withColumn(_SEG, F.spark_partition_id()))
     ranged = ranged.withColumns({f"_src_{n}": v for n, v in lags.items()})
-    local = _scan_plain(ranged, [*keys, _SEG], order, _POS, sums, lags, lasts)
+    local = _scan_plain(ranged, [*keys, _SEG], order, _POS, sums, lags, lasts, maxes)
 
-    carried = [*sums, *[f"_src_{n}" for n in lags], *lasts]
+    carried = [*sums, *[f"_src_{n}" for n in lags], *lasts, *maxes]
     tails = local.groupBy(*keys, _SEG).agg(
         F.count(F.lit(1)).alias("_n"),
         F.max_by(F.struct(F.col(_POS), *carried), F.col(_POS)).alias("_tail"),
@@ -95,15 +98,17 @@ def _scan_ranges(df, keys, order, rank, sums, lags, lasts, ranges):
         *[F.sum(f"_tail.{n}").over(before).alias(f"_off_{n}") for n in sums],
         *[F.lag(f"_tail._src_{n}").over(w).alias(f"_off_{n}") for n in lags],
         *[F.last(f"_tail.{n}", ignorenulls=True).over(before).alias(f"_off_{n}") for n in lasts],
+        *[F.max(f"_tail.{n}").over(before).alias(f"_off_{n}") for n in maxes],
     )
     joined = local.join(offsets, [*keys, _SEG])
     fixed = {n: F.col(n) + F.coalesce(F.col(f"_off_{n}"), F.lit(0)) for n in sums}
     fixed |= {n: F.when(F.col(_POS) == 0, F.col(f"_off_{n}")).otherwise(F.col(n)) for n in lags}
     fixed |= {n: F.coalesce(F.col(n), F.col(f"_off_{n}")) for n in lasts}
+    fixed |= {n: F.greatest(n, f"_off_{n}") for n in maxes}
     if rank:
         fixed[rank] = (F.col(_POS) + F.col("_off_rank")).cast("int")
     joined = joined.withColumns(fixed)
-    names = [*df.columns, *([rank] if rank else []), *sums, *lags, *lasts]
+    names = [*df.columns, *([rank] if rank else []), *sums, *lags, *lasts, *maxes]
     return joined.select(*dict.fromkeys(names))
 
 

@@ -184,11 +184,11 @@ def placement_check(spark, sf):
     )
 
 
-@query("parent_connections", f"""WITH {P_SQL}{PL_SQL}{ANCHOR_SQL}{CONTACT_SQL},
-links AS (
+@query("parent_connections", f"""WITH {(P_SQL + PL_SQL + ANCHOR_SQL + CONTACT_SQL).replace(" AS (", " AS MATERIALIZED (")},
+links AS MATERIALIZED (
   SELECT assembly_id, part_a AS po, part_b AS co FROM touch
   UNION ALL SELECT assembly_id, part_b, part_a FROM touch),
-near AS (
+near AS MATERIALIZED (
   SELECT l.assembly_id, po, co, 0 AS mode, a.idx AS pi, k.idx AS ci FROM links l
   JOIN studs a ON a.assembly_id = l.assembly_id AND a.owner = po
   JOIN sockets k ON k.assembly_id = l.assembly_id AND k.owner = co
@@ -198,7 +198,7 @@ near AS (
   JOIN sockets a ON a.assembly_id = l.assembly_id AND a.owner = po
   JOIN studs k ON k.assembly_id = l.assembly_id AND k.owner = co
    AND (a.ax-k.ax)*(a.ax-k.ax) + (a.ay-k.ay)*(a.ay-k.ay) + (a.az-k.az)*(a.az-k.az) < 25.0),
-best AS (
+best AS MATERIALIZED (
   SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY assembly_id, po, co ORDER BY mode, pi, ci) = 1),
 mem AS (SELECT p.assembly_id, p.part_index, pl.owner, p.x, p.y, p.z, p.c, p.s FROM p JOIN pl
   ON p.assembly_id = pl.assembly_id AND p.part_id = pl.part_id AND p.x = pl.x AND p.y = pl.y AND p.z = pl.z

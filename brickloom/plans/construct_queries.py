@@ -13,7 +13,6 @@ from brickloom.plans.catalog_queries import bind, duck
 from brickloom.plans.registry import ORACLES, query
 from brickloom.plans.sequence_queries import FLAT_SQL, HEAD, _mpd, _pose, _rendered
 from brickloom.plans.source_queries import O_SQL, lines_sql
-from brickloom.operators.sequencing import size_filter
 
 VOX = """SELECT DISTINCT CAST(l_suppkey % 10 AS INT) AS model_id, CAST(l_partkey % 24 AS INT) AS x, CAST(l_linenumber AS INT) AS y, CAST(CAST(l_quantity AS INT) % 24 AS INT) AS z FROM {lineitem}"""
 POINTS = "SELECT l_suppkey AS model_id, CAST(l_partkey % 701 AS DOUBLE) AS x, l_quantity * 3 AS y, l_discount * 10000 AS z FROM {lineitem}"
@@ -201,7 +200,7 @@ def text_reward(spark, sf):
     from brickloom.sinks.ldraw import to_ldraw
     from brickloom.sources.ldraw import ldraw_parts
 
-    lines = to_ldraw(stacked_parts(spark, sf)).select("assembly_id", (F.col("ord") * 1000 + F.col("sub")).alias("line_no"), "line")
+    lines = to_ldraw(stacked_parts(spark, sf)).select("assembly_id", (F.shiftleft(F.col("ord").cast("long"), 32) + F.col("sub")).alias("line_no"), "line")
     parts = ldraw_parts(lines)
     return metrics.text_reward(parts, table(spark, sf, "orders").select(F.col("o_orderkey").alias("assembly_id")))
 
@@ -215,13 +214,13 @@ def ingest_models(spark, sf):
     return ingest.ingest_models(lines, files)["sets"].drop("source", "file_path")
 
 
-@query("incremental_ingest", ORACLES["ingest_models"].replace("FROM comp GROUP", "FROM comp WHERE assembly_id IN (SELECT assembly_id FROM p GROUP BY assembly_id HAVING count(*) < 100) GROUP"))
+@query("incremental_ingest", ORACLES["ingest_models"])
 def incremental_ingest(spark, sf):
-    """Texts of small assemblies arrive as a stream and end up in a versioned catalog."""
+    """Texts of all assemblies arrive as a stream and end up in a versioned catalog."""
     from brickloom.sinks.ldraw import to_ldraw
     from brickloom.streaming.jobs import VersionedCatalog, ingest_stream, scratch_folder
 
-    lines = to_ldraw(size_filter(placed_parts(spark, sf)))
+    lines = to_ldraw(placed_parts(spark, sf))
     ordered = F.array_sort(F.collect_list(F.struct("ord", "sub", "line")))
     texts = lines.groupBy("assembly_id").agg(F.array_join(F.transform(ordered, lambda v: v["line"]), "\n").alias("text"))
     named = F.concat(F.lit("x"), F.col("assembly_id"))

@@ -94,11 +94,12 @@ VV = values_sql(list(enumerate(VEHICLE_VOCAB)), ["vi", "vp"], "vv")
 VC = values_sql(list(enumerate(VEHICLE_COLORS)), ["ci", "vc"], "vcol")
 
 
-@query("training_examples_vehicle", f"""WITH {P_SQL}{TRAIN_SQL}
+@query("training_examples_vehicle", f"""WITH {P_SQL}{TRAIN_SQL.replace("< 100", "< 150")}
 SELECT assembly_id, CAST(k AS INTEGER) AS k, CAST(coalesce(vi, 0) AS INTEGER) AS part_target, CAST(coalesce(ci, 0) AS INTEGER) AS color_target, c AS m00, x AS m03, z AS m23
 FROM s LEFT JOIN {VV} ON vp = part_id LEFT JOIN {VC} ON vc = color WHERE k > 0""")
 def training_examples_vehicle(spark, sf):
-    seq = q.sequence_index(q.size_filter(placed_parts(spark, sf)), bounded=True)
+    # the vehicle data hold assemblies of up to 149 parts
+    seq = q.sequence_index(q.size_filter(placed_parts(spark, sf), below=150), bounded=True)
     v = F.col("transform_target")
     return q.training_examples(seq, VEHICLE_VOCAB, "rows", VEHICLE_COLORS).select(
         "assembly_id", "k", "part_target", "color_target", v[0].alias("m00"), v[3].alias("m03"), v[11].alias("m23"))
@@ -336,7 +337,7 @@ def ldraw_decode(spark, sf):
 def _rendered(spark, sf):
     """Line table of the LDraw texts of all assemblies."""
     lines = out.to_ldraw(placed_parts(spark, sf))
-    return lines.select("assembly_id", (F.col("ord") * 1000 + F.col("sub")).alias("line_no"), "line")
+    return lines.select("assembly_id", (F.shiftleft(F.col("ord").cast("long"), 32) + F.col("sub")).alias("line_no"), "line")
 
 
 def _num(v):

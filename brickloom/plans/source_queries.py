@@ -166,8 +166,9 @@ def archive_members(spark, sf):
     return d.archive_members(zipped)
 
 
-def _documents(spark, sf):
-    small = q.size_filter(placed_parts(spark, sf))
+def _documents(spark, sf, limited=True):
+    """The data set files hold assemblies of under 100 parts only; connection documents hold all."""
+    small = q.size_filter(placed_parts(spark, sf)) if limited else placed_parts(spark, sf)
     names = small.select("assembly_id").distinct().select(
         "assembly_id", F.concat("assembly_id", F.lit("-1_Set")).alias("set_name"), F.col("assembly_id").cast("string").alias("set_number"))
     return small, names
@@ -192,14 +193,14 @@ def assembly_json(spark, sf):
     return _pose(d.assembly_json(back, least=2), "assembly_id", "part_index", "part_id", "color", "step_id")
 
 
-@query("to_homogenized_json", f"""WITH {P_SQL}, n AS (SELECT assembly_id, CAST(count(*) AS INTEGER) AS num_parts FROM p GROUP BY assembly_id HAVING count(*) < 100),
-c AS ({ORACLES["parent_connections"]})
+@query("to_homogenized_json", f"""WITH {P_SQL}, n AS (SELECT assembly_id, CAST(count(*) AS INTEGER) AS num_parts FROM p GROUP BY assembly_id),
+c AS MATERIALIZED ({ORACLES["parent_connections"]})
 SELECT n.assembly_id, n.assembly_id || '-1_Set' AS set_name, num_parts, coalesce(string_agg(part_index || '<' || parent_index || ':' || parent_anchor || ':' || child_anchor, ',' ORDER BY part_index, parent_index), '') AS links
 FROM n LEFT JOIN c ON c.assembly_id = n.assembly_id GROUP BY n.assembly_id, num_parts""")
 def to_homogenized_json(spark, sf):
     """The nested connections, listed again as text."""
-    small, names = _documents(spark, sf)
-    docs = homogenized_documents(small, parent_connections(small), names)
+    parts, names = _documents(spark, sf, limited=False)
+    docs = homogenized_documents(parts, parent_connections(parts), names)
     listed = F.flatten(
         F.transform(
             "sequence",

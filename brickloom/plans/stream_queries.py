@@ -45,9 +45,17 @@ def queue_state(spark, sf):
     return e.queue_state(attempts(spark, sf)).drop("last_attempt_time")
 
 
-@query("queue_state_adaptive", QUEUE.replace("{count}", "updates"))
+ADAPTIVE_QUEUE = f"""WITH {EV}, bn AS (SELECT user_id, min((ts, event_id)) AS born FROM ev WHERE action = 'enqueue' GROUP BY user_id),
+lv AS (SELECT ev.*, row_number() OVER (PARTITION BY ev.user_id ORDER BY ts DESC, event_id DESC) AS n FROM ev JOIN bn ON bn.user_id = ev.user_id WHERE action <> 'enqueue' AND (ts, event_id) > born),
+ag AS (SELECT user_id, count(*) FILTER (action <> 'success') AS updates FROM lv GROUP BY user_id)
+SELECT bn.user_id AS model_id, CASE l.action WHEN 'claim' THEN 'downloading' WHEN 'success' THEN 'completed' WHEN 'failure' THEN 'failed' ELSE 'pending' END AS status,
+  coalesce(updates, 0) AS attempts, CASE WHEN l.action = 'failure' THEN l.error END AS error_msg
+FROM bn LEFT JOIN lv l ON l.user_id = bn.user_id AND n = 1 LEFT JOIN ag ON ag.user_id = bn.user_id"""
+
+
+@query("queue_state_adaptive", ADAPTIVE_QUEUE)
 def queue_state_adaptive(spark, sf):
-    return e.queue_state(attempts(spark, sf), count_failures=True).drop("last_attempt_time")
+    return e.queue_state(attempts(spark, sf), adaptive=True).drop("last_attempt_time")
 
 
 @query("queue_stream", QUEUE.replace("{count}", "claims"))

@@ -65,9 +65,9 @@ def to_ldraw(parts: DataFrame, header: str = "0 Generated Model") -> DataFrame:
 
 def to_ldraw_paged(parts: DataFrame, header: list[str]) -> DataFrame:
     """List order; one ``0 STEP PAGE n`` whenever the step exceeds every earlier one; three decimals."""
-    df = scan(parts, ["assembly_id"], ["part_index"], rank="ord", lags={"_prev": F.col("step_id")})
-    # steps never fall inside a sequence from a manual, so the previous step is the running one
-    rises = F.col("step_id") > F.coalesce("_prev", F.lit(0))
+    df = scan(parts, ["assembly_id"], ["part_index"], rank="ord", maxes={"_top": F.col("step_id")})
+    df = scan(df, ["assembly_id"], ["part_index"], lags={"_before": F.col("_top")})
+    rises = F.col("step_id") > F.greatest(F.coalesce("_before", F.lit(0)), F.lit(0))
     mark = F.array(F.concat(F.lit("0 STEP PAGE "), F.coalesce("page_num", "step_id").cast("string")))
     return _headed(
         _explode_lines(df, F.when(rises, mark).otherwise(F.array().cast("array<string>")), part_line(3, 3)), header

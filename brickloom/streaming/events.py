@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,19 +32,22 @@ def _status(action: Column, error: Column) -> tuple[Column, Column]:
     return status, F.when(action == "success", None).when(locked, ENCRYPTED).otherwise(error)
 
 
-def queue_state(events: DataFrame, count_failures: bool = False) -> DataFrame:
+def queue_state(events: DataFrame, adaptive: bool = False) -> DataFrame:
     """Current row per model. Events before the first enqueue have no effect, nor do later enqueues.
 
-    Attempts count claims; with ``count_failures`` every update that is not a success.
+    Attempts count claims. With ``adaptive`` every update that is not a success counts, an error is stored as it is, and a
+    claim clears it.
     """
     at = F.struct("ts", "seq")
     born = events.filter("action = 'enqueue'").groupBy("model_id").agg(F.min(at).alias("born"))
     live = events.filter("action <> 'enqueue'").join(born, "model_id").filter(at > F.col("born"))
-    status, error = _status(F.col("action"), F.col("error"))
-    counted = F.col("action") == "claim"
-    if count_failures:
-        counted = counted | (F.col("action") == "failure")
-    settles = F.col("action") != "claim"
+    action = F.col("action")
+    status, error = _status(action, F.col("error"))
+    counted, settles = action == "claim", action != "claim"
+    if adaptive:
+        status = F.when(action == "failure", "failed").otherwise(status)
+        error = F.when(action == "failure", F.col("error"))
+        counted, settles = action != "success", F.lit(True)
     folded = live.groupBy("model_id").agg(
         F.max_by(status, at).alias("status"),
         F.count_if(counted).alias("attempts"),
@@ -60,13 +64,14 @@ _QUEUE_OUT = "model_id {key}, status string, attempts long, last_attempt_time ti
 _QUEUE_STATE = "status string, attempts long, last_attempt_time timestamp, error_msg string"
 
 
-def queue_stream(events: DataFrame, count_failures: bool = False) -> DataFrame:
+def queue_stream(events: DataFrame, adaptive: bool = False) -> DataFrame:
     """The same fold as a stream; emits the new row of every model touched by a micro-batch."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         row = list(state.get) if state.exists else None
-        for batch in batches:
-            for e in batch.sort_values(["ts", "seq"]).itertuples():
+        # a key's rows of a micro-batch come in several chunks, which are in order only together
+        for chunk in [pd.concat(batches)]:
+            for e in chunk.sort_values(["ts", "seq"]).itertuples():
                 if e.action == "enqueue":
                     row = row or ["pending", 0, None, None]
                 elif row:
@@ -74,12 +79,13 @@ def queue_stream(events: DataFrame, count_failures: bool = False) -> DataFrame:
                     row[2] = e.ts.to_pydatetime()
                     if e.action == "claim":
                         row[0], row[1] = "downloading", row[1] + 1
+                        row[3] = None if adaptive else row[3]
                     elif e.action == "success":
                         row[0], row[3] = "completed", None
                     else:
-                        row[0] = "not_possible" if locked else "failed"
-                        row[3] = ENCRYPTED if locked else e.error
-                        row[1] += int(count_failures)
+                        row[0] = "not_possible" if locked and not adaptive else "failed"
+                        row[3] = ENCRYPTED if locked and not adaptive else e.error
+                        row[1] += int(adaptive)
         if row:
             state.update(tuple(row))
             yield pd.DataFrame([[key[0], *row]], columns=["model_id", "status", "attempts", "last_attempt_time", "error_msg"])
@@ -109,6 +115,21 @@ SHARED = Cadence(3.0, 1.0, 60.0, 5, 0.5)
 PROFILER = Cadence(8.0, 2.0, 30.0, 5, 1.0)
 
 
+def _reachable(rule: Cadence) -> tuple[list[float], np.ndarray, np.ndarray]:
+    """All delays that can follow the first one, and where each of them leads when doubled and when shortened."""
+    delays, at = [rule.start], 0
+    while at < len(delays):
+        for d in (min(rule.cap, delays[at] * 2), max(rule.floor, delays[at] - rule.step)):
+            if d not in delays:
+                delays.append(d)
+        at += 1
+        if len(delays) > 10_000:
+            raise ValueError("the rule's delays have no common grid")
+    doubled = np.array([delays.index(min(rule.cap, d * 2)) for d in delays])
+    shortened = np.array([delays.index(max(rule.floor, d - rule.step)) for d in delays])
+    return delays, doubled, shortened
+
+
 def _ops(events: DataFrame, rule: Cadence, keys: list[str]) -> DataFrame:
     """Position, streak and effect (-1 shorten, 1 double, 0 none) of every outcome."""
     small = fits(events, keys)
@@ -126,9 +147,9 @@ def _ops(events: DataFrame, rule: Cadence, keys: list[str]) -> DataFrame:
 def cadence_state(events: DataFrame, rule: Cadence = ADAPTIVE, keys: tuple[str, ...] = ("crawler",)) -> DataFrame:
     """Delay and streak after every outcome (success / failure) of a crawler, in time order.
 
-    Every outcome maps the delay by a clamped line, and such maps compose. So a long history is cut
-    into pieces: each piece is first reduced to one map, the maps of a crawler are chained, and then
-    every piece is walked from its own starting delay.
+    Doubling, shortening and their limits lead from the first delay to few different delays. So a long history is cut into
+    pieces: each piece is first reduced to where it leads from every possible delay, the pieces of a crawler are chained, and
+    then every piece is walked from its own starting delay.
     """
     keys = list(keys)
     spark = events.sparkSession
@@ -138,21 +159,20 @@ def cadence_state(events: DataFrame, rule: Cadence = ADAPTIVE, keys: tuple[str,
     key_ddl = ", ".join(f"{k} {events.schema[k].dataType.simpleString()}" for k in keys)
 
     def reduce_piece(pdf: pd.DataFrame) -> pd.DataFrame:
-        slope, shift, low, high = 1.0, 0.0, float("-inf"), float("inf")
+        delays, doubled, shortened = _reachable(rule)
+        ends = np.arange(len(delays))
         for effect in pdf.sort_values("pos")["effect"]:
-            if effect == 1:
-                slope, shift, low, high = slope * 2, shift * 2, min(low * 2, rule.cap), min(high * 2, rule.cap)
-            elif effect == -1:
-                shift -= rule.step
-                low, high = max(low - rule.step, rule.floor), max(high - rule.step, rule.floor)
+            if effect:
+                ends = (doubled if effect == 1 else shortened)[ends]
         head = pdf[[*keys, "piece"]].iloc[:1]
-        return head.assign(slope=slope, shift=shift, low=low, high=high)
+        return head.assign(ends=[ends.tolist()])
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, delay, starts = pdf.sort_values("piece"), rule.start, []
-        for p in pdf.itertuples():
-            starts.append(delay)
-            delay = min(max(p.slope * delay + p.shift, p.low), p.high)
+        delays = _reachable(rule)[0]
+        pdf, at, starts = pdf.sort_values("piece"), delays.index(rule.start), []
+        for ends in pdf["ends"]:
+            starts.append(delays[at])
+            at = int(ends[at])
         return pdf[[*keys, "piece"]].assign(start=starts)
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -171,7 +191,7 @@ def cadence_state(events: DataFrame, rule: Cadence = ADAPTIVE, keys: tuple[str,
         started = needed.withColumn("start", F.lit(rule.start))
     else:
         maps = needed.groupBy(*keys, "piece").applyInPandas(
-            reduce_piece, f"{key_ddl}, piece long, slope double, shift double, low double, high double"
+            reduce_piece, f"{key_ddl}, piece long, ends array<int>"
         )
         starts = maps.groupBy(*keys).applyInPandas(chain, f"{key_ddl}, piece long, start double")
         started = needed.join(starts, [*keys, "piece"])
@@ -183,14 +203,13 @@ def cadence_stream(events: DataFrame, rule: Cadence = ADAPTIVE) -> DataFrame:
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         delay, streak = state.get if state.exists else (rule.start, 0)
-        for batch in batches:
-            for action in batch.sort_values(["ts", "seq"])["action"]:
-                if action == "failure":
-                    delay, streak = min(rule.cap, delay * 2), 0
-                elif action == "success":
-                    streak += 1
-                    if streak >= rule.streak:
-                        delay, streak = max(rule.floor, delay - rule.step), 0
+        for action in pd.concat(batches).sort_values(["ts", "seq"])["action"]:
+            if action == "failure":
+                delay, streak = min(rule.cap, delay * 2), 0
+            elif action == "success":
+                streak += 1
+                if streak >= rule.streak:
+                    delay, streak = max(rule.floor, delay - rule.step), 0
         state.update((float(delay), int(streak)))
         yield pd.DataFrame([[key[0], float(delay), int(streak)]], columns=["crawler", "delay", "streak"])
 
