@@ -165,13 +165,12 @@ COLOR_HEX = [
 DEFAULT_HEX = "#cbd5e1"
 
 # Mecabricks part ids that map to themselves plus ".dat" or to a renamed file.
-MECABRICKS_PARTS = """
-3005 3004 3003 3002 3001 3010 3009 3008 3007 3006 3024 3023 3022 3021 3020 3710 3666 3460 3032 3031
-3030 3035 3034 3832 3036 3958 3062=3062b 3062b 3941
-""".split()
 MECABRICKS_PARTS = [
-    (name, f"{target or name}.dat")
-    for name, _, target in (entry.partition("=") for entry in MECABRICKS_PARTS)
+    ("3005", "3005.dat"), ("3004", "3004.dat"), ("3003", "3003.dat"), ("3002", "3002.dat"), ("3001", "3001.dat"), ("3010", "3010.dat"),
+    ("3009", "3009.dat"), ("3008", "3008.dat"), ("3007", "3007.dat"), ("3006", "3006.dat"), ("3024", "3024.dat"), ("3023", "3023.dat"),
+    ("3022", "3022.dat"), ("3021", "3021.dat"), ("3020", "3020.dat"), ("3710", "3710.dat"), ("3666", "3666.dat"), ("3460", "3460.dat"),
+    ("3032", "3032.dat"), ("3031", "3031.dat"), ("3030", "3030.dat"), ("3035", "3035.dat"), ("3034", "3034.dat"), ("3832", "3832.dat"),
+    ("3036", "3036.dat"), ("3958", "3958.dat"), ("3062", "3062b.dat"), ("3062b", "3062b.dat"), ("3941", "3941.dat"),
 ]
 
 # Mecabricks colour names in match order.

@@ -216,9 +216,9 @@ def ingest_models(spark, sf):
 
 @query("incremental_ingest", ORACLES["ingest_models"])
 def incremental_ingest(spark, sf):
-    """Texts of all assemblies arrive as a stream and end up in a versioned catalog."""
+    """Texts of all assemblies arrive as a stream and end up in a catalog of batches."""
     from brickloom.sinks.ldraw import to_ldraw
-    from brickloom.streaming.jobs import VersionedCatalog, ingest_stream, scratch_folder
+    from brickloom.streaming.jobs import BatchCatalog, ingest_stream, scratch_folder
 
     lines = to_ldraw(placed_parts(spark, sf))
     ordered = F.array_sort(F.collect_list(F.struct("ord", "sub", "line")))
@@ -227,6 +227,6 @@ def incremental_ingest(spark, sf):
     models = texts.select(named.alias("assembly_id"), named.alias("file_path"), F.lit("BrickLink").alias("source"), "text")
     folder = scratch_folder(spark, "inbox")
     models.write.parquet(f"{folder}/models")
-    catalog = VersionedCatalog(spark, f"{folder}/catalog")
+    catalog = BatchCatalog(spark, f"{folder}/catalog")
     ingest_stream(spark.readStream.schema(models.schema).parquet(f"{folder}/models"), catalog, f"{folder}/progress")
     return catalog.read("sets").drop("source", "file_path")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -134,14 +135,28 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.regexp_replace(name, r"\.[^.]*$", "").alias("assembly_id"), "content")
 
 
+def _part_attributes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Attributes of every Part element below the root; a text that is no XML document has none."""
+    for batch in batches:
+        rows = []
+        for key, text in zip(batch["assembly_id"], batch["text"]):
+            try:
+                found = ElementTree.fromstring(text or "").findall(".//Part")
+            except ElementTree.ParseError:
+                continue
+            rows += [(key, i, dict(part.attrib)) for i, part in enumerate(found)]
+        yield pd.DataFrame(rows, columns=["assembly_id", "part_index", "attributes"])
+
+
 def studio_xml_parts(scenes: DataFrame) -> DataFrame:
     """assembly_id, text (document.xml) -> placed parts; identity defaults, missing colour 14."""
-    tags = F.regexp_extract_all("text", F.lit(r"<Part(\s[^>]*)>"), F.lit(1))
-    parts = scenes.select("assembly_id", F.posexplode(tags).alias("part_index", "tag"))
+    key = scenes.schema["assembly_id"].dataType.simpleString()
+    parts = scenes.select("assembly_id", "text").mapInPandas(
+        _part_attributes, f"assembly_id {key}, part_index INT, attributes MAP<STRING, STRING>"
+    )
 
     def attr(name: str) -> Column:
-        pattern = rf"""\s{name}\s*=\s*["']([^"']*)["']"""
-        return F.when(F.col("tag").rlike(pattern), F.regexp_extract("tag", pattern, 1))
+        return F.col("attributes")[name]
 
     def number(name: str, default: float) -> Column:
         return F.coalesce(attr(name).try_cast("double"), F.lit(default))

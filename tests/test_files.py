@@ -3,7 +3,7 @@ import zipfile
 
 from brickloom.sources import documents as d
 from brickloom.sources import ldraw as src
-from brickloom.streaming.jobs import VersionedCatalog, incremental_ingest
+from brickloom.streaming.jobs import BatchCatalog, incremental_ingest
 
 MODEL = "0 NAME Car\n1 4 0 0 0 1 0 0 0 1 0 0 0 1 3005.dat\n1 4 0 -24 0 1 0 0 0 1 0 0 0 1 3005.dat\n"
 
@@ -14,7 +14,7 @@ def test_files_are_read_and_ingested_once(spark, tmp_path):
     (inbox / "car.ldr").write_text(MODEL)
     (inbox / "9999-1.ldr").write_text(MODEL)
     assert {r.assembly_id for r in src.read_ldraw(spark, str(inbox)).collect()} == {"car", "9999-1"}
-    catalog = VersionedCatalog(spark, str(tmp_path / "catalog"))
+    catalog = BatchCatalog(spark, str(tmp_path / "catalog"))
     for _ in range(2):
         incremental_ingest(spark, str(inbox), catalog, str(tmp_path / "progress"))
     row = catalog.read("sets").collect()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from brickloom.operators import catalog, construct
 from brickloom.sinks.ldraw import to_ldraw_paged
+from brickloom.sources import documents
 from brickloom.streaming import events as e
 
 EVENTS = "model_id int, crawler int, ts timestamp, seq long, action string, error string"
@@ -93,3 +94,10 @@ def test_layers_give_the_queue_order():
         high = low + r.integers(1, 4, (n, 3)) * 10.0
         box = np.stack([low, high], 2).reshape(n, 6)
         assert np.argsort(construct._layers(box, box[:, 2:4].mean(1))).tolist() == queue_order(box, box[:, 2:4].mean(1))
+
+
+def test_studio_parts_of_real_xml(spark):
+    text = '<S><!-- <Part design="no"/> --><G><Part/><Part design="a&amp;b" color="3" tx="1.5"></Part></G></S>'
+    rows = [("m", text), ("broken", "<S><Part"), ("none", None)]
+    got = documents.studio_xml_parts(spark.createDataFrame(rows, "assembly_id string, text string")).collect()
+    assert [(r.assembly_id, r.part_index, r.part_id, r.color, r.transform[3]) for r in got] == [("m", 0, "None.dat", 14, 0.0), ("m", 1, "a&b.dat", 3, 1.5)]
