@@ -151,9 +151,18 @@ def _word_id(word: Column) -> Column:
     base = len(SPECIALS)
     number = F.when(word.rlike(r"^(0|-?[1-9]\d{0,2})$"), word.try_cast("int"))
     in_range = F.when(number.between(-500, 499), number + 500 + base)
-    named = {w: i for i, w in enumerate(token_vocabulary()) if not w.lstrip("-").isdigit()}
-    table = _map(list(named.items()))
-    return F.coalesce(in_range, F.try_element_at(table, word), F.lit(1))
+    ids = {w: i for i, w in enumerate(token_vocabulary()) if not w.lstrip("-").isdigit()}
+
+    def named(fits) -> Column:
+        return F.try_element_at(_map([(w, i) for w, i in ids.items() if fits(w)]), word)
+
+    # the ending tells which few names a word can be, so most words meet neither the pattern nor the list of parts
+    known = (
+        F.when(word.endswith(".dat"), named(lambda w: w.endswith(".dat")))
+        .when(word.contains("."), named(lambda w: "." in w and not w.endswith(".dat")))
+        .otherwise(F.coalesce(in_range, named(lambda w: "." not in w)))
+    )
+    return F.coalesce(known, F.lit(1))
 
 
 def ldraw_encode(text: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from fnmatch import fnmatchcase
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -95,18 +96,12 @@ def mbx_parts(scenes: DataFrame, scale: float = 2500.0) -> DataFrame:
 
 # --- archives -------------------------------------------------------------------------------------
 
-PREFERRED = ["model.ldr", "modelv2.ldr", "model2.ldr"]
+# Names that an archive's model may have, the best first.
+MODEL_NAMES = ["*.mbx", "model.ldr", "modelv2.ldr", "model2.ldr", "*.[lL][dD][rR]", "document.xml"]
 
 
 def _pick(names: list[str]) -> str | None:
-    scenes = [n for n in names if n.endswith(".mbx")]
-    if scenes:
-        return scenes[0]
-    models = [n for n in names if n.lower().endswith(".ldr")]
-    for name in [*PREFERRED, *models[:1]]:
-        if name in models:
-            return name
-    return "document.xml" if "document.xml" in names else None
+    return next((n for pattern in MODEL_NAMES for n in names if fnmatchcase(n, pattern)), None)
 
 
 def _unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -175,22 +170,29 @@ def studio_xml_parts(scenes: DataFrame) -> DataFrame:
 # Columns of the ten dump tables. int: required number, int?: number or NULL,
 # int0: number or 0, flag: t/f to 1/0, text: as is.
 DUMPS = {
-    "colors": "id int, name text, rgb text, is_trans flag",
-    "themes": "id int, name text, parent_id int?",
-    "part_categories": "id int, name text",
-    "parts": "part_num text, name text, part_cat_id int, part_material text",
-    "sets": "set_num text, name text, year int?, theme_id int?, num_parts int0, img_url text",
-    "minifigs": "fig_num text, name text, num_parts int0, img_url text",
-    "inventories": "id int, version int, set_num text",
-    "inventory_parts": "inventory_id int, part_num text, color_id int, quantity int, is_spare flag, img_url text",
-    "inventory_minifigs": "inventory_id int, fig_num text, quantity int",
-    "elements": "element_id text, part_num text, color_id int",
+    "colors": [("id", "int"), ("name", "text"), ("rgb", "text"), ("is_trans", "flag")],
+    "themes": [("id", "int"), ("name", "text"), ("parent_id", "int?")],
+    "part_categories": [("id", "int"), ("name", "text")],
+    "parts": [("part_num", "text"), ("name", "text"), ("part_cat_id", "int"), ("part_material", "text")],
+    "sets": [("set_num", "text"), ("name", "text"), ("year", "int?"), ("theme_id", "int?"), ("num_parts", "int0"), ("img_url", "text")],
+    "minifigs": [("fig_num", "text"), ("name", "text"), ("num_parts", "int0"), ("img_url", "text")],
+    "inventories": [("id", "int"), ("version", "int"), ("set_num", "text")],
+    "inventory_parts": [
+        ("inventory_id", "int"),
+        ("part_num", "text"),
+        ("color_id", "int"),
+        ("quantity", "int"),
+        ("is_spare", "flag"),
+        ("img_url", "text"),
+    ],
+    "inventory_minifigs": [("inventory_id", "int"), ("fig_num", "text"), ("quantity", "int")],
+    "elements": [("element_id", "text"), ("part_num", "text"), ("color_id", "int")],
 }
 _CORRUPT = "_corrupt"
 
 
 def dump_columns(table: str) -> list[tuple[str, str]]:
-    return [tuple(c.split()) for c in DUMPS[table].split(", ")]
+    return DUMPS[table]
 
 
 def dump_schema(table: str) -> str:
