@@ -28,6 +28,7 @@ class ToxicityParams:
     epochs: int = 20
     rate: float = 0.5
     heat: float = 40.0  # factor of the averaged embedding before the softmax
+    empty: float = 0.1  # weight of the empty text beside that of both classes
     min_docs: int = 5
     damping: float = 0.999  # quantile of the buckets' gradients below which steps shrink
     clean_share: int = 2  # clean rows of the sample for every toxic one
@@ -119,9 +120,9 @@ def train(texts: list[str], toxic: list[int], p: ToxicityParams = ToxicityParams
         for n in rng.integers(3, 17, p.excerpts if len(own) > 3 else 0).tolist():
             at = int(rng.integers(0, max(1, len(own) - n)))
             short.append(" ".join(own[at : at + n]))
-    short += [""] * (len(texts) // 20)  # and an empty text is clean
-    texts = [*texts, *short]
-    y = np.concatenate([y, np.zeros(len(short), np.int64)])
+    empty = len(texts) // 20 + 1  # an empty text is clean as well, which keeps the bias down
+    texts = [*texts, *short, *[""] * empty]
+    y = np.concatenate([y, np.zeros(len(short) + empty, np.int64)])
     order = rng.permutation(len(texts))
     batches = [order[i : i + p.batch] for i in range(0, len(order), p.batch)]
     rows = [Training([texts[i] for i in own], p) for own in batches]
@@ -135,6 +136,7 @@ def train(texts: list[str], toxic: list[int], p: ToxicityParams = ToxicityParams
     se, sw, sb = np.full(p.buckets, 1e-8, np.float32), np.full_like(w, 1e-8), np.full_like(b, 1e-8)
     want = np.eye(2, dtype=np.float32)[y]
     weight = (0.5 * len(y) / np.bincount(y, minlength=2))[y].astype(np.float32)[:, None]  # either class counts half
+    weight[-empty:] = p.empty * len(y) / empty
     for epoch in range(-1, p.epochs):
         for i in rng.permutation(len(rows)):
             part, own = rows[i], batches[i]
