@@ -24,8 +24,8 @@ class ToxicityParams:
     dim: int = 4
     shortest: int = 3  # character n-grams of the word in brackets
     longest: int = 5
-    batch: int = 800
-    epochs: int = 20
+    batch: int = 800  # rows of a step, fewer where the sample is small
+    steps: int = 400
     rate: float = 0.5
     heat: float = 40.0  # factor of the averaged embedding before the softmax
     empty: float = 0.1  # weight of the empty text beside that of both classes
@@ -124,7 +124,8 @@ def train(texts: list[str], toxic: list[int], p: ToxicityParams = ToxicityParams
     texts = [*texts, *short, *[""] * empty]
     y = np.concatenate([y, np.zeros(len(short) + empty, np.int64)])
     order = rng.permutation(len(texts))
-    batches = [order[i : i + p.batch] for i in range(0, len(order), p.batch)]
+    size = min(p.batch, max(64, len(order) // 16))
+    batches = [order[i : i + size] for i in range(0, len(order), size)]
     rows = [Training([texts[i] for i in own], p) for own in batches]
     seen = np.zeros(p.buckets, np.int64)
     for part in rows:
@@ -137,7 +138,7 @@ def train(texts: list[str], toxic: list[int], p: ToxicityParams = ToxicityParams
     want = np.eye(2, dtype=np.float32)[y]
     weight = (0.5 * len(y) / np.bincount(y, minlength=2))[y].astype(np.float32)[:, None]  # either class counts half
     weight[-empty:] = p.empty * len(y) / empty
-    for epoch in range(-1, p.epochs):
+    for epoch in range(-1, -(-p.steps // len(batches))):
         for i in rng.permutation(len(rows)):
             part, own = rows[i], batches[i]
             if not part.filled.any():

@@ -8,7 +8,7 @@ import corpus_pipeline
 from brickloom.llm import near_dup, packing, pii, queries, toxicity
 
 SF = "/root/testdata/sf0.01"
-QUICK = toxicity.ToxicityParams(per_class=60, buckets=1 << 14, epochs=8, batch=60)
+QUICK = toxicity.ToxicityParams(per_class=60, buckets=1 << 14, steps=80, batch=60)
 
 
 def made(n, seed):
