@@ -8,6 +8,7 @@ times the difference of the two classes' weights, which the tasks sum up per wor
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 from dataclasses import dataclass
 
@@ -67,20 +68,25 @@ class Training:
                 ids.append(vocabulary.setdefault(w, len(vocabulary)))
                 counts.append(n)
         # equal buckets of a word count as often as they occur, as in scoring
-        per = [features(w, p) for w in vocabulary]
-        self.size = np.array([len(f) for f in per] or [0], np.int64)
-        buckets = np.array([b for f in per for b in f], np.int64)
-        self.used, self.feature = np.unique(buckets, return_inverse=True)  # only buckets that occur are trained
-        self.word_of = np.repeat(np.arange(len(per)), self.size[: len(per)])
-        self.by_feature = np.argsort(self.feature, kind="stable")
-        self.feature_starts = np.searchsorted(self.feature[self.by_feature], np.arange(len(self.used)))
-        self.doc, self.word = np.array(docs, np.int64), np.array(ids, np.int64)
+        buckets, sizes = array("i"), array("i")
+        for w in vocabulary:
+            own = features(w, p)
+            buckets.extend(own)
+            sizes.append(len(own))
+        self.size = np.array(sizes, np.int64)
+        # only buckets that occur are trained; positions fit 32 bits, which halves what the driver holds
+        self.used, feature = np.unique(np.array(buckets, np.int32), return_inverse=True)
+        self.feature = feature.astype(np.int32)
+        self.word_of = np.repeat(np.arange(len(sizes), dtype=np.int32), self.size)
+        self.by_feature = np.argsort(self.feature, kind="stable").astype(np.int32)
+        self.feature_starts = np.searchsorted(self.feature[self.by_feature], np.arange(len(self.used))).astype(np.int32)
+        self.doc, self.word = np.array(docs, np.int32), np.array(ids, np.int32)
         counts = np.array(counts, np.float64)
         total = np.bincount(self.doc, counts * self.size[self.word], len(texts)) if len(docs) else np.ones(len(texts))
         self.share = (counts / np.maximum(total, 1)[self.doc]).astype(np.float32) if len(docs) else counts
-        self.by_word = np.argsort(self.word, kind="stable")
-        self.word_starts = np.searchsorted(self.word[self.by_word], np.arange(len(per)))
-        self.word_ends = np.concatenate([[0], np.cumsum(self.size[: len(per)])])[:-1]
+        self.by_word = np.argsort(self.word, kind="stable").astype(np.int32)
+        self.word_starts = np.searchsorted(self.word[self.by_word], np.arange(len(sizes))).astype(np.int32)
+        self.word_ends = np.concatenate([[0], np.cumsum(self.size)])[:-1]
         self.doc_starts = np.searchsorted(self.doc, np.arange(len(texts)))
         self.filled = np.bincount(self.doc, minlength=len(texts)) > 0
 
