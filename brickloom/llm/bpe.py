@@ -15,11 +15,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from brickloom.llm.common import PieceCache, batched, pieces
+from brickloom.llm.common import batched, pieces
 
 _SHIFT = 24  # a word has fewer than 2 ** 24 bytes for its positions and ranks to share a key
 LONG = 128  # bytes from which a word goes through the query that contracts many pairs in a round
-_OPEN: dict[str, PieceCache] = {}
+_OPEN: dict[str, Memory] = {}
 
 # k: word << 24 | first byte, e: the same of the byte after the token. A row of ``best`` is a word's pair of this round.
 _ENCODE = f"""
@@ -137,26 +137,38 @@ class Encoder:
         return out
 
 
-def _encoder(path: str, pattern: str) -> PieceCache:
-    """One database and cache per worker process and vocabulary file."""
-    if path not in _OPEN:
-        import regex
-
-        find, core, known = regex.compile(pattern).findall, Encoder(path), {}
+class Memory:
+    """Encodings of pieces, and of the words they are made of, that this worker process has met."""
 
-        def encode(batch: list[str]) -> list[tuple[bytes, bytes, int]]:
-            cut = [find(p) for p in batch]
-            if len(known) > 300_000:
-                known.clear()
-            new = list({w for ws in cut for w in ws if w not in known})
-            for i in range(0, len(new), 50_000):
-                part = new[i : i + 50_000]
-                known.update(zip(part, core.words([w.encode() for w in part]), strict=True))
-            whole = [[known[w] for w in ws] for ws in cut]
-            return [ws[0] if len(ws) == 1 else (b"".join(w[0] for w in ws), b"".join(w[1] for w in ws), sum(w[2] for w in ws)) for ws in whole]
+    def __init__(self, path: str, pattern: str):
+        import regex
 
-        _OPEN[path] = PieceCache(encode, limit=300_000)
-    return _OPEN[path]
+        self.find, self.core, self.words, self.known = regex.compile(pattern).findall, Encoder(path), {}, {}
+
+    def learn(self, strings: set[str]) -> None:
+        """Encode pieces; the new words of all of them go to the database together."""
+        cut = {p: self.find(p) for p in strings}
+        if len(self.words) > 300_000:
+            self.words.clear()
+        new = list({w for ws in cut.values() for w in ws if w not in self.words})
+        for i in range(0, len(new), 50_000):
+            part = new[i : i + 50_000]
+            self.words.update(zip(part, self.core.words([w.encode() for w in part]), strict=True))
+        if len(self.known) > 300_000:
+            self.known.clear()
+        for p, ws in cut.items():
+            all_ = [self.words[w] for w in ws]
+            self.known[p] = all_[0] if len(all_) == 1 else (b"".join(w[0] for w in all_), b"".join(w[1] for w in all_), sum(w[2] for w in all_))
+
+    def texts(self, texts: list[str]) -> list[list[tuple[bytes, bytes, int]]]:
+        cut = [pieces(t) for t in texts]
+        strings = [[*c[:1], *[" " + p for p in c[1:]]] for c in cut]
+        need = set().union(*strings)
+        new = need - self.known.keys()
+        if len(self.known) + len(new) > 300_000:
+            new = need  # learning will forget the rest
+        self.learn(new)
+        return [[self.known[p] for p in ps] for ps in strings]
 
 
 def round_trips(documents: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -170,7 +182,9 @@ def round_trips(documents: DataFrame, path: str, pattern: str) -> DataFrame:
         for batch in batches:
             rows = zip(batch["text"].to_pylist(), batch["doc_id"].to_pylist(), strict=True)
             for group in batched(rows, 2000):
-                found = _encoder(path, pattern).of([pieces(t or "") for t, _ in group])
+                if path not in _OPEN:
+                    _OPEN[path] = Memory(path, pattern)
+                found = _OPEN[path].texts([t or "" for t, _ in group])
                 ids = [hashlib.sha256(b"".join(p[0] for p in ps)).hexdigest() for ps in found]
                 back = [hashlib.sha256(b"".join(p[1] for p in ps)).hexdigest() for ps in found]
                 yield pa.RecordBatch.from_arrays(

@@ -48,25 +48,11 @@ _BLANK = re.compile(r"(?<=\S) (?=\S)")
 
 
 def pieces(text: str) -> list[str]:
-    """Cut a text where a single blank stands between two visible characters; all pieces but the first keep their blank."""
-    first, *rest = _BLANK.split(text)
-    return [first, *[" " + x for x in rest]] if first or rest else []
-
-
-class PieceCache:
-    """Encodings of text pieces, computed in batches by ``encode`` and forgotten when ``limit`` is reached."""
-
-    def __init__(self, encode: Callable[[list[str]], Iterable], limit: int = 400_000):
-        self.encode, self.limit, self.known = encode, limit, {}
-
-    def of(self, cut: list[list[str]]) -> list[list]:
-        """The encodings of the pieces of several texts."""
-        if len(self.known) > self.limit:
-            self.known = {}
-        known = self.known
-        new = list({p for ps in cut for p in ps if p not in known})
-        known.update(zip(new, self.encode(new), strict=True))
-        return [[known[p] for p in ps] for ps in cut]
+    """Cut a text where a single blank stands between two visible characters; the blanks themselves are left out."""
+    cut = text.split(" ")
+    if "" in cut or " ".join(map(str.strip, cut)) != text:
+        cut = _BLANK.split(text)  # some blank has white space or an end beside it
+    return cut if text else []
 
 
 def batched(rows: Iterable, size: int, limit_chars: int = 4_000_000):
