@@ -18,8 +18,9 @@ LANES = 256
 STEPS = 1024
 CHECK = 256  # steps between checkpoints
 BLOCK = LANES * STEPS
-LOW = np.uint64(1 << 31)
-_32 = np.uint64(32)
+# States stay between 2 ** SCALE and 2 ** (SCALE + 32), so they are exact as float64, which numpy divides much faster.
+LOW = float(1 << SCALE)
+WORD = float(1 << 32)
 
 
 @dataclass
@@ -63,27 +64,26 @@ def unpack_table(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 def _encode_side_by_side(codes: np.ndarray, freq: np.ndarray, start: np.ndarray) -> tuple[list[np.ndarray], list[list[int]], list[np.ndarray]]:
     """codes: (blocks, steps, LANES) positions in the table -> words, checkpoint places and states per block."""
     blocks, steps, _ = codes.shape
-    x = np.full((blocks, LANES), LOW, np.uint64)
+    x = np.full((blocks, LANES), LOW)
     out: list[list[np.ndarray]] = [[] for _ in range(blocks)]
     written = np.zeros(blocks, np.int64)
     marks, states = [], []
-    limit = np.uint64(63 - SCALE)
     for s in range(steps - 1, -1, -1):
         c = codes[:, s]
         f = freq[c]
-        full = (x >> limit) >= f
-        low = x.astype(np.uint32)
+        full = x >= f * WORD
+        high = np.floor(x * (1 / WORD))
+        low = x - high * WORD
         per = full.sum(1)
-        for b in np.flatnonzero(per):
+        for b in np.flatnonzero(per).tolist():
             out[b].append(low[b][full[b]])
         written += per
-        x = np.where(full, x >> _32, x)
-        q = x // f
-        x = (q << np.uint64(SCALE)) + (x - q * f) + start[c]
+        np.copyto(x, high, where=full)
+        x += np.floor(x / f) * (LOW - f) + start[c]
         if s % CHECK == 0:
             marks.append(written.copy())
-            states.append(x.copy())
-    words = [np.concatenate(w[::-1]) if w else np.empty(0, np.uint32) for w in out]
+            states.append(x.astype(np.uint64))
+    words = [np.concatenate(w[::-1]).astype(np.uint32) if w else np.empty(0, np.uint32) for w in out]
     places = [[int(written[b] - m[b]) for m in marks[::-1]] for b in range(blocks)]
     return words, places, [np.stack([s[b] for s in states[::-1]]) for b in range(blocks)]
 
@@ -93,8 +93,8 @@ def encode(ids: np.ndarray) -> tuple[bytes, list[Block]]:
     if not len(ids):
         return pack_table(np.empty(0, np.int64), np.empty(0, np.int64)), []
     symbols, scaled = frequencies(ids)
-    freq = scaled.astype(np.uint64)
-    start = np.concatenate([[0], np.cumsum(scaled)[:-1]]).astype(np.uint64)
+    freq = scaled.astype(np.float64)
+    start = np.concatenate([[0], np.cumsum(scaled)[:-1]]).astype(np.float64)
     position = np.zeros(int(symbols[-1]) + 1, np.int32)
     position[symbols] = np.arange(len(symbols))
     codes = position[ids]
@@ -122,10 +122,10 @@ def decode(table: bytes, blocks: list[Block]) -> np.ndarray:
     symbols, scaled = unpack_table(table)
     cum = np.concatenate([[0], np.cumsum(scaled)])
     slots = np.repeat(np.arange(len(symbols), dtype=np.int32), scaled)
-    freq, start = scaled.astype(np.uint64), cum[:-1].astype(np.uint64)
+    freq, start = scaled.astype(np.float64), cum[:-1].astype(np.float64)
     words = np.concatenate([np.frombuffer(b.words, "<u4") for b in blocks] + [np.zeros(LANES, "<u4")])
     base = np.concatenate([[0], np.cumsum([len(b.words) // 4 for b in blocks])])
-    x = np.concatenate([np.frombuffer(b.states, "<u8").reshape(-1, LANES) for b in blocks]).astype(np.uint64)
+    x = np.concatenate([np.frombuffer(b.states, "<u8").reshape(-1, LANES) for b in blocks]).astype(np.float64)
     at = np.concatenate([np.array(b.places) + base[i] for i, b in enumerate(blocks)])
     steps = np.concatenate([
         np.minimum(CHECK, -(-b.n // LANES) - CHECK * np.arange(len(b.places))) for b in blocks
@@ -133,18 +133,18 @@ def decode(table: bytes, blocks: list[Block]) -> np.ndarray:
     got = np.empty((len(at), CHECK, LANES), np.int32)
     order = np.argsort(-steps, kind="stable")  # the longer stretches first, so those still running are a prefix
     x, at, steps = x[order], at[order], steps[order]
-    mask = np.uint64((1 << SCALE) - 1)
     for s in range(int(steps[0])):
         k = int(np.searchsorted(-steps, -s, "left"))  # stretches that have a step s
         y = x[:k]
-        slot = y & mask
-        c = slots[slot.astype(np.int64)]
-        y = freq[c] * (y >> np.uint64(SCALE)) + slot - start[c]
+        high = np.floor(y * (1 / LOW))
+        slot = y - high * LOW
+        c = slots[slot.astype(np.int32)]
+        y = freq[c] * high + slot - start[c]
         got[:k, s] = c
         need = y < LOW
         rank = np.cumsum(need, axis=1)
         read = words[np.where(need, at[:k, None] + rank - 1, 0)]
-        x[:k] = np.where(need, (y << _32) | read, y)
+        x[:k] = np.where(need, y * WORD + read, y)
         at[:k] += rank[:, -1]
     result, row = [], np.empty(len(order), np.int64)
     row[order] = np.arange(len(order))
