@@ -5,6 +5,8 @@ coordinates share one of any ``coordinates - matches + 1`` of them, so a text is
 text need no posting, and long lists are skipped by all texts that have rarer values. Links are confirmed on whole sets of
 shingles, in two steps that never list all pairs of a group of copies:
 
+Ids, counts and pairs grow with the corpus, so the joins that carry texts or postings are merge joins at every size.
+
 1. within a posting list every text meets the list's most central one, and confirmed links make components;
 2. in the lists that still hold several components, the texts outside the list's largest component meet all others, in blocks
    of bounded size whose tasks give only links between components.
@@ -118,7 +120,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, p: NearParams) -> DataFrame:
 
     one = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     two = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return pairs.hint("merge").join(two, "b").hint("merge").join(one, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def _between(rows: pd.DataFrame, others: pd.DataFrame, p: NearParams) -> set[tuple[int, int]]:
@@ -174,7 +176,7 @@ def _rest(lists: DataFrame, labels: DataFrame, texts: DataFrame, p: NearParams)
         found = _between(d[d["out"]], d[~d["out"]], p) if d["out"].any() and not d["out"].all() else set()
         return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
 
-    blocks = all_.union(out).join(texts, "node")
+    blocks = all_.union(out).hint("merge").join(texts, "node")
     return blocks.groupBy("post", "i", "j").applyInPandas(meet, "a long, b long").distinct()
 
 
@@ -193,13 +195,13 @@ def near_duplicates(documents: DataFrame, p: NearParams = NearParams()) -> DataF
     posts = kinds.select("node", F.explode("postings").alias("post"))
     counts = stored(posts.groupBy("post").count().filter("count > 1"))
     prefix = (
-        posts.join(counts, "post").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("count", "post"))).alias("own"))
+        posts.join(counts.hint("merge"), "post").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("count", "post"))).alias("own"))
         .filter(F.size("own") >= p.matches)
         .select("node", F.aggregate("own", F.lit(0).cast("long"), lambda a, x: a + x["count"]).alias("weight"), F.slice("own", F.lit(1), F.size("own") - p.matches + 1).alias("own"))
     )
     lists = stored(prefix.select("node", "weight", F.explode("own.post").alias("post")))
     involved = lists.select("node").distinct()
-    texts = stored(documents.select(F.col("doc_id").alias("node"), "text").filter("node IS NOT NULL").join(involved, "node", "left_semi"))
+    texts = stored(documents.select(F.col("doc_id").alias("node"), "text").filter("node IS NOT NULL").join(involved.hint("merge"), "node", "left_semi"))
     centres = stored(lists.groupBy("post").agg(F.max(F.struct("weight", "node")).alias("c")).select("post", F.col("c.node").alias("a")))
     star = stored(lists.join(centres, "post").filter("node <> a").select("a", F.col("node").alias("b")).distinct())
     links = stored(_confirm(star, texts, p))

@@ -33,7 +33,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     verdict = near_dup.near_duplicates(docs)
     kept = verdict.filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    named = docs.filter("doc_id IS NOT NULL").join(kept.hint("merge"), "doc_id", "left_semi").select(*COLUMNS)
     # rows that repeat a doc_id are copies of it; the text of the least hash stands for it
     rest = [F.struct(F.xxhash64("text").alias("h"), *[c for c in COLUMNS if c != "doc_id"]).alias("row")]
     single = named.select("doc_id", *rest).groupBy("doc_id").agg(F.min("row").alias("row")).select("doc_id", "row.*").select(*COLUMNS)
