@@ -31,7 +31,8 @@ class TreeParams:
     least: int = 8  # rows of the sample that a leaf needs at least, which bounds the number of leaves
     rounds: int = 12  # of k-means
     calibration: int = 200  # queries of the calibration, by hash of vec_id
-    recall: float = 0.97  # share of the exact neighbours that the calibration must find
+    recall: float = 0.94  # share of the exact neighbours that the calibration must find
+    first: int = 2  # leaves whose best rows set the score that a query's other leaves must reach
     vectors: int = 2048  # rows of a block
     queries: int = 1024
 
@@ -123,10 +124,10 @@ def _matrix(column) -> np.ndarray:
     return np.stack(rows).astype(np.float64)
 
 
-def best(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, x: np.ndarray, top: int = TOP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, x: np.ndarray, top: int = TOP, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, vector id, score) of each query's ``top`` rows of x, itself left out; ties to the smaller id.
 
-    Equal rows are taken together with their least ids, and scores are summed row by row, so equal vectors tie exactly.
+    Rows whose score is below a query's ``floor`` are left out. Equal rows are taken together with their least ids, and scores are summed row by row, so equal vectors tie exactly.
     """
     order = np.argsort(vid, kind="stable")
     vid, x = vid[order], np.ascontiguousarray(x[order])
@@ -141,6 +142,8 @@ def best(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, x: np.ndarray, top: in
     s = q @ u.T
     k = min(top + 1, s.shape[1])
     edge = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+    if floor is not None:
+        edge = np.maximum(edge, floor)
     qi, ui = np.nonzero(s >= (edge - 1e-9 * (1 + np.abs(edge)))[:, None])
     exact = (q[qi] * u[ui]).sum(1)
     n = count[ui]
@@ -224,11 +227,32 @@ def nearest(vectors: DataFrame, every: int = 20, top: int = TOP, p: TreeParams =
         for b in batches:
             if len(b):
                 paths = shared.value.visits(_matrix(b["embedding"]), most)
-                n = [len(x) for x in paths]
+                n = np.array([len(x) for x in paths])
                 at = pa.array(np.repeat(np.arange(len(b)), n))
-                yield pa.RecordBatch.from_arrays([b["query_id"].take(at), b["embedding"].take(at), pa.array(np.concatenate(paths))], names=["query_id", "embedding", "leaf"])
+                nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                yield pa.RecordBatch.from_arrays(
+                    [b["query_id"].take(at), b["embedding"].take(at), pa.array(np.concatenate(paths)), pa.array(nth)],
+                    names=["query_id", "embedding", "leaf", "nth"],
+                )
+
+    visits = stored(asked.mapInArrow(walk, "query_id long, embedding array<float>, leaf long, nth long"))
+    # the walk goes in three parts; what the earlier ones found is the floor of the later ones
+    found, begin = None, 0
+    for end in sorted({min(p.first, most), max(min(p.first, most), most // 8), most}):
+        part = visits.filter((F.col("nth") >= begin) & (F.col("nth") < end))
+        if found is None:
+            part = part.withColumn("floor", F.lit(None).cast("double"))
+        else:
+            floors = found.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == top, F.min("score")).alias("floor"))
+            part = part.join(floors, "query_id", "left")
+        new = _meet(index, part, top, p)
+        found = stored(_ranked((new if found is None else found.union(new)).distinct(), top).select("query_id", "vec_id", "score"))
+        begin = end
+    return _ranked(found, top).select("query_id", "rank", "vec_id", "score")
+
 
-    visits = stored(asked.mapInArrow(walk, "query_id long, embedding array<float>, leaf long"))
+def _meet(index: DataFrame, visits: DataFrame, top: int, p: TreeParams) -> DataFrame:
+    """The best rows of every visited leaf, block by block; rows below a query's floor are not given."""
     # leaves are bounded by the sample, so these counts are a small table
     held = index.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / p.vectors).cast("int").alias("chunks"))
     called = visits.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / p.queries).cast("int").alias("calls"))
@@ -236,14 +260,14 @@ def nearest(vectors: DataFrame, every: int = 20, top: int = TOP, p: TreeParams =
     ones = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     key = ["leaf", "chunk", "call"]
     left = index.join(F.broadcast(sizes), "leaf").select("leaf", F.pmod(F.xxhash64("vec_id"), "chunks").cast("int").alias("chunk"), ones("calls").alias("call"), "vec_id", "embedding")
-    right = visits.join(F.broadcast(sizes), "leaf").select("leaf", ones("chunks").alias("chunk"), F.pmod(F.xxhash64("query_id"), "calls").cast("int").alias("call"), "query_id", "embedding")
+    right = visits.join(F.broadcast(sizes), "leaf").select("leaf", ones("chunks").alias("chunk"), F.pmod(F.xxhash64("query_id"), "calls").cast("int").alias("call"), "query_id", "embedding", "floor")
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         b = b.drop_duplicates("query_id")
-        got = best(b["query_id"].to_numpy(), _matrix(b["embedding"]), a["vec_id"].to_numpy(), _matrix(a["embedding"]), top)
+        floor = b["floor"].fillna(-np.inf).to_numpy(np.float64)
+        got = best(b["query_id"].to_numpy(), _matrix(b["embedding"]), a["vec_id"].to_numpy(), _matrix(a["embedding"]), top, floor)
         return pd.DataFrame({"query_id": got[0], "vec_id": got[1], "score": got[2]})
 
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(meet, FOUND)
-    return _ranked(found, top).select("query_id", "rank", "vec_id", "score")
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(meet, FOUND)
