@@ -24,7 +24,7 @@ WINDOW = 40  # code points looked at on either side for context words
 class Kind:
     name: str
     pattern: str
-    guard: str  # a text without it has no span of the kind
+    guard: str  # one character, or a pattern; implied by the kind's pattern: a text without it has no span of the kind
     base: float  # score of a confirmed span
     context: str  # words that raise the score by RAISE
     accept: float  # least score to be reported
@@ -34,9 +34,9 @@ RAISE = 0.3
 KINDS = (
     Kind("email", EMAIL, "@", 0.7, "mail|e-mail|email|contact|write", 0.0),
     Kind("ip", IP, ".", 0.6, "ip|host|server|address|client", 0.0),
-    Kind("card", CARD, "", 0.7, "card|credit|visa|payment|pay", 0.0),
+    Kind("card", CARD, r"[0-9][\x20-]?[0-9]", 0.7, "card|credit|visa|payment|pay", 0.0),
     Kind("phone", PHONE, "+", 0.6, "phone|call|tel|mobile|fax", 0.0),
-    Kind("iban", IBAN, "", 0.7, "iban|bank|account|transfer", 0.6),
+    Kind("iban", IBAN, "[0-9]{2}", 0.7, "iban|bank|account|transfer", 0.6),
     Kind("ssn", SSN, "-", 0.4, "ssn|social|security|tax", 0.6),
 )
 BASE = ("email", "ip", "card", "phone")
@@ -108,7 +108,7 @@ def _starts(steps: Column, n: Column) -> Column:
 def _kind_spans(df: DataFrame, kind: Kind) -> DataFrame:
     """Add column _<kind>: array of (kind, start, end, score) of the accepted spans, by start."""
     text, m, p, s = F.col("_text"), F.col("_m"), F.col("_p"), F.col("_s")
-    has = text.contains(kind.guard) if kind.guard else text.rlike("[0-9]{2}")
+    has = text.contains(kind.guard) if len(kind.guard) == 1 else text.rlike(kind.guard)
     none = F.array().cast("array<string>")
     df = df.withColumn("_m", F.when(has, F.regexp_extract_all(text, F.lit(kind.pattern), 0)).otherwise(none))
     df = df.withColumn("_p", F.when(F.size(m) > 0, F.split(text, kind.pattern, -1)).otherwise(none))

@@ -54,6 +54,14 @@ def test_personal_data_spans(spark):
     assert pii.find_spans(df.limit(0)).count() == 0
 
 
+def test_cards_of_single_separated_digits(spark):
+    texts = [sep.join("4111111111111111") for sep in " -"] + ["pay " + "4-1 " * 3 + "by", " ".join("4111111111111112")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = pii.find_spans(df).withColumn("j", pii.joined(F.col("spans")))
+    assert {r.doc_id: r.j for r in got.collect()} == {i: ",".join(base_spans(t)) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.text for r in pii.mask(got).collect()} == {0: "[card]", 1: "[card]", 2: texts[2], 3: texts[3]}
+
+
 def test_masking(spark):
     df = spark.createDataFrame([(0, "to a.b@c.de at 1.2.3.4!"), (1, None), (2, "nothing")], "doc_id int, text string")
     got = {r.doc_id: r.text for r in pii.mask(pii.find_spans(df)).collect()}
