@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,7 +24,8 @@ BLOCKS = frozenset(
     "summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe object svg math noembed noframes xmp canvas audio video".split())
+RAW = frozenset("script style title textarea xmp".split())  # their content is no markup
+HIDDEN = frozenset("noscript template iframe object svg math noembed noframes canvas audio video".split())  # left out with what they hold
 CLOSED_BY_SAME = frozenset("li dt dd tr td th option".split())
 TITLES = frozenset("h1 h2 h3 h4 h5 h6".split())
 
@@ -44,6 +46,7 @@ NEXT_TO, SAME_PARENT = 60, 40  # capacities of the smoothness edges, the first d
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)([^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S
 )
+_HIDES = re.compile(rf"<(?:{'|'.join(sorted(HIDDEN))})(?![^\s/>])", re.I)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
@@ -80,12 +83,50 @@ def _open(tag: str, attributes: str, parent: _Node, number: int) -> _Node:
     return _Node(tag, parent, score, parent.link or tag == "a", number)
 
 
+def _raw_end(page: str, at: int, m: re.Match, tag: str) -> int:
+    """Where the content of a RAW element ends; without an end tag at the page's end, or at once when written as closed."""
+    end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
+    return end.end() if end else at if (m[3] or m[6] or "").endswith("/") else len(page)
+
+
+def _hidden(page: str) -> dict[int, int]:
+    """Start and end of the HIDDEN elements that their own end tag closes. Others (void, or closed by a surrounding one) hide nothing."""
+    ends: dict[int, int] = {}
+    if not _HIDES.search(page):
+        return ends
+    stack: list[tuple[str, int]] = []
+    count: Counter[str] = Counter()
+    at = 0
+    while m := _TOKEN.search(page, at):
+        at = m.end()
+        tag = (m[2] or m[5] or "").lower()
+        if m[1] or m[4]:
+            while count[tag]:
+                last, start = stack.pop()
+                count[last] -= 1
+                if last == tag:
+                    if tag in HIDDEN:
+                        ends[start] = at
+                    break
+        elif tag and tag not in VOID:
+            foreign = count["svg"] or count["math"]
+            if (tag in HIDDEN or foreign) and (m[3] or m[6] or "").endswith("/"):
+                continue
+            if tag in RAW and not foreign:
+                at = _raw_end(page, at, m, tag)
+                continue
+            stack.append((tag, m.start()))
+            count[tag] += 1
+    return ends
+
+
 def blocks(page: str) -> list[Block]:
     """Blocks of visible text in page order. Unclosed and misnested tags are closed as soon as a surrounding one closes."""
     root = here = _Node("", None, 0, False, 0)
     found: list[Block] = []
     parts: list[str] = []
     links = at = number = 0
+    hidden = _hidden(page)
 
     def say(raw: str) -> None:
         nonlocal links
@@ -125,8 +166,10 @@ def blocks(page: str) -> list[Block]:
                 here = node.parent or root
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            at = _raw_end(page, at, m, tag)
+            continue
+        if tag in HIDDEN:
+            at = hidden.get(m.start(), at)
             continue
         if tag in VOID:
             continue

@@ -45,6 +45,21 @@ def test_page_without_article():
     )
 
 
+def test_hidden_elements_hide_only_themselves():
+    one, two = "First para with some text. It goes on and on.", "Second para with some more text. It goes on as well."
+    for x in [
+        "<svg viewBox='0 0 1 1'/>", "<math/>", "<video src=x/>", "<video src=x>", "<object data=a/>", "<iframe src=x>", "<canvas>", "<audio><template>",
+        "<object data=a><object data=b>inner</object>outer words</object>", "<SVG><title/><text>No</text></SVG>", "<svg><style>p{}</style><path/></svg>",
+        "<video src=x><video src=y>No video</video>", "<noscript>Turn it on</noscript>", "<template><p>No</p></template>", "</video>", "<object><script>'</object>'</script>No</object>",
+    ]:
+        page = f"<html><body><article><p>{one}</p>{x}<p>{two}</p></article><svg><path/></svg><footer>(c)</footer></body></html>"
+        assert html_text.main_text(page) == f"{one} {two}", x
+        inside = page.replace(f"</p>{x}<p>", f" {x}</p><p>")
+        assert html_text.main_text(inside) == f"{one} {two}", x
+    assert html_text.main_text("<canvas>" * 20_000 + f"<article><p>{one}") == one
+    assert html_text.main_text(f"<article><svg><title/><p>{one}") == one
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None, 1), (2, None, "", 1), (None, "v", PAGE, 1), (3, "w", "<p", 1), (3, "w", "<div " * 2000, 1), (4, "x", PAGE * 60, 1)]
     df = spark.createDataFrame(rows, "page_id int, url string, html string, text int")
