@@ -122,6 +122,13 @@ def test_recall_of_the_table(spark):
     assert sum(len(got[q] & {i for i, _ in w}) for q, w in want.items()) >= 0.9 * sum(map(len, want.values()))
 
 
+def test_recall_reaches_the_calibrated_share(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    got = {(r.query_id, r.vec_id) for r in neighbours.nearest(df).collect()}
+    want = {(q, i) for q, w in plain_nearest([(r.vec_id, r.embedding) for r in df.collect()], 20, 20).items() for i, _ in w}
+    assert len(got & want) >= 0.97 * len(want)
+
+
 def test_few_or_no_vectors(spark):
     schema = "vec_id long, embedding array<float>"
     assert neighbours.nearest(spark.createDataFrame([], schema)).count() == 0
