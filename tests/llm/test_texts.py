@@ -111,6 +111,17 @@ def test_fingerprints_follow_the_weighted_similarity(spark):
         assert prints.setdefault(text, got[doc].fingerprint) == got[doc].fingerprint
 
 
+def test_fingerprint_error(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = {r.doc_id: r.near_edited for r in queries.QUERIES["op6_weighted_fingerprints"](spark, SF).collect()}
+
+    def exact(a, b):
+        a, b = windows(a).keys(), windows(b).keys()
+        return sum(map(len, a & b)) / sum(map(len, a | b))
+
+    assert np.sqrt(np.mean([(got[doc] - exact(text, other)) ** 2 for doc, text, other, _ in edited(rows)])) < 0.11
+
+
 def test_fingerprints_of_odd_rows(spark, odd_documents, no_documents):
     got = fingerprint.fingerprints(odd_documents).collect()
     assert len(got) == 10 and len({r.fingerprint for r in got if r.doc_id in (1, 5)}) == 1
