@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brickloom.llm import bpe, fingerprint, html_text, near_dup, neighbours, packing, pii, token_files, toxicity, urls
+from brickloom.llm import (
+    bpe, codes, fingerprint, html_text, languages, near_dup, neighbours, packing, phrases, pii, token_files, toxicity, urls,
+)
 from brickloom.llm.common import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -128,3 +130,80 @@ def _nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return near_dup.near_duplicates(docs, near_dup.NearParams(shingle=4))
+
+
+def _codes_sql(p: codes.CodeParams = codes.CodeParams()) -> str:
+    """Every round as one table of assignments and one of codebooks, with plain squared distances."""
+    steps = []
+    for r in range(p.rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT v, part, arg_min(entry, d * 256 + entry) AS entry, min(d) AS d FROM (
+    SELECT v, part, entry, sum((x - y) * (x - y)) AS d FROM c JOIN b{r} USING (part, pos) GROUP BY ALL) GROUP BY ALL)""")
+        if r < p.rounds:
+            steps.append(f"""
+b{r + 1} AS MATERIALIZED (
+  SELECT part, entry, pos, CASE WHEN n IS NULL THEN y ELSE (s - ((s % n) + n) % n) // n END AS y
+  FROM b{r} LEFT JOIN (
+    SELECT part, entry, pos, sum(x) AS s, count(*) AS n FROM c JOIN a{r} USING (v, part) GROUP BY ALL) USING (part, entry, pos))""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS v, vec_id, label, embedding FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c AS MATERIALIZED (
+  SELECT v, i // (w // {p.parts}) AS part, i % (w // {p.parts}) AS pos, floor({p.scale} * e::DOUBLE)::HUGEINT AS x FROM (
+    SELECT v, len(embedding) AS w, unnest(embedding) AS e, unnest(range(len(embedding))) AS i FROM kept)),
+b0 AS MATERIALIZED (SELECT part, v - 1 AS entry, pos, x AS y FROM c WHERE v <= {p.entries}),{",".join(steps)},
+coded AS (
+  SELECT v, string_agg(printf('%02x', entry::INT), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{p.rounds} GROUP BY v)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(y::VARCHAR, ',' ORDER BY part, entry, pos)) FROM b{p.rounds}) AS codebooks_sha256
+FROM kept JOIN coded USING (v)"""
+
+
+@query("op11_vector_codes", _codes_sql())
+def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
+def _phrases_sql(p: phrases.PhraseParams = phrases.PhraseParams()) -> str:
+    """Every phrase counted, every cut scored, every longer phrase looked at."""
+    return rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) AS piece FROM documents),
+words AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+f AS MATERIALIZED (
+  SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS a FROM (
+    SELECT lang, m, w, unnest(range(1, len(w) - m + 2)) AS i FROM words, (VALUES (1), (2), (3), (4)) AS sizes(m))
+  GROUP BY ALL HAVING count(*) >= {p.least}),
+inside AS (
+  SELECT lang, array_to_string(string_split(phrase, ' ')[i:i + k - 1], ' ') AS phrase, max(a) AS longest FROM (
+    SELECT lang, phrase, a, k, unnest(range(1, m - k + 2)) AS i FROM f, (VALUES (2), (3)) AS part(k) WHERE k < m)
+  GROUP BY ALL),
+alive AS (SELECT f.* FROM f LEFT JOIN inside USING (lang, phrase) WHERE m > 1 AND NOT coalesce(100 * longest >= {p.percent} * a, false)),
+parts AS (
+  SELECT lang, phrase, a, k, array_to_string(string_split(phrase, ' ')[:k], ' ') AS first, array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS rest
+  FROM alive, (VALUES (1), (2), (3)) AS cut(k) WHERE k < m),
+cuts AS (
+  SELECT parts.*, x.a AS l, y.a AS r, (2000000::HUGEINT * parts.a // (x.a + y.a))::BIGINT AS score
+  FROM parts JOIN f AS x ON x.lang = parts.lang AND x.phrase = first JOIN f AS y ON y.lang = parts.lang AND y.phrase = rest),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM lowest)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= {p.top}"""
+
+
+@query("op12_collocations", _phrases_sql())
+def _collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents", "lang", "text"))
+
+
+@query("op13_word_languages")
+def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = languages.fit(languages.sample(docs, languages.LanguageParams()))
+    found = languages.identify(docs, model).withColumn("held_out", languages.held_out(F.col("doc_id")))
+    return found.select("doc_id", "held_out", "lang_pred", "score", F.to_json("shares").alias("shares"))
