@@ -15,7 +15,6 @@ from stretch to stretch, then forward and backward inside the stretches. That is
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -28,7 +27,7 @@ from brickloom.llm.common import batched
 from brickloom.operators.scans import top_per_key
 
 _TOKEN = re.compile(r"\S+")
-_EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
@@ -65,28 +64,57 @@ def has_letter(word: str) -> bool:
     return word.isalpha() or any(map(str.isalpha, word))
 
 
-def features(word: str, lexicons: list[set], buckets: int) -> list[int]:
-    """Numbers of the word's features: affixes, character n-grams, and the languages whose lexicon has it."""
-    core = _EDGE.sub("", word.lower()) or word
-    named = [f"{kind}{core[cut]}" for k in (1, 2, 3) for kind, cut in (("<", slice(k)), (">", slice(-k, None)))]
-    # n-grams of long runs without white space repeat; each different one counts once
-    named += {core[i : i + n] for n in (1, 2, 3) for i in range(len(core) - n + 1)}
-    own = [buckets + k for k, lexicon in enumerate(lexicons) if core in lexicon]
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % buckets for g in named] + (own or [buckets + len(lexicons)])
+def core(word: str) -> str:
+    """The word in lower case from its first letter to its last; digits and marks inside stay."""
+    w = word.lower()
+    a, b = 0, len(w)
+    while a < b and not w[a].isalpha():
+        a += 1
+    while b > a and not w[b - 1].isalpha():
+        b -= 1
+    return w[a:b] or word
+
+
+def features(cores: list[str], lexicon: dict[str, int], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features of many words as (number of the word, number of the feature) pairs, all words at once.
+
+    Character n-grams of one to three characters, those at the start and at the end once more as affixes, and the word's lexicon.
+    """
+    n = len(cores)
+    size = np.fromiter(map(len, cores), np.int64, n)
+    code = np.frombuffer("".join(cores).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    owner, end = np.repeat(np.arange(n), size), np.cumsum(size)
+    at, first = np.arange(len(code)), end - size
+    h, owners, found = np.zeros(len(code), np.uint64), [], []
+    for k in (1, 2, 3):
+        use = at + k <= end[owner]
+        at, owner, h = at[use], owner[use], (h[use] * _MIX) ^ code[at[use] + k - 1]
+        for kind, some in ((3, slice(None)), (4, at == first[owner]), (5, at + k == end[owner])):
+            g = (h[some] + np.uint64(kind * 8 + k)) * _MIX
+            owners.append(owner[some])
+            found.append((g >> np.uint64(32)) % np.uint64(buckets))
+    owners.append(np.arange(n))
+    found.append(np.fromiter((lexicon.get(c, 0) for c in cores), np.int64, n) + buckets)
+    return np.concatenate(owners), np.concatenate([f.astype(np.int64) for f in found])
 
 
 @dataclass
 class Model:
     languages: list[str]
-    lexicons: list[set]
+    lexicon: dict[str, int]  # word to the number of its language, from 1 on; other words are 0
     weights: np.ndarray  # features x languages
     transitions: np.ndarray  # languages x languages
     params: LanguageParams
 
-    def emission(self, word: str) -> np.ndarray:
-        """Factor of each language at a word; the mean of its features keeps long words in bounds."""
-        s = self.weights[features(word, self.lexicons, self.params.buckets)].mean(axis=0)
-        return np.exp(s - s.max())
+    def emissions(self, cores: list[str]) -> np.ndarray:
+        """Factor of each language at each word; the mean of its features keeps long words in bounds."""
+        return _factors(self.weights, *features(cores, self.lexicon, self.params.buckets), len(cores))[0]
+
+
+def _factors(weights: np.ndarray, owner: np.ndarray, feature: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    count = np.bincount(owner, minlength=n)[:, None]
+    score = np.stack([np.bincount(owner, w, n) for w in weights[feature].T], axis=1) / count
+    return np.exp(score - score.max(axis=1, keepdims=True)), count
 
 
 def _chain(e: np.ndarray, move: np.ndarray, mask: np.ndarray, start: np.ndarray, end: np.ndarray):
@@ -173,13 +201,13 @@ def fit(spans: list[tuple[str, list[str]]], p: LanguageParams = LanguageParams()
     place = {lang: i for i, lang in enumerate(languages)}
     seen = [Counter() for _ in languages]
     for lang, span in spans:
-        seen[place[lang]].update({_EDGE.sub("", w.lower()) for w in span})
-    lexicons = []
+        seen[place[lang]].update({core(w) for w in span})
+    lexicon = {}
     for i in range(k):
-        # words of at least three spans, twice as frequent here as in all other languages together
+        # words of at least three spans, twice as frequent here as in all other languages together, hence of one language only
         own = {w: n for w, n in seen[i].items() if n >= 3 and n >= 2 * sum(c[w] for j, c in enumerate(seen) if j != i)}
-        lexicons.append(set(sorted(own, key=lambda w: (-own[w], w))[: p.lexicon]))
-    model = Model(languages, lexicons, np.zeros((p.buckets + k + 1, max(k, 1))), np.zeros((k, k)), p)
+        lexicon |= {w: i + 1 for w in sorted(own, key=lambda w: (-own[w], w))[: p.lexicon]}
+    model = Model(languages, lexicon, np.zeros((p.buckets + k + 1, k)), np.zeros((k, k)), p)
     if k:
         _train(model, spans, place)
     return model
@@ -190,10 +218,11 @@ def _train(model: Model, spans: list, place: dict) -> None:
     p, k = model.params, len(place)
     rng = np.random.default_rng(p.seed)
     vocabulary: dict[str, int] = {}
-    coded = [(place[lang], np.array([vocabulary.setdefault(w, len(vocabulary)) for w in span])) for lang, span in spans]
-    rows = [features(w, model.lexicons, p.buckets) for w in vocabulary]
-    sizes = np.array([len(r) for r in rows])
-    offset, flat = np.concatenate([[0], np.cumsum(sizes)]), np.concatenate(rows).astype(int)
+    coded = [(place[lang], np.array([vocabulary.setdefault(core(w), len(vocabulary)) for w in span])) for lang, span in spans]
+    owner_of, feature_of = features(list(vocabulary), model.lexicon, p.buckets)
+    order = np.argsort(owner_of, kind="stable")
+    flat, sizes = feature_of[order], np.bincount(owner_of, minlength=len(vocabulary))
+    offset = np.concatenate([[0], np.cumsum(sizes)])
     by_language = [[s for lang, s in coded if lang == i] for i in range(k)]
     past_w, past_t = np.full(model.weights.shape, 1e-6), np.full((k, k), 1e-6)
     length = p.words * p.strung
@@ -210,13 +239,12 @@ def _train(model: Model, spans: list, place: dict) -> None:
         used, inverse = np.unique(x[mask], return_inverse=True)
         which = np.concatenate([flat[offset[w] : offset[w + 1]] for w in used])
         owner = np.repeat(np.arange(len(used)), sizes[used])
-        score = np.stack([np.bincount(owner, model.weights[which, j], len(used)) for j in range(k)], axis=1) / sizes[used][:, None]
-        factor = np.exp(score - score.max(axis=1, keepdims=True))
+        factor, count = _factors(model.weights, owner, which, len(used))
         e = np.ones((p.batch, length, k))
         e[mask] = factor[inverse]
         post, pair = _expected(e, np.exp(model.transitions), mask)
         miss = np.eye(k)[y[mask]] - post[mask]
-        per_word = np.stack([np.bincount(inverse, miss[:, j], len(used)) for j in range(k)], axis=1) / sizes[used][:, None]
+        per_word = np.stack([np.bincount(inverse, miss[:, j], len(used)) for j in range(k)], axis=1) / count
         total = mask.sum()
         grad = np.stack([np.bincount(which, per_word[owner, j], len(model.weights)) for j in range(k)], axis=1) / total
         both = mask[:, 1:] & mask[:, :-1]
@@ -250,28 +278,41 @@ def _expected(e: np.ndarray, move: np.ndarray, mask: np.ndarray) -> tuple[np.nda
 
 
 class _Emissions(dict):
-    """Emissions of the words met, numbered; white-space runs without a letter have none."""
+    """Words met, numbered (-1 without a letter), and the table of their emissions, which ``fill`` brings up to date."""
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model, self.rows = model, []
+        self.model, self.new, self.table, self.n = model, [], np.empty((1024, len(model.languages))), 0
 
     def __missing__(self, word: str) -> int:
+        n = -1
         if has_letter(word):
-            self.rows.append(self.model.emission(word))
-            self[word] = n = len(self.rows) - 1
-        else:
-            self[word] = n = -1
+            n = self.n + len(self.new)
+            self.new.append(core(word))
+        self[word] = n
         return n
 
+    def fill(self) -> np.ndarray:
+        for part in batched(((c,) for c in self.new), 50_000, 1_000_000):
+            found = self.model.emissions([c for (c,) in part])
+            while self.n + len(found) > len(self.table):
+                self.table = np.concatenate([self.table, np.empty_like(self.table)])
+            self.table[self.n : self.n + len(found)] = found
+            self.n += len(found)
+        self.new = []
+        return self.table
+
+    def forget(self) -> None:
+        self.clear()
+        self.n = 0
+
 
 def _labelled(texts: list[str], model: Model, known: _Emissions) -> list[tuple[np.ndarray, np.ndarray]]:
     """Per text the places of its words among its runs of non-white-space, and their posteriors."""
     if len(known) > 300_000:
-        known.clear()
-        known.rows.clear()
-    found = [np.fromiter(map(known.__getitem__, t.split()), int) for t in texts]
-    table = np.array(known.rows).reshape(-1, len(model.languages))
+        known.forget()
+    found = [np.fromiter(map(known.__getitem__, t.split()), np.int64) for t in texts]
+    table = known.fill()
     places = [np.flatnonzero(f >= 0) for f in found]
     move = np.exp(model.transitions - model.transitions.max())
     return list(zip(places, posteriors([table[f[at]] for f, at in zip(found, places, strict=True)], move, model.params.stretch), strict=True))
