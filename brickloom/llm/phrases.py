@@ -41,7 +41,7 @@ class PhraseParams:
     percent: int = 80  # share of a phrase's occurrences inside a longer one that drops it
     first: int = 3  # prefixes of a language opened in the first round, as a multiple of top
     slice: int = 60_000  # prefixes opened in one round, all languages
-    flush: int = 4_000_000  # words a task holds before it hands on their counts
+    flush: int = 1_500_000  # words a task holds before it hands on their counts
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -49,10 +49,11 @@ def tokens(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).replace(_STOP, b" . ").split()
 
 
-def _rows(lang: str, phrases: pa.Array, counts: np.ndarray):
-    names = ["lang", "phrase", "a"]
-    columns = [pa.repeat(pa.scalar(lang), len(phrases)), phrases, pa.array(counts, pa.int64())]
-    return pa.Table.from_arrays(columns, names=names).to_batches(max_chunksize=65_536)
+def _rows(lang: str, counts: np.ndarray, phrases):
+    """Batches of lang, phrase, a; ``phrases`` gives the phrases from one place to another."""
+    for at in range(0, len(counts), 65_536):
+        n = counts[at : at + 65_536]
+        yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(n)), phrases(at, at + len(n)), pa.array(n, pa.int64())], names=["lang", "phrase", "a"])
 
 
 class _Numbers(dict):
@@ -69,12 +70,12 @@ def _roots(p: PhraseParams):
     def counts(lang, parts, words):
         ids = np.concatenate(parts)
         one, n = np.unique(ids[ids > 0], return_counts=True)
-        yield from _rows(lang, pa.array([""]), np.array([n.sum()]))
-        yield from _rows(lang, words.take(pa.array(one)), n)
+        yield from _rows(lang, np.array([n.sum()]), lambda a, b: pa.array([""]))
+        yield from _rows(lang, n, lambda a, b: words.take(pa.array(one[a:b])))
         both = (ids[:-1] > 0) & (ids[1:] > 0)
         two, n = np.unique(ids[:-1][both] << 32 | ids[1:][both], return_counts=True)
-        left, right = words.take(pa.array(two >> 32)), words.take(pa.array(two & 0xFFFFFFFF))
-        yield from _rows(lang, pc.binary_join_element_wise(left, right, " "), n)
+        side = lambda x: words.take(pa.array(x))
+        yield from _rows(lang, n, lambda a, b: pc.binary_join_element_wise(side(two[a:b] >> 32), side(two[a:b] & 0xFFFFFFFF), " "))
 
     def run(batches):
         numbers, held, n = _Numbers({_STOP: 0}), defaultdict(list), 0
@@ -117,6 +118,11 @@ class _Known(dict):
 def _growth(prefixes: list[tuple[str, str]]):
     """Counts of the phrases of three and four words that have an open prefix as their words 1 and 2 or 2 and 3."""
 
+    def given(counts):
+        for lang, c in counts.items():
+            phrases = list(c)
+            yield from _rows(lang, np.fromiter(c.values(), np.int64, len(c)), lambda a, b, x=phrases: pa.array(x[a:b], pa.binary()).cast(pa.string()))
+
     def run(batches):
         words, codes = {_STOP: -2}, defaultdict(list)
         for lang, phrase in prefixes:
@@ -143,12 +149,10 @@ def _growth(prefixes: list[tuple[str, str]]):
                 out.update([b" ".join(found[i : i + 3]) for i in starts.tolist()])
                 out.update([b" ".join(found[i : i + 4]) for i in starts[whole[starts + 3]].tolist()])
                 held += len(out) - before
-            if held > 1_000_000:
-                for lang, c in counts.items():
-                    yield from _rows(lang, pa.array(list(c), pa.binary()).cast(pa.string()), np.fromiter(c.values(), np.int64, len(c)))
-                counts, held = defaultdict(Counter), 0
-        for lang, c in counts.items():
-            yield from _rows(lang, pa.array(list(c), pa.binary()).cast(pa.string()), np.fromiter(c.values(), np.int64, len(c)))
+                if held > 500_000:
+                    yield from given(counts)
+                    counts, held = defaultdict(Counter), 0
+        yield from given(counts)
 
     return run
 

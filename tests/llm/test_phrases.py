@@ -59,7 +59,7 @@ def texts(seed, n=120):
 
 
 def test_phrases_against_all_counts(spark):
-    p = phrases.PhraseParams(least=3, top=15, first=1, slice=9, flush=700)
+    p = phrases.PhraseParams(least=3, top=15, first=1, slice=40, flush=700)
     rows = texts(3)
     assert mined(spark, rows, p) == plain(rows, p)
 
