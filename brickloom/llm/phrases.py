@@ -28,6 +28,7 @@ from brickloom.operators.scans import top_per_key
 
 _SCHEMA = "lang string, phrase string, a long"
 _STOP = b"."
+_SALTS = 64
 # A-Z lowered, tabs as blanks, every mark that ends a piece as one and the same; all of them ASCII, so UTF-8 stays whole
 _TABLE = bytes(
     ord(".") if c in b".,;:!?\n\x0b\x0c\r" else ord(" ") if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256)
@@ -41,7 +42,7 @@ class PhraseParams:
     percent: int = 80  # share of a phrase's occurrences inside a longer one that drops it
     first: int = 3  # prefixes of a language opened in the first round, as a multiple of top
     slice: int = 60_000  # prefixes opened in one round, all languages
-    flush: int = 1_500_000  # words a task holds before it hands on their counts
+    flush: int = 1_000_000  # words a task holds before it hands on their counts
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -73,7 +74,7 @@ def _roots(p: PhraseParams):
         yield from _rows(lang, np.array([n.sum()]), lambda a, b: pa.array([""]))
         yield from _rows(lang, n, lambda a, b: words.take(pa.array(one[a:b])))
         both = (ids[:-1] > 0) & (ids[1:] > 0)
-        two, n = np.unique(ids[:-1][both] << 32 | ids[1:][both], return_counts=True)
+        two, n = np.unique(ids[:-1][both].astype(np.int64) << 32 | ids[1:][both], return_counts=True)
         side = lambda x: words.take(pa.array(x))
         yield from _rows(lang, n, lambda a, b: pc.binary_join_element_wise(side(two[a:b] >> 32), side(two[a:b] & 0xFFFFFFFF), " "))
 
@@ -82,18 +83,18 @@ def _roots(p: PhraseParams):
 
         def flush():
             words = pa.array(list(numbers), pa.binary()).cast(pa.string())
-            for lang, parts in held.items():
-                yield from counts(lang, parts, words)
+            while held:
+                yield from counts(*held.popitem(), words)
 
-        stop = np.zeros(1, np.int64)
+        stop = np.zeros(1, np.int32)
         for batch in batches:
             for lang, text in zip(batch["lang"].to_pylist(), batch["text"], strict=True):
                 found = tokens(text.as_py())
-                held[lang] += (np.fromiter(map(numbers.__getitem__, found), np.int64, len(found)), stop)
+                held[lang] += (np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)), stop)
                 n += len(found)
                 if n >= p.flush:
                     yield from flush()
-                    numbers, held, n = _Numbers({_STOP: 0}), defaultdict(list), 0
+                    numbers, n = _Numbers({_STOP: 0}), 0
         if held:
             yield from flush()
 
@@ -198,8 +199,13 @@ def _closed(nodes: DataFrame, opened: DataFrame | None, candidates: DataFrame |
         return nodes.select("lang", "phrase", "bound")
     exact = candidates.filter("exact").select("lang", "phrase", "score")
     floor = top_per_key(exact, ["lang"], [F.desc("score"), F.col("phrase")], p.top, "rank").filter(F.col("rank") == p.top)
-    floor = floor.select("lang", F.col("score").alias("floor"))
-    reach = lambda df, of: df.join(floor, "lang", "left").filter(f"{of} >= coalesce(floor, 0)").drop("floor")
+    # a language may hold a third of all prefixes, so its floor goes to several places
+    floor = floor.select("lang", F.col("score").alias("floor"), F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
+
+    def reach(df: DataFrame, of: str) -> DataFrame:
+        salted = df.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(_SALTS)).cast("int"))
+        return salted.join(floor, ["lang", "salt"], "left").filter(f"{of} >= coalesce(floor, 0)").drop("floor", "salt")
+
     open_bound = reach(nodes.join(opened, ["lang", "phrase"], "left_anti").select("lang", "phrase", "bound"), "bound")
     unsure = reach(candidates.filter("NOT exact").select("lang", "phrase", "score"), "score")
     inner = F.substring_index(F.substring_index("phrase", " ", 3), " ", -2)
