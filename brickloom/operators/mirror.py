@@ -1,18 +1,22 @@
-"""Greedy left/right partner matching without walking an assembly in one task.
+"""Greedy left/right partner matching without walking an assembly part by part.
 
-Parts with equal id and position form a class. A part's possible partners depend only on its class.
-Where a class faces exactly one partner class, and that one is faced by no other, walking the list
-matches the k-th part of one to the k-th of the other, so counts decide. Other classes (near but not
-equal positions) are resolved on part pairs: repeatedly accept every pair in which both sides are the
-first choice left, which reproduces the walk in list order.
+Parts with equal id and position form a class, and a part's possible partners depend only on its class. Classes that face the
+same classes (and those faced by the same) form a type. Where takers of one type and givers of one type face only one
+another, the walk gives the k-th taker the k-th giver. The other types meet as runs: takers of one type that follow one another in list order,
+against givers that do so. Partners of whole runs follow from their ranks, so the work depends on how often the list changes between
+types, not on the number of copies.
 """
 
 from __future__ import annotations
 
+from collections import deque
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brickloom.functions.geometry import unpack
+from brickloom.operators.scans import ordinal, scan
 from brickloom.session import durable
 
 _CELL = 16.0
@@ -59,55 +63,119 @@ def mirror_exists(parts: DataFrame) -> DataFrame:
     )
 
 
-def mirror_match(parts: DataFrame) -> DataFrame:
-    """assembly_id, cls, matched: how many parts of each class the greedy walk gives a partner."""
-    faces = durable(facing_classes(parts))
-    out_deg = faces.groupBy("assembly_id", "a_cls").agg(F.count(F.lit(1)).alias("outs"))
-    in_deg = faces.groupBy("assembly_id", "b_cls").agg(F.count(F.lit(1)).alias("ins"))
-    ranked = faces.join(out_deg, ["assembly_id", "a_cls"]).join(in_deg, ["assembly_id", "b_cls"])
-    simple = ranked.filter("outs = 1 and ins = 1")
-    direct = simple.select(
-        "assembly_id", F.col("a_cls").alias("cls"), F.least("a_copies", "b_copies").alias("matched")
-    )
-    tangled = ranked.filter("outs > 1 or ins > 1")
-    if tangled.isEmpty():
-        return direct
-    walked = _walk(parts, tangled).groupBy("assembly_id", "a_cls").agg(F.count(F.lit(1)).alias("matched"))
-    return direct.unionByName(walked.withColumnRenamed("a_cls", "cls"))
+def _types(faces: DataFrame) -> DataFrame:
+    """faces with the types of both classes: a_type and b_type, digests of the set of classes on the other side."""
+    def kind(own, other):
+        h = F.xxhash64("part_id", other)
+        digest = F.struct(F.count(F.lit(1)).alias("n"), F.sum(h.cast("decimal(20, 0)")).alias("s"), F.bit_xor(F.hash(other, h)).alias("x"))
+        return faces.groupBy("assembly_id", "part_id", f"{own}_cls").agg(digest.alias("d")).select(
+            "assembly_id", "part_id", f"{own}_cls", F.sha2(F.to_json("d"), 256).alias(f"{own}_type")
+        )
 
+    return faces.join(kind("a", "b_cls"), ["assembly_id", "part_id", "a_cls"]).join(kind("b", "a_cls"), ["assembly_id", "part_id", "b_cls"])
 
-def _walk(parts: DataFrame, faces: DataFrame) -> DataFrame:
-    """Part-level rounds for classes with several possible partners."""
-    p = unpack(parts.select("assembly_id", "part_index", "part_id", "transform"))
+
+def _sides(parts: DataFrame, typed: DataFrame, prefix: str) -> DataFrame:
+    """Parts of the classes of one side: assembly_id, part_id, type, part_index and the rank within the type."""
     spot = ["assembly_id", "part_id", "x", "y", "z"]
-    ids = p.select(*spot, "part_index")
-
-    def side(prefix, name):
-        cols = [F.col(c if c in ("assembly_id", "part_id") else f"{prefix}_{c}").alias(c) for c in spot]
-        cls = faces.select(*cols, F.col(f"{prefix}_cls").alias(f"{prefix}_cls")).distinct()
-        return ids.join(cls, spot).select("assembly_id", f"{prefix}_cls", F.col("part_index").alias(name))
-
-    pairs = durable(
-        faces.select("assembly_id", "a_cls", "b_cls")
-        .join(side("a", "i"), ["assembly_id", "a_cls"])
-        .join(side("b", "j"), ["assembly_id", "b_cls"])
-        .select("assembly_id", "a_cls", "i", "j")
+    own = typed.select("assembly_id", "part_id", *[F.col(f"{prefix}_{c}").alias(c) for c in ("x", "y", "z", "type")]).distinct()
+    p = unpack(parts.select("assembly_id", "part_index", "part_id", "transform")).select(*spot, "part_index")
+    return ordinal(p.join(own, spot).select("assembly_id", "part_id", "type", "part_index"), ["assembly_id", "part_id", "type"], ["part_index"], "rank")
+
+
+def _runs(side: DataFrame) -> DataFrame:
+    """Stretches of one type in list order: assembly_id, part_id, type, first part_index, first rank, length."""
+    key = ["assembly_id", "part_id"]
+    change = scan(side, key, ["part_index"], lags={"before": F.col("type")})
+    numbered = scan(change, key, ["part_index"], sums={"run": F.when(F.col("before") == F.col("type"), 0).otherwise(1)})
+    return numbered.groupBy(*key, "run", "type").agg(
+        F.min("part_index").alias("first"), F.min("rank").alias("rank"), F.count(F.lit(1)).alias("n")
+    ).drop("run")
+
+
+def _meet(takers: pd.DataFrame, givers: pd.DataFrame, faces: pd.DataFrame) -> list[tuple]:
+    """Intervals (taker type, first rank, giver type, first rank, length) of the walk over the takers' runs."""
+    queues = {t: deque(g.sort_values("first")[["first", "rank", "n"]].values.tolist()) for t, g in givers.groupby("type")}
+    choice = {t: f["b_type"].tolist() for t, f in faces.groupby("a_type")}
+    out = []
+    for kind, rank, n in takers.sort_values("first")[["type", "rank", "n"]].itertuples(index=False):
+        while n:
+            open_ = [t for t in choice[kind] if queues[t]]
+            if not open_:
+                break
+            best = min(open_, key=lambda t: queues[t][0][0])
+            head = queues[best][0]
+            # a run of givers has no other giver in between, so it is taken as a whole
+            took = min(n, head[2])
+            out.append((kind, rank, best, head[1], took))
+            rank, n = rank + took, n - took
+            if took == head[2]:
+                queues[best].popleft()
+            else:
+                # the next one is behind this one and before the next run
+                queues[best][0] = [head[0], head[1] + took, head[2] - took]
+    return out
+
+
+def _intervals(parts: DataFrame, tangled: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Matched intervals of the tangled types, and both sides' parts with their ranks."""
+    key = ["assembly_id", "part_id"]
+    takers, givers = durable(_sides(parts, tangled, "a")), durable(_sides(parts, tangled, "b"))
+    runs = _runs(takers).withColumn("side", F.lit("a")).unionByName(_runs(givers).withColumn("side", F.lit("b")))
+    # aliases: both sides of the cogroup come from one table
+    edges = tangled.select(*[F.col(c).alias(c) for c in (*key, "a_type", "b_type")]).distinct()
+    ddl = ", ".join(f"{c} {parts.schema[c].dataType.simpleString()}" for c in key)
+
+    def walk(k, rows: pd.DataFrame, faces: pd.DataFrame) -> pd.DataFrame:
+        found = _meet(rows[rows["side"] == "a"], rows[rows["side"] == "b"], faces)
+        frame = pd.DataFrame(found, columns=["a_type", "a_rank", "b_type", "b_rank", "n"])
+        return frame.assign(assembly_id=k[0], part_id=k[1])[[*key, "a_type", "a_rank", "b_type", "b_rank", "n"]]
+
+    met = runs.groupBy(*key).cogroup(edges.groupBy(*key)).applyInPandas(
+        walk, f"{ddl}, a_type string, a_rank long, b_type string, b_rank long, n long"
     )
-    done = None
-    while True:
-        want = pairs.groupBy("assembly_id", "i").agg(F.min("j").alias("best_j"))
-        take = pairs.groupBy("assembly_id", "j").agg(F.min("i").alias("best_i"))
-        agreed = durable(
-            pairs.join(want, ["assembly_id", "i"])
-            .join(take, ["assembly_id", "j"])
-            .filter("j = best_j and i = best_i")
-            .select("assembly_id", "a_cls", "i", "j")
-        )
-        if agreed.isEmpty():
-            return done if done is not None else agreed
-        done = agreed if done is None else done.unionByName(agreed)
-        pairs = durable(
-            pairs.join(agreed.select("assembly_id", "i"), ["assembly_id", "i"], "left_anti").join(
-                agreed.select("assembly_id", "j"), ["assembly_id", "j"], "left_anti"
-            )
-        )
+    return met, takers, givers
+
+
+def _split(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Faces between types that face only one another, and those of the tangled types."""
+    typed = durable(_types(facing_classes(parts)))
+    pairs = typed.select("assembly_id", "part_id", "a_type", "b_type").distinct()
+    degree = lambda t, name: pairs.groupBy("assembly_id", "part_id", t).agg(F.count(F.lit(1)).alias(name))
+    ranked = typed.join(degree("a_type", "outs"), ["assembly_id", "part_id", "a_type"]).join(degree("b_type", "ins"), ["assembly_id", "part_id", "b_type"])
+    alone = (F.col("outs") == 1) & (F.col("ins") == 1)
+    return ranked.filter(alone), ranked.filter(~alone)
+
+
+def mirror_match(parts: DataFrame) -> DataFrame:
+    """assembly_id, matched: how many parts the greedy walk gives a partner, in rows that add up per assembly."""
+    simple, tangled = _split(parts)
+    size = lambda p: simple.select("assembly_id", "part_id", "a_type", "b_type", f"{p}_cls", f"{p}_copies").distinct().groupBy(
+        "assembly_id", "part_id", "a_type", "b_type").agg(F.sum(f"{p}_copies").alias(f"{p}_n"))
+    direct = size("a").join(size("b"), ["assembly_id", "part_id", "a_type", "b_type"]).select("assembly_id", F.least("a_n", "b_n").alias("matched"))
+    if tangled.isEmpty():
+        return direct
+    return direct.unionByName(_intervals(parts, tangled)[0].select("assembly_id", F.col("n").alias("matched")))
+
+
+def mirror_partners(parts: DataFrame) -> DataFrame:
+    """assembly_id, part_index, partner_index: the partner that the greedy walk gives each part; parts without one have no row."""
+    simple, tangled = _split(parts)
+    key = ["assembly_id", "part_id"]
+    pairs = simple.select(*key, "a_type", "b_type").distinct()
+    meet = pairs.join(_named(_sides(parts, simple, "a"), "a"), [*key, "a_type"]).withColumnRenamed("a_rank", "b_rank")
+    walked = None
+    if not tangled.isEmpty():
+        met, takers, givers = _intervals(parts, tangled)
+        each = met.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+        each = each.select(*key, "a_type", (F.col("a_rank") + F.col("step")).alias("a_rank"), "b_type", (F.col("b_rank") + F.col("step")).alias("b_rank"))
+        walked = each.join(_named(takers, "a"), [*key, "a_type", "a_rank"]).join(_named(givers, "b"), [*key, "b_type", "b_rank"])
+    direct = meet.join(_named(_sides(parts, simple, "b"), "b"), [*key, "b_type", "b_rank"])
+    columns = ["assembly_id", F.col("a_index").alias("part_index"), F.col("b_index").alias("partner_index")]
+    out = direct.select(*columns)
+    return out if walked is None else out.unionByName(walked.select(*columns))
+
+
+def _named(side: DataFrame, prefix: str) -> DataFrame:
+    names = {"type": f"{prefix}_type", "rank": f"{prefix}_rank", "part_index": f"{prefix}_index"}
+    return side.select("assembly_id", "part_id", *[F.col(c).alias(n) for c, n in names.items()])

@@ -352,11 +352,18 @@ def vehicle_metrics(spark, sf):
     return metrics.vehicle_metrics(_as_vehicles(placed_parts(spark, sf)))
 
 
-@query("mirror_match", f"""WITH {P_SQL}{VEH_SQL}{SYM_SQL} SELECT assembly_id, symmetry_score FROM vs""")
-def mirror_match(spark, sf):
+@query("symmetry_score", f"""WITH {P_SQL}{VEH_SQL}{SYM_SQL} SELECT assembly_id, symmetry_score FROM vs""")
+def symmetry_score(spark, sf):
     return metrics.symmetry_score(_as_vehicles(placed_parts(spark, sf)))
 
 
+@query("mirror_match", f"""WITH {P_SQL}{VEH_SQL}, rk AS (SELECT assembly_id, vid, x, y, z, part_index, row_number() OVER (PARTITION BY assembly_id, vid, x, y, z ORDER BY part_index) AS r FROM v)
+SELECT a.assembly_id, a.part_index, k.part_index AS partner_index FROM rk a JOIN rk k ON a.assembly_id = k.assembly_id AND a.vid = k.vid AND a.x = -k.x AND a.y = k.y AND a.z = k.z AND a.r = k.r WHERE abs(a.x) >= 6""")
+def mirror_match(spark, sf):
+    """The partner of every mirrored part."""
+    return mirror.mirror_partners(_as_vehicles(placed_parts(spark, sf)))
+
+
 @query("mirror_exists", f"""WITH {P_SQL} SELECT a.assembly_id, a.part_index FROM p a WHERE abs(a.x) >= 6 AND EXISTS (
   SELECT 1 FROM p k WHERE k.assembly_id = a.assembly_id AND k.part_id = a.part_id AND k.part_index <> a.part_index
    AND abs(a.x + k.x) < 8 AND abs(a.y - k.y) < 5 AND abs(a.z - k.z) < 5)""")

@@ -71,55 +71,70 @@ def beam_topk(spark, sf):
     return k.beam_topk(bind(spark, sf, BEAM), 3)
 
 
-# states: the first part of every assembly; candidate: the part that comes next in it
-PLACE_SQL = f"""{P_SQL}, st AS (SELECT *, greatest(1, CAST(w / 20 AS INTEGER)) AS n, greatest(1, CAST(d / 20 AS INTEGER)) AS m FROM p WHERE part_index = 0),
-cd AS (SELECT assembly_id, part_id, part_no, color, w, h, d, greatest(1, CAST(w / 20 AS INTEGER)) AS n, greatest(1, CAST(d / 20 AS INTEGER)) AS m FROM p WHERE part_index = 1),
-sa AS (SELECT *, c * (-10.0*(n-1) + 20*(i // m)) + s * (-10.0*(m-1) + 20*(i % m)) + x AS ax, -s * (-10.0*(n-1) + 20*(i // m)) + c * (-10.0*(m-1) + 20*(i % m)) + z AS az
+# states: the first one, two or three parts of every assembly; candidates: all different parts and colours that come later in it
+FIRST = "1 + assembly_id % 3"
+PLACE_SQL = f"""{P_SQL}, st AS (SELECT *, greatest(1, CAST(w / 20 AS INTEGER)) AS n, greatest(1, CAST(d / 20 AS INTEGER)) AS m FROM p WHERE part_index < {FIRST}),
+cd AS (SELECT DISTINCT assembly_id, part_id, part_no, w, h, d, greatest(1, CAST(w / 20 AS INTEGER)) AS n, greatest(1, CAST(d / 20 AS INTEGER)) AS m FROM p WHERE part_index >= {FIRST}),
+sa AS (SELECT DISTINCT assembly_id, h, y, c * (-10.0*(n-1) + 20*(i // m)) + s * (-10.0*(m-1) + 20*(i % m)) + x AS ax, -s * (-10.0*(n-1) + 20*(i // m)) + c * (-10.0*(m-1) + 20*(i % m)) + z AS az
   FROM (SELECT *, unnest(range(least(2, n * m))) AS i FROM st)),
 ca AS (SELECT *, -10.0*(n-1) + 20*(i // m) AS lx, -10.0*(m-1) + 20*(i % m) AS lz FROM (SELECT *, unnest(range(least(2, n * m))) AS i FROM cd)),
 yw(yaw, yc, ys) AS (VALUES (0, 1.0, 0.0), (1, 0.0, 1.0), (2, -1.0, 0.0), (3, 0.0, -1.0)),
-cp AS (SELECT DISTINCT sa.assembly_id, ca.part_id, ca.part_no, ca.color AS next_color, ca.w AS cw, ca.h AS ch, ca.d AS cd,
-  CAST(sa.ax - (yc * lx + ys * lz) AS DOUBLE) AS x, CAST(CASE WHEN up = 0 THEN sa.y - sa.h ELSE sa.y + ca.h END AS DOUBLE) AS y, CAST(sa.az - (-ys * lx + yc * lz) AS DOUBLE) AS z, CAST(yc AS DOUBLE) AS c, CAST(ys AS DOUBLE) AS s
+cp AS MATERIALIZED (SELECT DISTINCT sa.assembly_id, ca.part_id, ca.part_no, ca.w AS cw, ca.h AS ch, ca.d AS cd,
+  CAST(sa.ax - (yc * lx + ys * lz) AS DOUBLE) + 0.0 AS x, CAST(CASE WHEN up = 0 THEN sa.y - sa.h ELSE sa.y + ca.h END AS DOUBLE) + 0.0 AS y, CAST(sa.az - (-ys * lx + yc * lz) AS DOUBLE) + 0.0 AS z, CAST(yc AS DOUBLE) AS c, CAST(ys AS DOUBLE) AS s
   FROM sa JOIN ca ON ca.assembly_id = sa.assembly_id, yw, (VALUES (0), (1)) AS u(up))"""
 
 
 def _beam_inputs(spark, sf):
     parts = placed_parts(spark, sf)
-    state = parts.filter("part_index = 0")
-    nxt = parts.filter("part_index = 1").select("assembly_id", "part_id", "color")
-    return state, nxt
+    later = parts.filter(f"part_index >= {FIRST}")
+    return parts.filter(f"part_index < {FIRST}"), later
 
 
-@query("candidate_placements", f"WITH {PLACE_SQL} SELECT assembly_id, part_id, x, y, z, c, s FROM cp")
+@query("candidate_placements", f"""WITH {PLACE_SQL} SELECT assembly_id, part_id, count(*) AS placements,
+  sha256(string_agg(v, ',' ORDER BY v)) AS poses FROM (SELECT *, concat_ws(':', x, y, z, c, s) AS v FROM cp) GROUP BY assembly_id, part_id""")
 def candidate_placements(spark, sf):
-    state, nxt = _beam_inputs(spark, sf)
-    return _pose(k.candidate_placements(state, nxt), "assembly_id", "part_id")
+    """Number and digest of all poses of every candidate part, at most 96 a part."""
+    state, later = _beam_inputs(spark, sf)
+    posed = _pose(k.candidate_placements(state, later.select("assembly_id", "part_id").distinct()), "assembly_id", "part_id")
+    text = F.concat_ws(":", *[F.col(c).cast("string") for c in ("x", "y", "z", "c", "s")])
+    return posed.groupBy("assembly_id", "part_id").agg(
+        F.count(F.lit(1)).alias("placements"), F.sha2(F.array_join(F.array_sort(F.collect_list(text)), ","), 256).alias("poses")
+    )
 
 
 STEP_SQL = f"""WITH {PLACE_SQL},
 cb AS (SELECT *, x - (abs(c)*cw + abs(s)*cd)/2 AS min_x, x + (abs(c)*cw + abs(s)*cd)/2 AS max_x, z - (abs(s)*cw + abs(c)*cd)/2 AS min_z, z + (abs(s)*cw + abs(c)*cd)/2 AS max_z FROM cp),
 sb AS (SELECT *, x - (abs(c)*w + abs(s)*d)/2 AS min_x, x + (abs(c)*w + abs(s)*d)/2 AS max_x, z - (abs(s)*w + abs(c)*d)/2 AS min_z, z + (abs(s)*w + abs(c)*d)/2 AS max_z FROM st),
-ok AS (SELECT cb.*, sb.part_id AS base_id FROM cb JOIN sb ON sb.assembly_id = cb.assembly_id WHERE NOT (cb.min_x <= sb.max_x - 0.2 AND sb.min_x <= cb.max_x - 0.2
-  AND cb.min_z <= sb.max_z - 0.2 AND sb.min_z <= cb.max_z - 0.2 AND cb.y - cb.ch <= sb.y - 0.02 AND sb.y - sb.h <= cb.y - 0.02)),
-sg AS (SELECT assembly_id AS group_id, part_id, next_color AS color, x, y, z, c, s,
-  -CAST(part_no AS DOUBLE) / 8 - CAST(next_color AS DOUBLE) / 4 + CASE WHEN assembly_id % 2 = 1 THEN 0 WHEN part_id = base_id THEN -10 ELSE 2 END AS score,
-  'start|' || part_id || ' ' || next_color || ' ' || CAST(c AS VARCHAR) || ' 0.0 ' || CAST(s AS VARCHAR) || ' ' || CAST(x AS VARCHAR) || ' 0.0 1.0 0.0 ' || CAST(y AS VARCHAR) || ' ' || CAST(0.0 - s AS VARCHAR) || ' 0.0 ' || CAST(c AS VARCHAR) || ' ' || CAST(z AS VARCHAR) || ' 0.0 0.0 0.0 1.0' AS signature FROM ok)
+hit AS (SELECT DISTINCT cb.assembly_id, cb.part_id, cb.x, cb.y, cb.z, cb.c, cb.s FROM cb JOIN sb ON sb.assembly_id = cb.assembly_id AND cb.min_x <= sb.max_x - 0.2 AND sb.min_x <= cb.max_x - 0.2
+  AND cb.min_z <= sb.max_z - 0.2 AND sb.min_z <= cb.max_z - 0.2 AND cb.y - cb.ch <= sb.y - 0.02 AND sb.y - sb.h <= cb.y - 0.02),
+ok AS (SELECT cp.* FROM cp ANTI JOIN hit USING (assembly_id, part_id, x, y, z, c, s)),
+cl AS (SELECT DISTINCT assembly_id, color FROM p WHERE part_index >= {FIRST}),
+nx AS (SELECT assembly_id, part_id, true AS wanted FROM p WHERE part_index = {FIRST}),
+hv AS (SELECT assembly_id, part_id, count(*) AS have FROM st GROUP BY ALL),
+sg AS (SELECT assembly_id AS group_id, part_id, color, x, y, z, c, s,
+  -CAST(part_no AS DOUBLE) / 8 - CAST(color AS DOUBLE) / 4 + CASE WHEN assembly_id % 2 = 1 THEN 0 WHEN wanted IS NULL THEN -20 WHEN have >= 1 THEN -10 ELSE 2 END AS score,
+  'start|' || part_id || ' ' || color || ' ' || CAST(c AS VARCHAR) || ' 0.0 ' || CAST(s AS VARCHAR) || ' ' || CAST(x AS VARCHAR) || ' 0.0 1.0 0.0 ' || CAST(y AS VARCHAR) || ' ' || CAST(0.0 - s AS VARCHAR) || ' 0.0 ' || CAST(c AS VARCHAR) || ' ' || CAST(z AS VARCHAR) || ' 0.0 0.0 0.0 1.0' AS signature
+  FROM ok JOIN cl USING (assembly_id) LEFT JOIN nx USING (assembly_id, part_id) LEFT JOIN hv USING (assembly_id, part_id))
 SELECT group_id, part_id, color, score, signature, CAST(row_number() OVER (PARTITION BY group_id ORDER BY score DESC, signature) AS INTEGER) AS rank FROM sg
 QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY score DESC, signature) <= 3"""
 
 
-@query("beam_step", STEP_SQL)
-def beam_step(spark, sf):
-    """One step from one start part per order; even orders ask for one of the next part."""
+def _beam_scores(later, name):
+    """Scores of all later parts and colours, by their numbers; ``name`` is the key's column in the result."""
     from brickloom.plans.bindings import ALLOWED_PARTS
 
-    state, nxt = _beam_inputs(spark, sf)
-    states = state.select(F.col("assembly_id").alias("group_id"), F.col("assembly_id").alias("state_id"), F.lit("start").alias("signature"), F.lit(0.0).alias("score"))
     number = F.array_position(F.array(*[F.lit(p) for p in ALLOWED_PARTS]), F.col("part_id")) - 1
-    part_scores = nxt.select(F.col("assembly_id").alias("state_id"), "part_id", (-number / 8).alias("logp"))
-    color_scores = nxt.select(F.col("assembly_id").alias("state_id"), "color", (-F.col("color") / 4).alias("logp"))
-    even = F.col("assembly_id") % 2 == 0
-    inventory = nxt.filter(even).select(F.col("assembly_id").alias("group_id"), "part_id", F.lit(1).alias("target"))
+    parts = later.select(F.col("assembly_id").alias(name), "part_id").distinct().withColumn("logp", -number / 8)
+    return parts, later.select(F.col("assembly_id").alias(name), "color").distinct().withColumn("logp", -F.col("color") / 4)
+
+
+@query("beam_step", STEP_SQL)
+def beam_step(spark, sf):
+    """One step from the first one to three parts of every order; even orders ask for one of the part that comes next."""
+    state, later = _beam_inputs(spark, sf)
+    states = state.select(F.col("assembly_id").alias("group_id"), F.col("assembly_id").alias("state_id"), F.lit("start").alias("signature"), F.lit(0.0).alias("score")).distinct()
+    part_scores, color_scores = _beam_scores(later, "state_id")
+    inventory = later.filter(f"assembly_id % 2 = 0 AND part_index = {FIRST}").select(F.col("assembly_id").alias("group_id"), "part_id", F.lit(1).alias("target"))
     return k.beam_step(states, state, part_scores, color_scores, 3, inventory).select("group_id", "part_id", "color", "score", "signature", "rank")
 
 

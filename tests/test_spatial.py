@@ -1,8 +1,11 @@
+import hashlib
+import itertools
+
 import numpy as np
 import pytest
-from helpers import DIMS, at, meets, overlap, parts_df, touch
+from helpers import DIMS, anchors, at, meets, overlap, parts_df, pose, touch
 
-from brickloom.operators import construct, graph, metrics, spatial
+from brickloom.operators import construct, graph, metrics, mirror, spatial
 
 
 def turn(rng):
@@ -92,21 +95,52 @@ def test_vehicle_golden(spark):
     assert row.wheel_count == 4 and row.symmetry_score >= 0.8 and row.cabin_height_valid and row.cabin_centered
 
 
-def test_mirror_walk_on_near_positions(spark):
-    rng = np.random.default_rng(9)
-    parts = [at("3005", float(rng.choice([-1, 1]) * rng.integers(18, 24)), float(rng.integers(0, 4)), float(rng.integers(0, 5))) for _ in range(40)]
-    used, hits = set(), 0
+def mirror_walk(parts):
+    """Part by part in list order: the first partner not taken yet."""
+    used, found = set(), {}
     for i, p in enumerate(parts):
+        a = p[3][:3, 3]
+        if abs(a[0]) < 6:
+            continue
         for j, q in enumerate(parts):
-            if i == j or j in used:
-                continue
-            a, b = p[3][:3, 3], q[3][:3, 3]
-            if abs(a[0] + b[0]) < 8 and abs(a[1] - b[1]) < 5 and abs(a[2] - b[2]) < 5:
+            b = q[3][:3, 3]
+            if i != j and j not in used and p[0] == q[0] and abs(a[0] + b[0]) < 8 and abs(a[1] - b[1]) < 5 and abs(a[2] - b[2]) < 5:
                 used.add(j)
-                hits += 1
+                found[i] = j
                 break
-    row = metrics.symmetry_score(parts_df(spark, {"m": parts})).first()
-    assert row.symmetry_score == pytest.approx(hits / 40)
+    return found
+
+
+def test_mirror_partners_equal_the_walk(spark):
+    rng = np.random.default_rng(9)
+    data = {}
+    for k in range(6):
+        n, wide, spots = 60, int(rng.integers(1, 8)), int(rng.integers(2, 9))
+        places = [(float(rng.choice([-1, 1]) * rng.integers(4, 16)), float(rng.integers(0, wide)), float(rng.integers(0, wide))) for _ in range(spots)]
+        data[f"m{k}"] = [at(str(rng.choice(["3005", "3004"])), *places[int(rng.integers(spots))]) for _ in range(n)]
+    df = parts_df(spark, data)
+    got = {(r.assembly_id, r.part_index): r.partner_index for r in mirror.mirror_partners(df).collect()}
+    want = {(k, i): j for k, parts in data.items() for i, j in mirror_walk(parts).items()}
+    assert got == want and len(want) > 80
+    score = {r.assembly_id: r.symmetry_score for r in metrics.symmetry_score(df).collect()}
+    for k, parts in data.items():
+        central = sum(abs(p[3][0, 3]) < 6 for p in parts)
+        assert score[k] == pytest.approx((len(mirror_walk(parts)) + central) / len(parts))
+
+
+def test_mirror_runs_do_not_depend_on_copies(spark):
+    """Ten thousand copies a place, in a chain of places that each face two: a handful of intervals."""
+    spots = [(-20.0, 0.0), (20.0, 4.0), (-20.0, 8.0), (20.0, 12.0), (-20.0, 16.0)]
+    rows = spark.range(50_000).selectExpr("'c' AS assembly_id", "CAST(id AS INT) AS part_index", "'3005.dat' AS part_id", "CAST(id DIV 10000 AS INT) AS spot")
+    poses = spark.createDataFrame([(i, [float(v) for v in pose(x, y, 0.0).flatten()]) for i, (x, y) in enumerate(spots)], "spot int, transform array<double>")
+    df = rows.join(poses, "spot").drop("spot")
+    met, _, _ = mirror._intervals(df, mirror._split(df)[1])
+    assert met.count() <= 10
+    got = mirror.mirror_partners(df)
+    small = [at("3005", x, y, 0) for x, y in spots for _ in range(3)]
+    want = {(i // 3, j // 3) for i, j in mirror_walk(small).items()}
+    assert {(r.a, r.b) for r in got.selectExpr("part_index DIV 10000 AS a", "partner_index DIV 10000 AS b").distinct().collect()} == want
+    assert got.count() == got.select("partner_index").distinct().count() == 10_000 * len(want)
 
 
 def test_disassembly_rounds_equal_peel(spark):
@@ -129,6 +163,64 @@ def test_expand_pairs_lists_copies(spark):
     assert got == {("e", 0, 2), ("e", 1, 2)}
 
 
+def beam_walk(start, part_logp, color_logp, width, steps, target):
+    """The search state by state; a part is (id, color, step, pose)."""
+    def signed(p):
+        pose_ = [float(np.round(v * 100) / 100 + 0.0) for v in p[3].flatten()]
+        return f"{p[0]} {p[1]} " + " ".join(str(v) for v in pose_)
+
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    beams = [([start], 0.0, digest(signed(start)))]
+    for step in range(1, steps + 1):
+        found = {}
+        for parts, score, sig in beams:
+            for pid, pl in part_logp.items():
+                poses = set()
+                for host in parts:
+                    ends, own = anchors(host[0], host[3]), anchors(pid, np.eye(4))
+                    for p, c, yaw in itertools.product([0, 1], [0, 1], range(4)):
+                        co, si = [(1, 0), (0, 1), (-1, 0), (0, -1)][yaw]
+                        rot = np.array([[co, 0, si], [0, 1, 0], [-si, 0, co]], float)
+                        for a, b in ((ends[0], own[1]), (ends[1], own[0])):
+                            if p < len(a) and c < len(b):
+                                poses.add(tuple(np.round(pose(*(a[p] - rot @ b[c]), rot), 9).flatten() + 0.0))
+                for at_ in poses:
+                    new = (pid, None, step, np.array(at_).reshape(4, 4))
+                    if any(overlap(q, new) for q in parts):
+                        continue
+                    have, want = sum(q[0] == pid for q in parts), target.get(pid, 0)
+                    bias = 0.0 if not target else (2.0 if have < want else -10.0) if want else -20.0
+                    for color, cl in color_logp.items():
+                        part = (pid, color, step, new[3])
+                        total = score + pl + cl + bias
+                        key = f"{sig}|{signed(part)}"
+                        found[key] = max(found.get(key, (-1e9, None)), (total, [*parts, part]), key=lambda v: v[0])
+        if not found:
+            break
+        best = sorted(found.items(), key=lambda kv: (-kv[1][0], kv[0]))[:width]
+        beams = [(parts, total, digest(key)) for key, (total, parts) in best]
+    return beams
+
+
+def test_beam_search_equals_the_walk(spark):
+    begin = {"g": at("3001", 0, 0, 0), "h": at("3005", 0, 0, 0, color=2)}
+    logp = {"g": {"3004.dat": -0.5, "3005.dat": -0.25, "3001.dat": -0.75}, "h": {"3005.dat": -0.125, "3022.dat": -1.0}}
+    colors, target = {4: -0.5, 7: -0.25}, {"h": {"3005.dat": 2}}
+    starts = spark.createDataFrame([(g, p[0], p[1], [float(v) for v in p[3].flatten()]) for g, p in begin.items()], "group_id string, part_id string, color int, transform array<double>")
+    ps = spark.createDataFrame([(g, p, v) for g, d in logp.items() for p, v in d.items()], "group_id string, part_id string, logp double")
+    cs = spark.createDataFrame([(g, c, v) for g in begin for c, v in colors.items()], "group_id string, color int, logp double")
+    inv = spark.createDataFrame([(g, p, n) for g, d in target.items() for p, n in d.items()], "group_id string, part_id string, target int")
+    got = construct.beam_search(starts, ps, cs, 3, 3, inv).collect()
+    for g in begin:
+        want = beam_walk(begin[g], logp[g], colors, 3, 3, target.get(g, {}))
+        for rank, (parts, score, _) in enumerate(want, 1):
+            own = sorted((r for r in got if r.group_id == g and r.rank == rank), key=lambda r: r.step_id)
+            assert [(r.part_id, r.color) for r in own] == [p[:2] for p in parts]
+            assert np.allclose([r.transform for r in own], [p[3].flatten() for p in parts])
+            assert own[0].score == pytest.approx(score)
+        assert {r.rank for r in got if r.group_id == g} == set(range(1, len(want) + 1))
+
+
 def test_beam_keeps_inventory_and_validity(spark):
     state = parts_df(spark, {"s": [at("3001", 0, 0, 0)]})
     states = spark.createDataFrame([("g", "s", "start", 0.0)], "group_id string, state_id string, signature string, score double")
