@@ -375,61 +375,79 @@ def disassembly_order(parts: DataFrame, small: int = 2000) -> DataFrame:
     order = map_groups(tight, "assembly_id", ["part_index"], _layer_frame, schema)
     large = sized.filter(F.col("n_parts") > small).drop("n_parts")
     if not large.isEmpty():
-        order = order.unionByName(_layer_rounds(large))
+        order = order.unionByName(_epoch_rounds(large))
     return order.join(sizes, "assembly_id").select(
         "assembly_id", "part_index", "remove_no", (F.col("n_parts") - 1 - F.col("remove_no")).cast("int").alias("build_no")
     )
 
 
-def _part_blocks(parts: DataFrame) -> DataFrame:
-    """Blocking pairs on part level."""
-    members = placement_members(parts)
-    pairs = blocked_pairs(parts).select("assembly_id", "part", "blocker")
-    a = members.select("assembly_id", F.col("owner").alias("part"), F.col("part_index").alias("i"))
-    b = members.select("assembly_id", F.col("owner").alias("blocker"), F.col("part_index").alias("j"))
-    return pairs.join(a, ["assembly_id", "part"]).join(b, ["assembly_id", "blocker"]).filter("i <> j").select(
-        "assembly_id", F.col("i").alias("part_index"), F.col("j").alias("blocker")
-    )
+def _ranks(parts: DataFrame) -> DataFrame:
+    """assembly_id, part_index, part (its placement), rank from the highest part on (1, 2, ...); equal heights in list order."""
+    height = solids(placements(parts).select("assembly_id", "part_id", "transform", F.col("owner").alias("part"))).select("assembly_id", "part", "mean_y")
+    members = placement_members(parts).withColumnRenamed("owner", "part").join(height, ["assembly_id", "part"])
+    ranked = ordinal(members, ["assembly_id"], ["mean_y", "part_index"], "rank")
+    return ranked.select("assembly_id", "part_index", "part", (F.col("rank") + 1).alias("rank"))
 
 
-def _layer_rounds(parts: DataFrame) -> DataFrame:
-    """The same order in rounds over all large assemblies: a round removes every free part, ordered by
-    the place of its last blocker, or the highest part where none is free."""
-    blocks = durable(_part_blocks(parts))
-    height = solids(parts.select("assembly_id", "part_index", "part_id", "transform")).select(
-        "assembly_id", "part_index", "mean_y"
-    )
-    left = durable(height)
-    removed = None
+def _released(nodes: DataFrame, blocks: DataFrame) -> DataFrame:
+    """nodes with ``epoch``: the rank of the part whose forced removal lets the last copy of a placement go (0: none has to).
+
+    A part stays while, among the parts below a rank, a chain of holders from it runs into a cycle. So its epoch is the best that
+    such chains have as their least rank: its own rank, or, if that comes first, the greatest epoch among its holders. Copies
+    hold one another, hence ``before``: the rank of the last copy but one. Rounds end with the longest cascade of parts that go
+    without force; how many parts block each other plays no part.
+    """
+    at = durable(nodes.withColumn("epoch", F.col("rank")))
+    while True:
+        holder = at.select("assembly_id", F.col("part").alias("blocker"), F.col("epoch").alias("theirs"))
+        held = blocks.join(holder, ["assembly_id", "blocker"]).groupBy("assembly_id", "part").agg(F.max("theirs").alias("theirs"))
+        until = F.least("rank", F.greatest("before", F.coalesce("theirs", F.lit(0))))
+        step = durable(at.join(held, ["assembly_id", "part"], "left").select(*nodes.columns, until.alias("epoch"), F.col("epoch").alias("old")))
+        at = step.drop("old")
+        if step.filter("epoch <> old").isEmpty():
+            return at
+
+
+def _epoch_rounds(parts: DataFrame) -> DataFrame:
+    """Removal numbers for assemblies of any size, in joint rounds over all assemblies and epochs."""
+    ranks = durable(_ranks(parts))
+    last = ranks.groupBy("assembly_id", "part").agg(F.max(F.struct("rank", "part_index")).alias("last"))
+    last = last.select("assembly_id", "part", "last.rank", "last.part_index")
+    others = ranks.join(last.select("assembly_id", "part_index", F.lit(True).alias("is_last")), ["assembly_id", "part_index"], "left").filter("is_last IS NULL")
+    before = others.groupBy("assembly_id", "part").agg(F.max("rank").alias("before"))
+    nodes = last.join(before, ["assembly_id", "part"], "left").withColumn("before", F.coalesce("before", F.lit(0)))
+    blocks = durable(blocked_pairs(parts).filter("part <> blocker").select("assembly_id", "part", "blocker"))
+    at = durable(_released(nodes, blocks))
+    # forced parts open their epoch; all other copies but the last are forced one by one
+    forced = at.filter("epoch = rank").select("assembly_id", "part_index", F.col("rank").alias("epoch")).unionByName(
+        others.select("assembly_id", "part_index", F.col("rank").alias("epoch"))
+    ).withColumn("place", F.lit(0))
+    left = at.filter("epoch < rank").select("assembly_id", "part", "part_index", "epoch")
+    holder = left.select("assembly_id", F.col("part").alias("blocker"), F.col("epoch").alias("theirs"))
+    inner = durable(
+        blocks.join(left.select("assembly_id", "part", "epoch"), ["assembly_id", "part"]).join(holder, ["assembly_id", "blocker"])
+        .filter("epoch = theirs").select("assembly_id", "part", "blocker")
+    )
+    left, done = durable(left), None
+    first = F.when(F.col("epoch") > 0, 0).otherwise(-1)
     while not left.isEmpty():
-        if removed is None:
-            held = blocks.select("assembly_id", "part_index").distinct()
-            last = left.select("assembly_id", "part_index", F.lit(-1).alias("last"))
-            start = left.select("assembly_id").distinct().withColumn("base", F.lit(0).cast("long"))
+        waiting = inner.join(left.select("assembly_id", F.col("part").alias("blocker")), ["assembly_id", "blocker"], "left_semi")
+        free = left.join(waiting.select("assembly_id", "part").distinct(), ["assembly_id", "part"], "left_anti")
+        if done is None:
+            ready = free.withColumns({"held": first, "base": first + 1})
         else:
-            known = removed.select("assembly_id", F.col("part_index").alias("blocker"), "remove_no")
-            seen = blocks.join(known, ["assembly_id", "blocker"], "left").groupBy("assembly_id", "part_index").agg(
-                F.max("remove_no").alias("last"), F.max(F.col("remove_no").isNull()).alias("held")
-            )
-            held = seen.filter("held").select("assembly_id", "part_index")
-            last = left.select("assembly_id", "part_index").join(
-                seen.select("assembly_id", "part_index", "last"), ["assembly_id", "part_index"], "left"
-            )
-            start = removed.groupBy("assembly_id").agg(F.count(F.lit(1)).alias("base"))
-        free = left.join(held, ["assembly_id", "part_index"], "left_anti").join(
-            last.withColumn("last", F.coalesce("last", F.lit(-1))), ["assembly_id", "part_index"]
-        ).select("assembly_id", "part_index", "last")
-        stuck = left.join(free.select("assembly_id").distinct(), "assembly_id", "left_anti")
-        forced = stuck.groupBy("assembly_id").agg(
-            F.min_by("part_index", F.struct("mean_y", "part_index")).alias("part_index")
-        ).withColumn("last", F.lit(-1))
-        ready = durable(free.unionByName(forced))
-        numbered = ordinal(ready, ["assembly_id"], ["last", "part_index"], "k").join(start, "assembly_id").select(
-            "assembly_id", "part_index", (F.col("k") + F.col("base")).cast("int").alias("remove_no")
-        )
-        removed = durable(numbered if removed is None else removed.unionByName(numbered))
-        left = durable(left.join(removed, ["assembly_id", "part_index"], "left_anti"))
-    return removed
+            gone = done.select("assembly_id", F.col("part").alias("blocker"), "place")
+            held = inner.join(gone, ["assembly_id", "blocker"]).groupBy("assembly_id", "part").agg(F.max("place").alias("held"))
+            base = done.groupBy("assembly_id", "epoch").agg(F.count(F.lit(1)).alias("n"))
+            ready = free.join(held, ["assembly_id", "part"], "left").join(base, ["assembly_id", "epoch"], "left")
+            ready = ready.withColumns({"held": F.coalesce("held", first), "base": first + 1 + F.coalesce("n", F.lit(0))}).drop("n")
+        numbered = ordinal(durable(ready), ["assembly_id", "epoch"], ["held", "part_index"], "k")
+        layer = numbered.select("assembly_id", "part", "part_index", "epoch", (F.col("base") + F.col("k")).cast("int").alias("place"))
+        done = durable(layer if done is None else done.unionByName(layer))
+        left = durable(left.join(done.select("assembly_id", "part"), ["assembly_id", "part"], "left_anti"))
+    if done is not None:
+        forced = forced.unionByName(done.select("assembly_id", "part_index", "epoch", "place"))
+    return ordinal(forced, ["assembly_id"], ["epoch", "place"], "remove_no").select("assembly_id", "part_index", "remove_no")
 
 
 def disassembly_levels(parts: DataFrame) -> DataFrame:

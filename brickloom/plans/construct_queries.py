@@ -155,7 +155,20 @@ def snap_search(spark, sf):
     return k.snap_search(placed_parts(spark, sf)).select("assembly_id", "part_index", "x", "y", "z")
 
 
-@query("disassembly_order")
+ORDER_SQL = f"""WITH RECURSIVE {P_SQL}, bx AS MATERIALIZED (SELECT assembly_id, part_index AS i, y - h AS lo_y, y AS hi_y, y - h / 2 AS mean_y,
+  x - (abs(c) * w + abs(s) * d) / 2 AS lo_x, x + (abs(c) * w + abs(s) * d) / 2 AS hi_x, z - (abs(s) * w + abs(c) * d) / 2 AS lo_z, z + (abs(s) * w + abs(c) * d) / 2 AS hi_z FROM p),
+hd AS (SELECT a.assembly_id, a.i, a.mean_y, coalesce(list(q.i ORDER BY q.i) FILTER (q.i IS NOT NULL), []) AS holders FROM bx a LEFT JOIN bx q ON a.assembly_id = q.assembly_id AND a.i <> q.i
+  AND a.lo_x - 0.1 <= q.hi_x AND a.hi_x + 0.1 >= q.lo_x AND a.lo_z - 0.1 <= q.hi_z AND a.hi_z + 0.1 >= q.lo_z AND q.lo_y < a.hi_y - 0.1 GROUP BY ALL),
+st AS MATERIALIZED (SELECT assembly_id, list({{'i': i, 'holders': holders}} ORDER BY i) AS parts, list(i ORDER BY mean_y, i) AS heights FROM hd GROUP BY assembly_id),
+-- each round removes everything that nothing holds, by the place of its last holder, else the highest part that is left
+r AS (SELECT assembly_id, parts, heights, CAST([] AS INTEGER[]) AS done FROM st
+UNION ALL SELECT assembly_id, parts, heights, list_concat(done, CASE WHEN len(free) > 0 THEN list_transform(list_sort(free), lambda f: f.i) ELSE list_filter(heights, lambda i: NOT list_contains(done, i))[1:1] END)
+FROM (SELECT *, list_transform(list_filter(parts, lambda p: NOT list_contains(done, p.i) AND len(list_filter(p.holders, lambda h: NOT list_contains(done, h))) = 0),
+  lambda p: {{'at': coalesce(list_max(list_transform(p.holders, lambda h: list_position(done, h))), 0), 'i': p.i}}) AS free FROM r WHERE len(done) < len(heights)))
+SELECT assembly_id, unnest(done) AS part_index, CAST(unnest(range(len(done))) AS INTEGER) AS remove_no, CAST(len(done) - 1 - unnest(range(len(done))) AS INTEGER) AS build_no FROM r WHERE len(done) = len(heights)"""
+
+
+@query("disassembly_order", ORDER_SQL)
 def disassembly_order(spark, sf):
     return k.disassembly_order(placed_parts(spark, sf))
 

@@ -3,9 +3,11 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from helpers import DIMS, anchors, at, meets, overlap, parts_df, pose, touch
 
 from brickloom.operators import construct, graph, metrics, mirror, spatial
+from brickloom.session import durable
 
 
 def turn(rng):
@@ -145,10 +147,28 @@ def test_mirror_runs_do_not_depend_on_copies(spark):
 
 def test_disassembly_rounds_equal_peel(spark):
     data = random_assemblies(5, 4, 9, rotated=False)
+    rng = np.random.default_rng(11)
+    for k in range(6):  # crowded: copies, cycles of blocking parts and free cascades after forced removals
+        spots = [(str(rng.choice(["3001", "3005", "3022"])), *(float(v) for v in rng.integers(-2, 3, 3) * [20, 8, 20])) for _ in range(9)]
+        data[f"c{k}"] = [at(*spots[int(rng.integers(9))]) for _ in range(14)]
     df = parts_df(spark, data)
     fast = {tuple(r) for r in construct.disassembly_order(df).collect()}
     slow = {tuple(r) for r in construct.disassembly_order(df, small=0).collect()}
-    assert fast == slow and len(fast) == 36
+    assert fast == slow and len(fast) == 36 + 6 * 14
+
+
+def test_mutually_blocking_parts_take_few_rounds(spark, monkeypatch):
+    """5,000 copies that all hold one another, and 40 parts that overlap: forced one by one, but not in a round each."""
+    rounds = []
+    monkeypatch.setattr(construct, "durable", lambda df: rounds.append(1) or durable(df))
+    copies = spark.range(5000).selectExpr("'c' AS assembly_id", "CAST(id AS INT) AS part_index", "'3001.dat' AS part_id").withColumn(
+        "transform", F.array(*[F.lit(float(v)) for v in pose().flatten()])
+    )
+    crowd = parts_df(spark, {"d": [at("3001", 0, float(k), 0) for k in range(40)]}).select(copies.columns)
+    got = construct.disassembly_order(copies.unionByName(crowd), small=0).collect()
+    assert sorted((r.remove_no, r.part_index) for r in got if r.assembly_id == "c") == [(i, i) for i in range(5000)]
+    assert sorted((r.remove_no, r.part_index) for r in got if r.assembly_id == "d") == [(i, i) for i in range(40)]
+    assert len(rounds) < 20
 
 
 def test_parent_connections_golden(spark):
