@@ -112,6 +112,21 @@ def _scan_ranges(df, keys, order, rank, sums, lags, lasts, maxes, ranges):
     return joined.select(*dict.fromkeys(names))
 
 
+def as_of(events: DataFrame, states: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
+    """Add to every event ``columns`` of the latest state of its key that comes strictly before it, NULL where there is none.
+
+    Both sides have ``keys`` and ``order``. They are laid into one ordered scan that carries the state forward, so a hot key
+    is cut into ranges like in every scan, and no event meets more than one state. Equal times: an event does not see a state of its own time.
+    """
+    held = F.struct(*columns)
+    kind = states.select(held.alias("s")).schema["s"].dataType
+    left = events.select(*keys, *order, F.lit(0).alias("_late"), F.struct(*events.columns).alias("_event"), F.lit(None).cast(kind).alias("_state"))
+    none = F.lit(None).cast(left.schema["_event"].dataType)
+    right = states.select(*keys, *order, F.lit(1).alias("_late"), none.alias("_event"), held.alias("_state"))
+    carried = scan(left.unionByName(right), keys, [*order, "_late"], lasts={"_held": F.col("_state")})
+    return carried.filter("_event IS NOT NULL").select("_event.*", "_held.*")
+
+
 def ordinal(df, keys, order, name, bounded=False) -> DataFrame:
     """0-based position of each row within its key."""
     return scan(df, keys, order, rank=name, bounded=bounded)

@@ -92,9 +92,17 @@ def cadence_stream(spark, sf):
     return rows.groupBy("crawler").agg(F.max_by(F.struct("delay", "streak"), "batch_id").alias("r")).select("crawler", "r.*")
 
 
-@query("attempt_history", f"""WITH {EV} SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, count(*) AS attempts, count(*) FILTER (action = 'success') AS successes
-FROM ev WHERE action IN ('success', 'failure') GROUP BY ALL""")
+@query("attempt_history", _cadence_sql(8, 2, 30, 5, 1).replace("SELECT crawler, seq, delay, streak FROM r WHERE i > 0", """SELECT oc.crawler, oc.seq, ev.user_id AS model_id, epoch_us(ts) AS micros,
+  CASE WHEN ev.action = 'success' THEN 'success' ELSE 'failed' END AS status, value AS elapsed_seconds, error, delay AS delay_used
+FROM r JOIN oc ON oc.crawler = r.crawler AND oc.i = r.i + 1 JOIN ev ON ev.user_id = oc.crawler AND ev.event_id = oc.seq"""))
 def attempt_history(spark, sf):
+    """Every attempt with the delay that was in use."""
+    return e.attempt_history(attempts(spark, sf), e.PROFILER).withColumn("micros", F.unix_micros("ts")).drop("ts")
+
+
+@query("attempt_success_rate", f"""WITH {EV} SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, count(*) AS attempts, count(*) FILTER (action = 'success') AS successes
+FROM ev WHERE action IN ('success', 'failure') GROUP BY ALL""")
+def attempt_success_rate(spark, sf):
     rate = e.success_rate(e.attempt_history(attempts(spark, sf)))
     return rate.select(F.date_format("window_start", "yyyy-MM-dd HH").alias("hour"), "attempts", "successes")
 

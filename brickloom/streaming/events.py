@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from brickloom.operators.scans import fits, scan
+from brickloom.operators.scans import as_of, fits, scan
 from brickloom.session import max_group_rows
 
 ENCRYPTED = "Encrypted - not possible"
@@ -151,7 +151,11 @@ def cadence_state(events: DataFrame, rule: Cadence = ADAPTIVE, keys: tuple[str,
     pieces: each piece is first reduced to where it leads from every possible delay, the pieces of a crawler are chained, and
     then every piece is walked from its own starting delay.
     """
-    keys = list(keys)
+    return _cadence(events, rule, list(keys)).select(*keys, "seq", "streak", "delay")
+
+
+def _cadence(events: DataFrame, rule: Cadence, keys: list[str]) -> DataFrame:
+    """``cadence_state`` with the time of every outcome."""
     spark = events.sparkSession
     piece_rows = max_group_rows(spark)
     ops = _ops(events.filter(F.col("action").isin("success", "failure")), rule, keys)
@@ -184,9 +188,9 @@ def cadence_state(events: DataFrame, rule: Cadence = ADAPTIVE, keys: tuple[str,
             elif effect == -1:
                 delay = max(rule.floor, delay - rule.step)
             out.append(delay)
-        return pdf[[*keys, "seq", "streak"]].assign(delay=out)
+        return pdf[[*keys, "ts", "seq", "streak"]].assign(delay=out)
 
-    needed = ops.select(*keys, "seq", "pos", "streak", "effect", "piece")
+    needed = ops.select(*keys, "ts", "seq", "pos", "streak", "effect", "piece")
     if needed.filter("piece > 0").isEmpty():
         started = needed.withColumn("start", F.lit(rule.start))
     else:
@@ -195,7 +199,7 @@ def cadence_state(events: DataFrame, rule: Cadence = ADAPTIVE, keys: tuple[str,
         )
         starts = maps.groupBy(*keys).applyInPandas(chain, f"{key_ddl}, piece long, start double")
         started = needed.join(starts, [*keys, "piece"])
-    return started.groupBy(*keys, "piece").applyInPandas(walk, f"{key_ddl}, seq long, streak int, delay double")
+    return started.groupBy(*keys, "piece").applyInPandas(walk, f"{key_ddl}, ts timestamp, seq long, streak int, delay double")
 
 
 def cadence_stream(events: DataFrame, rule: Cadence = ADAPTIVE) -> DataFrame:
@@ -222,13 +226,20 @@ def cadence_stream(events: DataFrame, rule: Cadence = ADAPTIVE) -> DataFrame:
 # --- history and dedupe ---------------------------------------------------------------------------
 
 
-def attempt_history(events: DataFrame) -> DataFrame:
-    """Append-only history rows; works on batch and stream input."""
+def attempt_history(events: DataFrame, rule: Cadence | None = None) -> DataFrame:
+    """Append-only history rows; works on batch and stream input.
+
+    With ``rule`` (batch input only) every attempt also has its crawler, seq and delay_used: the delay that its crawler's earlier outcomes
+    had led to, the rule's first delay before any. seq is unique within a crawler.
+    """
     ok = F.col("action") == "success"
-    return events.filter(F.col("action").isin("success", "failure")).select(
-        "ts", "model_id", F.when(ok, "success").otherwise("failed").alias("status"), "elapsed_seconds",
-        F.when(~ok, F.col("error")).alias("error"),
-    )
+    outcomes = events.filter(F.col("action").isin("success", "failure"))
+    columns = ["ts", "model_id", F.when(ok, "success").otherwise("failed").alias("status"), "elapsed_seconds", F.when(~ok, F.col("error")).alias("error")]
+    if rule is None:
+        return outcomes.select(*columns)
+    history = outcomes.select("crawler", "seq", *columns)
+    led = as_of(history, _cadence(events, rule, ["crawler"]), ["crawler"], ["ts", "seq"], ["delay"])
+    return led.withColumn("delay_used", F.coalesce("delay", F.lit(rule.start))).drop("delay")
 
 
 def success_rate(history: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
