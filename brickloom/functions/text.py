@@ -149,8 +149,8 @@ def token_vocabulary() -> list[str]:
 def _word_id(word: Column) -> Column:
     """Vocabulary position by rule: specials, integers, rotations, parts; 1 when unknown."""
     base = len(SPECIALS)
-    number = F.when(word.rlike(r"^(0|-?[1-9]\d{0,2})$"), word.try_cast("int"))
-    in_range = F.when(number.between(-500, 499), number + 500 + base)
+    # a number is a word only as it is written by itself: no sign of zero, no leading zeros
+    in_range = let(word.try_cast("int"), lambda n: F.when(n.between(-500, 499) & (n.cast("string") == word), n + 500 + base))
     ids = {w: i for i, w in enumerate(token_vocabulary()) if not w.lstrip("-").isdigit()}
 
     def named(fits) -> Column:
@@ -165,17 +165,48 @@ def _word_id(word: Column) -> Column:
     return F.coalesce(known, F.lit(1))
 
 
+def _whole_ids(tokens: Column) -> Column:
+    """Ids of coordinates rounded half-even to whole numbers, by arithmetic; what is no number leaves no word."""
+    whole = F.transform(tokens, lambda t: F.rint(t.try_cast("double")).try_cast("long"))
+    return F.transform(whole, lambda n: F.when(n.between(-500, 499), (n + 500 + len(SPECIALS)).cast("int")).when(n.isNotNull(), 1))
+
+
+def _rotation_ids(tokens: Column) -> Column:
+    """Ids of rotation entries with two decimals, by their ranges.
+
+    The doubles nearest to 0.995 and 1.005 lie below these numbers and that nearest to 0.005 above, which decides whether the bound itself
+    belongs to the range. Minus zero has a text of its own, which is no word.
+    """
+    base = len(SPECIALS) + 1000 + 3
+
+    def one(v: Column, token: Column) -> Column:
+        unit = (F.abs(v) > 0.995) & (F.abs(v) <= 1.005)
+        return F.when(unit, F.when(v > 0, base).otherwise(base + 2)).when((F.abs(v) < 0.005) & ~token.startswith("-"), base + 1).otherwise(1)
+
+    return F.zip_with(F.transform(tokens, lambda t: t.try_cast("double")), tokens, one)
+
+
+def _line_ids(line: Column) -> Column:
+    """Ids of one line and of its end, NULL when the line is dropped; a coordinate that is no number leaves no word."""
+
+    def body(tok: Column) -> Column:
+        at = lambda k: F.get(tok, F.lit(k))
+        one, step = F.lit(1 + 500 + len(SPECIALS)), F.array(F.lit(500 + len(SPECIALS)), F.lit(5), F.lit(1))
+        ids = [F.array(one, _word_id(at(1))), _whole_ids(F.slice(tok, 3, 3)), _rotation_ids(F.slice(tok, 6, 9)), F.array(_word_id(F.lower(at(14))), F.lit(1))]
+        part = F.array_compact(F.concat(*ids))
+        return F.when((at(0) == "1") & (F.size(tok) >= 15), part).when((at(0) == "0") & (F.upper(at(1)) == "STEP"), step)
+
+    return let(F.split(F.btrim(line, F.lit(" \t\n\x0b\f\r")), r"\s+"), body)
+
+
 def ldraw_encode(text: Column) -> Column:
-    """Token ids: begin, every line's words followed by one unknown (the line break), end."""
-    lines = F.split(ldraw_normalize(text), "\n")
-    ids = F.flatten(
-        F.transform(
-            lines,
-            lambda s: F.concat(
-                F.transform(F.filter(F.split(s, " "), lambda w: w != ""), lambda w: _word_id(w)), F.array(F.lit(1))
-            ),
-        )
-    )
+    """Token ids: begin, every line's words followed by one unknown (the line break), end.
+
+    The ids are those of the words of ``ldraw_normalize``, without going through its text.
+    """
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda s: _line_ids(s)), lambda ids: ids.isNotNull())
+    # a text without lines is one empty line
+    ids = let(lines, lambda found: F.when(F.size(found) > 0, F.flatten(found)).when(found.isNotNull(), F.array(F.lit(1))))
     return F.concat(F.array(F.lit(2)), ids, F.array(F.lit(3)))
 
 

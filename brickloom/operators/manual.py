@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brickloom.functions.text import count_codes
-from brickloom.operators.scans import first_per_key, ordinal, scan
+from brickloom.operators.scans import first_per_key, scan
 from brickloom.session import durable
 
 _PAGE_CELL = 50.0
+_SALTS = 32
 
 
 def _spread(df: DataFrame, spans: dict[str, tuple[Column, Column]], size: float) -> DataFrame:
@@ -181,53 +180,56 @@ def substring_match(templates: DataFrame, candidates: DataFrame) -> DataFrame:
     )
 
 
-def nearest_template(queries: DataFrame, templates: DataFrame, block_rows: int = 20_000) -> DataFrame:
-    """Template with the greatest cosine similarity (first of equals), one row per query.
+def nearest_template(queries: DataFrame, templates: DataFrame, block_rows: int = 8192) -> DataFrame:
+    """Template of the query's manual with the greatest cosine similarity (first of equals), one row per query.
 
-    queries: query_id, embedding; templates: template_id, embedding. The templates of a manual fit one
-    block, which is sent to the tasks as a matrix. More templates are cut into blocks of ``block_rows``
-    that the queries meet one after another, keeping only the best so far.
+    queries: manual_id, query_id, embedding; templates: manual_id, template_id, embedding. Both sides of a manual are dealt into
+    blocks of about ``block_rows``, and every pair of blocks is one matrix product on the executors, which hands on the best of its
+    templates for each of its queries. Similarities are equal if they agree to twelve decimals; a vector of length zero is as near as 0, and
+    nothing is nearest at -1. Manuals without templates give no row.
     """
-    spark = queries.sparkSession
-    total = templates.count()
-    ranked = templates.select("template_id", "embedding")
-    blocks = max(1, -(-total // block_rows))
-    if blocks > 1:
-        ranked = durable(ordinal(ranked.withColumn("_g", F.lit(0)), ["_g"], ["template_id"], "_k"))
-    best = None
-    for block in range(blocks):
-        part = ranked if blocks == 1 else ranked.filter(F.floor(F.col("_k") / block_rows) == block)
-        rows = part.select("template_id", "embedding").orderBy("template_id").limit(block_rows).toPandas()
-        if rows.empty:
-            continue
-        matrix = np.array(rows["embedding"].tolist(), dtype=np.float64)
-        shared = spark.sparkContext.broadcast((rows["template_id"].to_numpy(), _unit(matrix)))
-        one = queries.select("query_id", "embedding").mapInPandas(
-            _matcher(shared), "query_id long, template_id long, score double"
-        )
-        best = one if best is None else durable(_better(best.unionByName(one)))
-    return (best if blocks == 1 else _better(best)).filter("score > -1")
-
-
-def _better(rows: DataFrame) -> DataFrame:
-    key = F.struct("score", (-F.col("template_id")).alias("n"))
-    return rows.groupBy("query_id").agg(F.max_by("template_id", key).alias("template_id"), F.max("score").alias("score"))
-
-
-def _unit(matrix: np.ndarray) -> np.ndarray:
+    blocks = lambda rows, name: rows.groupBy("manual_id").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name))
+    sizes = blocks(templates, "across").join(blocks(queries, "down"), "manual_id")
+    # a manual may hold a third of all rows, so its sizes go to several places
+    sizes = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+
+    def dealt(rows: DataFrame, name: str, own: str, other: str) -> DataFrame:
+        h = F.xxhash64(name)
+        salted = rows.select("manual_id", F.col(name).alias("id"), "embedding", F.pmod(h, F.lit(_SALTS)).cast("int").alias("salt"))
+        placed = salted.join(sizes, ["manual_id", "salt"])
+        each = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        # aliases: both sides may come from one table
+        return placed.select(
+            *[F.col(c).alias(c) for c in ("manual_id", "id", "embedding")],
+            F.pmod(F.xxhash64(F.lit(1), "id"), F.col(own)).cast("int").alias(own), each.alias(other),
+        )
+
+    key = ["manual_id", "across", "down"]
+    manual = queries.schema["manual_id"].dataType.simpleString()
+    met = dealt(queries, "query_id", "down", "across").groupBy(*key).cogroup(
+        dealt(templates, "template_id", "across", "down").groupBy(*key)
+    ).applyInPandas(_best_of_block, f"manual_id {manual}, query_id long, template_id long, score double")
+    first = F.struct("score", (-F.col("template_id")).alias("n"))
+    best = met.groupBy("manual_id", "query_id").agg(F.max_by("template_id", first).alias("template_id"), F.max("score").alias("score"))
+    return best.filter("score > -1")
+
+
+def _unit(embeddings: pd.Series) -> np.ndarray:
     """Rows scaled to length one; zero rows stay zero, which makes their similarity zero."""
+    matrix = np.array(embeddings.tolist(), dtype=np.float64)
     norm = np.linalg.norm(matrix, axis=1, keepdims=True)
     return np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0)
 
 
-def _matcher(shared):
-    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, units = shared.value
-        for batch in batches:
-            if len(batch) == 0:
-                continue
-            sims = _unit(np.array(batch["embedding"].tolist(), dtype=np.float64)) @ units.T
-            at = sims.argmax(axis=1)
-            yield pd.DataFrame({"query_id": batch["query_id"], "template_id": ids[at], "score": sims[np.arange(len(at)), at]})
-
-    return match
+def _best_of_block(key: tuple, queries: pd.DataFrame, templates: pd.DataFrame) -> pd.DataFrame:
+    if queries.empty or templates.empty:
+        return pd.DataFrame({"manual_id": [], "query_id": [], "template_id": [], "score": []})
+    templates = templates.sort_values("id")
+    units, ids = _unit(templates["embedding"]), templates["id"].to_numpy()
+    out = []
+    for at in range(0, len(queries), 1024):
+        part = queries.iloc[at : at + 1024]
+        sims = np.round(_unit(part["embedding"]) @ units.T, 12)
+        best = sims.argmax(axis=1)
+        out.append(pd.DataFrame({"manual_id": key[0], "query_id": part["id"].to_numpy(), "template_id": ids[best], "score": sims[np.arange(len(best)), best]}))
+    return pd.concat(out)

@@ -317,16 +317,14 @@ def substring_match(spark, sf):
     return m.substring_match(t.select("manual_id", "element_id").distinct(), t.select("manual_id", "item_no", "part_id"))
 
 
-@query("nearest_template", """WITH t AS (SELECT label, min(vec_id) AS template_id FROM embeddings GROUP BY label), te AS (SELECT template_id, embedding FROM t JOIN embeddings ON vec_id = template_id),
-sc AS (SELECT e.vec_id AS query_id, template_id, list_cosine_similarity(e.embedding::DOUBLE[], te.embedding::DOUBLE[]) AS s FROM embeddings e, te)
-SELECT query_id, template_id, round(s, 6) AS score FROM sc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, template_id) = 1""")
+@query("nearest_template", """WITH sc AS (SELECT e.label AS manual_id, e.vec_id AS query_id, t.vec_id AS template_id, round(list_cosine_similarity(e.embedding::DOUBLE[], t.embedding::DOUBLE[]), 12) AS s
+  FROM embeddings e JOIN embeddings t ON t.label = e.label WHERE t.vec_id % 10 = 0)
+SELECT manual_id, query_id, template_id, round(s, 6) AS score FROM sc QUALIFY row_number() OVER (PARTITION BY manual_id, query_id ORDER BY s DESC, template_id) = 1""")
 def nearest_template(spark, sf):
-    """Templates: the first vector of every label."""
-    e = table(spark, sf, "embeddings")
-    templates = e.groupBy("label").agg(F.min_by(F.struct("vec_id", "embedding"), "vec_id").alias("t")).select(
-        F.col("t.vec_id").alias("template_id"), F.col("t.embedding").alias("embedding"))
-    out = m.nearest_template(e.select(F.col("vec_id").alias("query_id"), "embedding"), templates)
-    return out.withColumn("score", F.round("score", 6))
+    """A manual is a label; its templates are the tenth of its vectors whose id ends in 0."""
+    e = table(spark, sf, "embeddings").withColumnRenamed("label", "manual_id")
+    templates = e.filter("vec_id % 10 = 0").withColumnRenamed("vec_id", "template_id")
+    return m.nearest_template(e.withColumnRenamed("vec_id", "query_id"), templates).withColumn("score", F.round("score", 6))
 
 
 LISTING = """SELECT CASE o_orderkey % 4 WHEN 0 THEN 'omr_' ELSE '' END || o_orderkey || CASE o_orderkey % 4 WHEN 1 THEN '-1' WHEN 2 THEN '-2' ELSE '' END || '.ldr' AS file_name FROM {orders}"""

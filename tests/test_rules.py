@@ -3,10 +3,11 @@
 from datetime import datetime, timedelta
 
 import numpy as np
+import pytest
 from helpers import SCHEMA
 from pyspark.sql import functions as F
 
-from brickloom.operators import catalog, construct
+from brickloom.operators import catalog, construct, manual, scans
 from brickloom.sinks.ldraw import to_ldraw_paged
 from brickloom.sources import documents
 from brickloom.streaming import events as e
@@ -101,3 +102,37 @@ def test_studio_parts_of_real_xml(spark):
     rows = [("m", text), ("broken", "<S><Part"), ("none", None)]
     got = documents.studio_xml_parts(spark.createDataFrame(rows, "assembly_id string, text string")).collect()
     assert [(r.assembly_id, r.part_index, r.part_id, r.color, r.transform[3]) for r in got] == [("m", 0, "None.dat", 14, 0.0), ("m", 1, "a&b.dat", 3, 1.5)]
+
+
+def test_nearest_template_in_blocks_equals_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(m), i, [float(v) for v in rng.integers(-2, 3, 3)]) for i, m in enumerate(rng.integers(0, 3, 240))]
+    rows += [(7, 300, [1.0, 0.0, 0.0]), (8, 301, [0.0, 0.0, 0.0]), (8, 302, [1.0, 1.0, 0.0]), (9, 303, [1.0, 0.0, 0.0]), (9, 304, [-1.0, 0.0, 0.0])]
+    given = [r for r in rows if r[1] % 4 == 0 and r[0] != 7] + [(8, 999, [0.0, 0.0, 0.0])]
+    given = [r for r in given if r[0] != 9] + [(9, 304, [-1.0, 0.0, 0.0])]
+    queries = spark.createDataFrame(rows, "manual_id int, query_id long, embedding array<double>")
+    templates = spark.createDataFrame(given, "manual_id int, template_id long, embedding array<double>")
+    want = {}
+    for m, q, v in rows:
+        best = (-1.0, None)
+        for n, t, u in sorted(given, key=lambda r: r[1]):
+            if n == m:
+                norm = np.linalg.norm(v) * np.linalg.norm(u)
+                s = round(float(np.dot(v, u) / norm), 12) if norm > 0 else 0.0
+                best = max(best, (s, t), key=lambda b: b[0])
+        if best[1] is not None:
+            want[m, q] = best
+    for size in (5, 1000):
+        got = {(r.manual_id, r.query_id): (pytest.approx(r.score), r.template_id) for r in manual.nearest_template(queries, templates, size).collect()}
+        assert got == want and (9, 303) not in want and (7, 300) not in want
+
+
+def test_as_of_on_a_hot_key(spark, tiny_groups):
+    rng = np.random.default_rng(12)
+    times = rng.permutation(60)
+    events = spark.createDataFrame([("k" if t % 5 else "o", int(t), f"e{t}") for t in times[:40]], "key string, at int, name string")
+    states = spark.createDataFrame([("k" if t % 5 else "o", int(t), None if t % 7 == 0 else float(t)) for t in times[30:]], "key string, at int, level double")
+    held = states.collect()
+    for r in scans.as_of(events, states, ["key"], ["at"], ["level"]).collect():
+        before = [s for s in held if s.key == r.key and s.at < r.at]
+        assert r.level == (max(before, key=lambda s: s.at).level if before else None) and r.name == f"e{r.at}"
