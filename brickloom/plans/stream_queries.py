@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from brickloom.plans.bindings import table
 from brickloom.plans.registry import query
 from brickloom.streaming import events as e
-from brickloom.streaming.jobs import run_to_table
+from brickloom.streaming.jobs import fold_stream, run_to_table
 
 ACTION = """CASE event_type WHEN 'signup' THEN 'enqueue' WHEN 'view' THEN 'claim' WHEN 'error' THEN 'failure' ELSE 'success' END"""
 ERROR = """CASE WHEN event_type = 'error' THEN CASE WHEN event_id % 4 = 0 THEN 'File is Encrypted!' ELSE 'timeout ' || (event_id % 9) END END"""
@@ -42,7 +42,7 @@ FROM bn LEFT JOIN lv l ON l.user_id = bn.user_id AND last_no = 1 LEFT JOIN lf s
 
 @query("queue_state", QUEUE.replace("{count}", "claims"))
 def queue_state(spark, sf):
-    return e.queue_state(attempts(spark, sf)).drop("last_attempt_time")
+    return e.queue_state(attempts(spark, sf)).drop("last_attempt_time", "settled")
 
 
 ADAPTIVE_QUEUE = f"""WITH {EV}, bn AS (SELECT user_id, min((ts, event_id)) AS born FROM ev WHERE action = 'enqueue' GROUP BY user_id),
@@ -55,15 +55,15 @@ FROM bn LEFT JOIN lv l ON l.user_id = bn.user_id AND n = 1 LEFT JOIN ag ON ag.us
 
 @query("queue_state_adaptive", ADAPTIVE_QUEUE)
 def queue_state_adaptive(spark, sf):
-    return e.queue_state(attempts(spark, sf), adaptive=True).drop("last_attempt_time")
+    return e.queue_state(attempts(spark, sf), adaptive=True).drop("last_attempt_time", "settled")
 
 
 @query("queue_stream", QUEUE.replace("{count}", "claims"))
 def queue_stream(spark, sf):
-    """The stream's last row per model."""
-    rows = run_to_table(e.queue_stream(attempts_stream(spark, sf)), "queue", "update")
-    last = rows.groupBy("model_id").agg(F.max_by(F.struct("status", "attempts", "error_msg"), "batch_id").alias("r"))
-    return last.select("model_id", "r.*")
+    """The models' rows after the last micro-batch."""
+    stream = attempts_stream(spark, sf)
+    key = stream.schema["model_id"].dataType.simpleString()
+    return fold_stream(stream, e.queue_fold, e.QUEUE_STATE.format(key=key), "model_id").drop("last_attempt_time")
 
 
 def _cadence_sql(start, floor, cap, n, step):
@@ -87,9 +87,9 @@ def cadence_state_profiler(spark, sf):
 @query("cadence_stream", _cadence_sql(3, 1, 60, 5, 0.5).replace("SELECT crawler, seq, delay, streak FROM r WHERE i > 0",
        "SELECT crawler, arg_max(delay, i) AS delay, arg_max(streak, i) AS streak FROM r GROUP BY crawler"))
 def cadence_stream(spark, sf):
-    outcomes = attempts_stream(spark, sf).filter(F.col("action").isin("success", "failure"))
-    rows = run_to_table(e.cadence_stream(outcomes, e.SHARED), "cadence", "update")
-    return rows.groupBy("crawler").agg(F.max_by(F.struct("delay", "streak"), "batch_id").alias("r")).select("crawler", "r.*")
+    stream = attempts_stream(spark, sf)
+    key = stream.schema["crawler"].dataType.simpleString()
+    return fold_stream(stream, lambda batch, state: e.cadence_fold(batch, state, e.SHARED), e.CADENCE_STATE.format(key=key), "crawler")
 
 
 @query("attempt_history", _cadence_sql(8, 2, 30, 5, 1).replace("SELECT crawler, seq, delay, streak FROM r WHERE i > 0", """SELECT oc.crawler, oc.seq, ev.user_id AS model_id, epoch_us(ts) AS micros,

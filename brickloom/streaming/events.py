@@ -6,17 +6,15 @@ Attempt events: model_id, ts, seq (order of equal times), action ('enqueue', 'cl
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from brickloom.operators.scans import as_of, fits, scan
-from brickloom.session import max_group_rows
+from brickloom.session import durable, max_group_rows
 
 ENCRYPTED = "Encrypted - not possible"
 
@@ -33,7 +31,7 @@ def _status(action: Column, error: Column) -> tuple[Column, Column]:
 
 
 def queue_state(events: DataFrame, adaptive: bool = False) -> DataFrame:
-    """Current row per model. Events before the first enqueue have no effect, nor do later enqueues.
+    """Current row per model; ``settled`` says whether a success or failure (adaptive: any update) is among its events. Events before the first enqueue have no effect, nor do later enqueues.
 
     Attempts count claims. With ``adaptive`` every update that is not a success counts, an error is stored as it is, and a
     claim clears it.
@@ -56,43 +54,36 @@ def queue_state(events: DataFrame, adaptive: bool = False) -> DataFrame:
     )
     return born.join(folded, "model_id", "left").select(
         "model_id", F.coalesce("status", F.lit("pending")).alias("status"), F.coalesce("attempts", F.lit(0)).alias("attempts"),
-        "last_attempt_time", F.col("last.e").alias("error_msg"),
+        "last_attempt_time", F.col("last.e").alias("error_msg"), F.col("last").isNotNull().alias("settled"),
     )
 
 
-_QUEUE_OUT = "model_id {key}, status string, attempts long, last_attempt_time timestamp, error_msg string"
-_QUEUE_STATE = "status string, attempts long, last_attempt_time timestamp, error_msg string"
-
-
-def queue_stream(events: DataFrame, adaptive: bool = False) -> DataFrame:
-    """The same fold as a stream; emits the new row of every model touched by a micro-batch."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        row = list(state.get) if state.exists else None
-        # a key's rows of a micro-batch come in several chunks, which are in order only together
-        for chunk in [pd.concat(batches)]:
-            for e in chunk.sort_values(["ts", "seq"]).itertuples():
-                if e.action == "enqueue":
-                    row = row or ["pending", 0, None, None]
-                elif row:
-                    locked = isinstance(e.error, str) and "encrypted" in e.error.lower()
-                    row[2] = e.ts.to_pydatetime()
-                    if e.action == "claim":
-                        row[0], row[1] = "downloading", row[1] + 1
-                        row[3] = None if adaptive else row[3]
-                    elif e.action == "success":
-                        row[0], row[3] = "completed", None
-                    else:
-                        row[0] = "not_possible" if locked and not adaptive else "failed"
-                        row[3] = ENCRYPTED if locked and not adaptive else e.error
-                        row[1] += int(adaptive)
-        if row:
-            state.update(tuple(row))
-            yield pd.DataFrame([[key[0], *row]], columns=["model_id", "status", "attempts", "last_attempt_time", "error_msg"])
-
-    key = events.schema["model_id"].dataType.simpleString()
-    return events.groupBy("model_id").applyInPandasWithState(
-        step, _QUEUE_OUT.format(key=key), _QUEUE_STATE, "update", GroupStateTimeout.NoTimeout
+QUEUE_STATE = "model_id {key}, status string, attempts long, last_attempt_time timestamp, error_msg string"
+
+
+def queue_fold(batch: DataFrame, state: DataFrame, adaptive: bool = False) -> DataFrame:
+    """New rows of the models that a micro-batch touches, for ``jobs.fold_stream``.
+
+    A model's part of the batch is reduced by combinable aggregates, so a hot one is reduced in many tasks, and then laid over
+    its row. A model without a row is born at its first enqueue, and only what comes after that counts.
+    """
+    known = state.select("model_id", F.col("status").alias("_status"), F.col("attempts").alias("_attempts"),
+                         F.col("last_attempt_time").alias("_time"), F.col("error_msg").alias("_error"), F.lit(True).alias("_known"))
+    # an old model counts as enqueued before everything in the batch
+    marker = state.join(batch.select("model_id").distinct(), "model_id", "left_semi").select(
+        "model_id", F.timestamp_seconds(F.lit(-62135596800)).alias("ts"), F.lit(-1).cast("long").alias("seq"),
+        F.lit("enqueue").alias("action"), F.lit(None).cast("string").alias("error"),
+    )
+    new = queue_state(batch.select(*marker.columns).unionByName(marker), adaptive).join(known, "model_id", "left")
+    moved = F.col("last_attempt_time").isNotNull()
+    # an error stays as long as only claims follow; the adaptive rule clears it with every update
+    settled = moved if adaptive else F.col("settled")
+    return new.select(
+        "model_id",
+        F.when(moved | F.col("_known").isNull(), F.col("status")).otherwise(F.col("_status")).alias("status"),
+        (F.col("attempts") + F.coalesce("_attempts", F.lit(0))).alias("attempts"),
+        F.coalesce("last_attempt_time", "_time").alias("last_attempt_time"),
+        F.when(settled, F.col("error_msg")).otherwise(F.col("_error")).alias("error_msg"),
     )
 
 
@@ -115,27 +106,39 @@ SHARED = Cadence(3.0, 1.0, 60.0, 5, 0.5)
 PROFILER = Cadence(8.0, 2.0, 30.0, 5, 1.0)
 
 
-def _reachable(rule: Cadence) -> tuple[list[float], np.ndarray, np.ndarray]:
-    """All delays that can follow the first one, and where each of them leads when doubled and when shortened."""
-    delays, at = [rule.start], 0
-    while at < len(delays):
-        for d in (min(rule.cap, delays[at] * 2), max(rule.floor, delays[at] - rule.step)):
-            if d not in delays:
-                delays.append(d)
-        at += 1
-        if len(delays) > 10_000:
-            raise ValueError("the rule's delays have no common grid")
-    doubled = np.array([delays.index(min(rule.cap, d * 2)) for d in delays])
-    shortened = np.array([delays.index(max(rule.floor, d - rule.step)) for d in delays])
-    return delays, doubled, shortened
+# A run of outcomes changes a delay d to min(high, max(low, factor * d + shift)), and two such changes make one of the same kind.
+_NONE = (1.0, 0.0, -np.inf, np.inf)
+
+
+def _then(first: tuple, second: tuple) -> tuple:
+    """The change of ``first`` followed by that of ``second``."""
+    (a, b, low, high), (c, d, least, most) = first, second
+    clamp = lambda v: min(most, max(least, c * v + d))
+    low, high = clamp(low), clamp(high)
+    # every delay leads to one: the line between the limits no longer matters, and its factor must not grow for ever
+    return (0.0, low, low, high) if low == high else (c * a, c * b + d, low, high)
 
 
-def _ops(events: DataFrame, rule: Cadence, keys: list[str]) -> DataFrame:
-    """Position, streak and effect (-1 shorten, 1 double, 0 none) of every outcome."""
+def _reduced(effects, rule: Cadence) -> tuple:
+    doubled, shortened = (2.0, 0.0, -np.inf, rule.cap), (1.0, -rule.step, rule.floor, np.inf)
+    change = _NONE
+    for effect in effects:
+        if effect:
+            change = _then(change, doubled if effect == 1 else shortened)
+    return change
+
+
+def _changed(change, delay: float) -> float:
+    factor, shift, low, high = change
+    return float(min(high, max(low, factor * delay + shift)))
+
+
+def _ops(events: DataFrame, rule: Cadence, keys: list[str], before: Column | None = None) -> DataFrame:
+    """Position, streak and effect (-1 shorten, 1 double, 0 none) of every outcome; ``before``: the streak before the first."""
     small = fits(events, keys)
     df = scan(events, keys, ["ts", "seq"], rank="pos", bounded=small)
     df = scan(df, keys, ["ts", "seq"], lasts={"last_fail": F.when(F.col("action") == "failure", F.col("pos"))}, bounded=small)
-    good = F.col("pos") - F.coalesce("last_fail", F.lit(-1))
+    good = F.col("pos") - F.coalesce("last_fail", F.lit(-1) - (F.lit(0) if before is None else before))
     return df.withColumns(
         {
             "streak": F.when(F.col("action") == "failure", 0).otherwise(good % rule.streak).cast("int"),
@@ -147,9 +150,9 @@ def _ops(events: DataFrame, rule: Cadence, keys: list[str]) -> DataFrame:
 def cadence_state(events: DataFrame, rule: Cadence = ADAPTIVE, keys: tuple[str, ...] = ("crawler",)) -> DataFrame:
     """Delay and streak after every outcome (success / failure) of a crawler, in time order.
 
-    Doubling, shortening and their limits lead from the first delay to few different delays. So a long history is cut into
-    pieces: each piece is first reduced to where it leads from every possible delay, the pieces of a crawler are chained, and
-    then every piece is walked from its own starting delay.
+    What a run of outcomes does to a delay is a line between two limits, whatever its length. So a long history is cut into
+    pieces: each piece is first reduced to its line and limits, the pieces of a crawler are chained, and then every piece is walked
+    from its own starting delay.
     """
     return _cadence(events, rule, list(keys)).select(*keys, "seq", "streak", "delay")
 
@@ -162,21 +165,11 @@ def _cadence(events: DataFrame, rule: Cadence, keys: list[str]) -> DataFrame:
     ops = ops.withColumn("piece", F.floor(F.col("pos") / piece_rows))
     key_ddl = ", ".join(f"{k} {events.schema[k].dataType.simpleString()}" for k in keys)
 
-    def reduce_piece(pdf: pd.DataFrame) -> pd.DataFrame:
-        delays, doubled, shortened = _reachable(rule)
-        ends = np.arange(len(delays))
-        for effect in pdf.sort_values("pos")["effect"]:
-            if effect:
-                ends = (doubled if effect == 1 else shortened)[ends]
-        head = pdf[[*keys, "piece"]].iloc[:1]
-        return head.assign(ends=[ends.tolist()])
-
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        delays = _reachable(rule)[0]
-        pdf, at, starts = pdf.sort_values("piece"), delays.index(rule.start), []
-        for ends in pdf["ends"]:
-            starts.append(delays[at])
-            at = int(ends[at])
+        pdf, delay, starts = pdf.sort_values("piece"), rule.start, []
+        for change in pdf["change"]:
+            starts.append(delay)
+            delay = _changed(change, delay)
         return pdf[[*keys, "piece"]].assign(start=starts)
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -194,33 +187,46 @@ def _cadence(events: DataFrame, rule: Cadence, keys: list[str]) -> DataFrame:
     if needed.filter("piece > 0").isEmpty():
         started = needed.withColumn("start", F.lit(rule.start))
     else:
-        maps = needed.groupBy(*keys, "piece").applyInPandas(
-            reduce_piece, f"{key_ddl}, piece long, ends array<int>"
-        )
+        maps = _pieces(needed, keys, key_ddl, rule)
         starts = maps.groupBy(*keys).applyInPandas(chain, f"{key_ddl}, piece long, start double")
         started = needed.join(starts, [*keys, "piece"])
     return started.groupBy(*keys, "piece").applyInPandas(walk, f"{key_ddl}, ts timestamp, seq long, streak int, delay double")
 
 
-def cadence_stream(events: DataFrame, rule: Cadence = ADAPTIVE) -> DataFrame:
-    """Delay and streak per crawler as a stream, one row per crawler and micro-batch."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        delay, streak = state.get if state.exists else (rule.start, 0)
-        for action in pd.concat(batches).sort_values(["ts", "seq"])["action"]:
-            if action == "failure":
-                delay, streak = min(rule.cap, delay * 2), 0
-            elif action == "success":
-                streak += 1
-                if streak >= rule.streak:
-                    delay, streak = max(rule.floor, delay - rule.step), 0
-        state.update((float(delay), int(streak)))
-        yield pd.DataFrame([[key[0], float(delay), int(streak)]], columns=["crawler", "delay", "streak"])
-
-    ddl = events.schema["crawler"].dataType.simpleString()
-    return events.groupBy("crawler").applyInPandasWithState(
-        step, f"crawler {ddl}, delay double, streak int", "delay double, streak int", "update", GroupStateTimeout.NoTimeout
-    )
+def _pieces(ops: DataFrame, keys: list[str], key_ddl: str, rule: Cadence) -> DataFrame:
+    """The change that every piece of outcomes makes: keys, piece, change."""
+
+    def reduce_piece(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf[[*keys, "piece"]].iloc[:1].assign(change=[list(_reduced(pdf.sort_values("pos")["effect"], rule))])
+
+    return ops.select(*keys, "piece", "pos", "effect").groupBy(*keys, "piece").applyInPandas(reduce_piece, f"{key_ddl}, piece long, change array<double>")
+
+
+CADENCE_STATE = "crawler {key}, delay double, streak int"
+
+
+def cadence_fold(batch: DataFrame, state: DataFrame, rule: Cadence = ADAPTIVE) -> DataFrame:
+    """New delay and streak of the crawlers of a micro-batch, for ``jobs.fold_stream``.
+
+    A crawler's outcomes are reduced piece by piece to the change that they make, so a hot one is reduced in many tasks; only the
+    changes of its pieces meet.
+    """
+    key_ddl = f"crawler {batch.schema['crawler'].dataType.simpleString()}"
+    known = state.select("crawler", F.col("delay").alias("_delay"), F.col("streak").alias("_streak"))
+    outcomes = batch.filter(F.col("action").isin("success", "failure")).select("crawler", "ts", "seq", "action").join(known, "crawler", "left")
+    ops = _ops(outcomes, rule, ["crawler"], F.coalesce("_streak", F.lit(0)))
+    ops = durable(ops.withColumn("piece", F.floor(F.col("pos") / max_group_rows(batch.sparkSession))))
+    last = ops.groupBy("crawler").agg(F.max_by("streak", "pos").alias("streak"), F.first("_delay").alias("_delay"))
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        delay = pdf["_delay"].iloc[0]
+        delay = rule.start if pd.isna(delay) else delay
+        for change in pdf.sort_values("piece")["change"]:
+            delay = _changed(change, delay)
+        return pd.DataFrame({"crawler": pdf["crawler"].iloc[:1], "delay": delay, "streak": pdf["streak"].iloc[:1]})
+
+    # one row per piece
+    return _pieces(ops, ["crawler"], key_ddl, rule).join(last, "crawler").groupBy("crawler").applyInPandas(chain, f"{key_ddl}, delay double, streak int")
 
 
 # --- history and dedupe ---------------------------------------------------------------------------

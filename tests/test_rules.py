@@ -1,5 +1,6 @@
 """Cases in which a plausible shortcut gives another result."""
 
+import os
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -11,6 +12,7 @@ from brickloom.operators import catalog, construct, manual, scans
 from brickloom.sinks.ldraw import to_ldraw_paged
 from brickloom.sources import documents
 from brickloom.streaming import events as e
+from brickloom.streaming.jobs import fold_stream
 
 EVENTS = "model_id int, crawler int, ts timestamp, seq long, action string, error string"
 
@@ -136,3 +138,36 @@ def test_as_of_on_a_hot_key(spark, tiny_groups):
     for r in scans.as_of(events, states, ["key"], ["at"], ["level"]).collect():
         before = [s for s in held if s.key == r.key and s.at < r.at]
         assert r.level == (max(before, key=lambda s: s.at).level if before else None) and r.name == f"e{r.at}"
+
+
+def test_streams_in_several_batches_equal_the_folds(spark, tiny_groups, tmp_path):
+    """Files in time order, one a micro-batch; one model and crawler holds most rows."""
+    rng = np.random.default_rng(21)
+    actions = rng.choice(["enqueue", "claim", "success", "failure"], 90, p=[0.1, 0.3, 0.35, 0.25])
+    rows = [
+        (int(k), int(k), datetime(2024, 1, 1) + timedelta(seconds=i // 2), i, str(a), "File is Encrypted" if i % 3 else f"timeout {i}")
+        for i, (a, k) in enumerate(zip(actions, np.where(rng.random(90) < 0.7, 1, rng.integers(2, 5, 90)), strict=True))
+    ]
+    for k in range(3):
+        spark.createDataFrame(rows[30 * k : 30 * k + 30], EVENTS).coalesce(1).write.parquet(f"{tmp_path}/in/f{k}")
+    whole = spark.createDataFrame(rows, EVENTS)
+    files = sorted(tmp_path.glob("in/f*/*.parquet"), key=lambda f: f.parent.name)
+    for k, f in enumerate(files):
+        os.utime(f, (1_700_000_000 + k, 1_700_000_000 + k))
+    stream = lambda: spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    for adaptive in (False, True):
+        got = fold_stream(stream(), lambda b, s, a=adaptive: e.queue_fold(b, s, a), e.QUEUE_STATE.format(key="int"), "model_id")
+        want = e.queue_state(whole, adaptive).drop("settled")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    got = fold_stream(stream(), e.cadence_fold, e.CADENCE_STATE.format(key="int"), "crawler")
+    want = e.cadence_state(whole).groupBy("crawler").agg(F.max_by(F.struct("delay", "streak"), "seq").alias("r")).select("crawler", "r.*")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_changes_of_rules_without_a_common_grid(spark):
+    rule = e.Cadence(start=3.0, floor=0.7, cap=61.3, streak=2, step=0.37)
+    effects = np.random.default_rng(3).choice([-1, 0, 1], 400, p=[0.6, 0.2, 0.2])
+    delay = rule.start
+    for n, x in enumerate(effects, 1):
+        delay = min(rule.cap, delay * 2) if x == 1 else max(rule.floor, delay - rule.step) if x == -1 else delay
+        assert e._changed(e._reduced(effects[:n], rule), rule.start) == pytest.approx(delay)
