@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brickloom.functions.prompts import CLASSIFY, ENRICH, rendered
 from brickloom.lookups import inline_table
 from brickloom.operators.catalog import TAXONOMY
 from brickloom.operators.scans import ordinal
@@ -174,7 +175,7 @@ def source_metadata(sets: DataFrame, official: DataFrame, themes: DataFrame, geo
 
 
 def prompt_table(metadata: DataFrame) -> DataFrame:
-    """User part of the classification request, one text per metadata row."""
+    """The classification request of every metadata row: set_id, the model's instructions (system) and the row's own text (prompt)."""
 
     def line(label, column):
         return F.concat(F.lit(f"{label}: "), F.coalesce(column.cast("string"), F.lit("None")), F.lit("\n"))
@@ -190,4 +191,14 @@ def prompt_table(metadata: DataFrame) -> DataFrame:
     note = F.when(has_image, "\n[IMAGEN DE ENTRADA DISPONIBLE Y PROCESADA MULTIMODALMENTE]").otherwise(
         "\n[ATENCIÓN: NO HAY IMAGEN DISPONIBLE. Confianza máxima reducida por falta de visual.]"
     )
-    return metadata.select("set_id", F.concat(*body, shape, note).alias("prompt"))
+    return metadata.select("set_id", F.lit(CLASSIFY).alias("system"), F.concat(*body, shape, note).alias("prompt"))
+
+
+def enrichment_prompts(parts: DataFrame, themes: DataFrame) -> DataFrame:
+    """The enrichment request of every part (part_num, name) within its theme (part_num, theme, description): part_num, prompt.
+
+    Repeated parts have a request each; parts without a theme row have none.
+    """
+    return parts.select("part_num", "name").join(themes.select("part_num", "theme", "description"), "part_num").select(
+        "part_num", rendered(ENRICH).alias("prompt")
+    )

@@ -7,12 +7,13 @@ import re
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brickloom.functions.prompts import CLASSIFY, ENRICH
 from brickloom.operators import catalog as c
 from brickloom.operators import reports as r
 from brickloom.operators.metrics import vehicle_metrics
 from brickloom.plans.assembly_queries import SYM_SQL, VEH_SQL, _as_vehicles
 from brickloom.plans.bindings import P_SQL, placed_parts, table
-from brickloom.plans.registry import query
+from brickloom.plans.registry import ORACLES, query
 
 # Input tables, in SQL that both engines read the same way; {name} is a test table.
 SETS = """
@@ -194,6 +195,19 @@ def dominant_theme(spark, sf):
     return c.dominant_theme(bind(spark, sf, PARTS), *rb(spark, sf), described)
 
 
+def _request_sql():
+    text = ENRICH.replace("'", "''")
+    for name in ("part_num", "name", "theme", "description"):
+        text = text.replace(f"<{name}>", f"' || {name} || '")
+    return f"SELECT part_num, '{text}' AS prompt FROM ({ORACLES['dominant_theme']}) JOIN (SELECT '' || p_partkey AS pn, p_name AS name FROM part) ON pn = part_num"
+
+
+@query("enrichment_prompts", _request_sql())
+def enrichment_prompts(spark, sf):
+    """Every part's request, with its dominant theme."""
+    return r.enrichment_prompts(bind(spark, sf, PARTS), dominant_theme(spark, sf))
+
+
 @query("theme_root", "WITH RECURSIVE " + RB_DUCK[5:] + """, up AS (SELECT id, name, id AS at, name AS root, parent_id FROM th
 UNION ALL SELECT up.id, up.name, th.id, th.name, th.parent_id FROM up JOIN th ON th.id = up.parent_id),
 roots AS (SELECT id, name, root FROM up WHERE parent_id IS NULL)
@@ -478,7 +492,7 @@ def source_metadata(spark, sf):
     ).drop("metadata_3d")
 
 
-@query("prompt_table", META_SQL + """SELECT set_id, 'Set ID: ' || set_id || chr(10) || 'Origen: ' || source || chr(10) || 'Nombre: ' || name || chr(10) ||
+@query("prompt_table", META_SQL + "SELECT set_id, '" + CLASSIFY.replace("'", "''") + """' AS system, 'Set ID: ' || set_id || chr(10) || 'Origen: ' || source || chr(10) || 'Nombre: ' || name || chr(10) ||
   'Temática: ' || theme || chr(10) || 'Año: ' || year || chr(10) || 'Descripción: ' || description || chr(10) ||
   'Tags del usuario: ' || tags || chr(10) || 'Cantidad de piezas: ' || parts_count || chr(10) ||
   'Metadatos 3D del diseño: ' || CASE WHEN wheel_count IS NULL THEN '{}' ELSE '{"wheel_count":' || wheel_count || '}' END || chr(10) ||
