@@ -42,7 +42,7 @@ class PhraseParams:
     percent: int = 80  # share of a phrase's occurrences inside a longer one that drops it
     first: int = 3  # prefixes of a language opened in the first round, as a multiple of top
     slice: int = 60_000  # prefixes opened in one round, all languages
-    flush: int = 1_000_000  # words a task holds before it hands on their counts
+    flush: int = 800_000  # words a task holds before it hands on their counts
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -109,7 +109,7 @@ class _Known(dict):
         self.words = words
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > len(self.words) + 500_000:
+        if len(self) > len(self.words) + 100_000:
             self.clear()
             self.update(self.words)
         self[word] = -1
@@ -150,7 +150,7 @@ def _growth(prefixes: list[tuple[str, str]]):
                 out.update([b" ".join(found[i : i + 3]) for i in starts.tolist()])
                 out.update([b" ".join(found[i : i + 4]) for i in starts[whole[starts + 3]].tolist()])
                 held += len(out) - before
-                if held > 500_000:
+                if held > 120_000:
                     yield from given(counts)
                     counts, held = defaultdict(Counter), 0
         yield from given(counts)
