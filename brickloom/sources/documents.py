@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from brickloom.functions.geometry import transform_from
 from brickloom.functions.text import convert_matrix, map_color_id, map_part_id
+from brickloom.sources.lines import csv_records, read_lines
 
 # --- assembly documents ---------------------------------------------------------------------------
 
@@ -203,10 +204,20 @@ CSV_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT, "esc
 
 
 def read_dump(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """A dump file per task; for files too large for that see ``read_large_dump``."""
     raw = spark.read.schema(dump_schema(table)).options(**CSV_OPTIONS).csv(path, header=True, multiLine=True)
     return map_dump(raw, table)
 
 
+def read_large_dump(spark: SparkSession, path: str, table: str, header: bool = True) -> DataFrame:
+    """Same rows, every file cut into blocks that are read side by side, also where quoted fields hold line breaks."""
+    records = csv_records(read_lines(spark, path))
+    if header:
+        records = records.filter("line_no > 0")
+    parsed = records.select(F.from_csv("record", F.lit(dump_schema(table)), CSV_OPTIONS).alias("r"))
+    return map_dump(parsed.select("r.*"), table)
+
+
 def map_dump(raw: DataFrame, table: str) -> DataFrame:
     """Text columns -> typed columns; short rows and unreadable numbers are dropped."""
     columns = dump_columns(table)
