@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 
 import pandas as pd
@@ -19,6 +20,7 @@ from brickloom.plans.registry import ORACLES, query
 from brickloom.plans.sequence_queries import SYN, TRAIN_SQL, _pose
 from brickloom.sinks.ldraw import assembly_documents, homogenized_documents
 from brickloom.operators.spatial import parent_connections
+from brickloom.session import ensure_checkpoint_dir
 from brickloom.sources import documents as d
 from brickloom.sources import html as h
 
@@ -142,6 +144,21 @@ def dump_csv(spark, sf):
     return d.map_dump(raw, "sets")
 
 
+INVENTORY_LINES = """SELECT l_orderkey || ',' || CASE WHEN l_linenumber % 3 = 0 THEN '"p ~~' || l_partkey || '~~' || chr(10) || 'x,' || chr(10) || '"' ELSE 'p' || l_partkey END || ',' ||
+  CASE WHEN l_linenumber = 7 THEN 'none' ELSE '' || l_suppkey END || ',' || CAST(l_quantity AS INT) || ',' || CASE WHEN l_returnflag = 'R' THEN 't' ELSE 'f' END || ',u' || l_linenumber || '"' AS line
+  FROM {lineitem}""".replace("~~", '""')
+
+
+@query("large_dump", """SELECT CAST(l_orderkey AS INTEGER) AS inventory_id, CASE WHEN l_linenumber % 3 = 0 THEN 'p "' || l_partkey || '"' || chr(10) || 'x,' || chr(10) ELSE 'p' || l_partkey END AS part_num,
+  CAST(l_suppkey AS INTEGER) AS color_id, CAST(l_quantity AS INTEGER) AS quantity, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS is_spare, 'u' || l_linenumber || '"' AS img_url FROM lineitem WHERE l_linenumber <> 7""")
+def large_dump(spark, sf):
+    """Records with line breaks, written as files without header to the shared folder and read back in blocks."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/dump-{uuid.uuid4().hex}"
+    bind(spark, sf, INVENTORY_LINES).write.text(folder)
+    return d.read_large_dump(spark, folder, "inventory_parts", header=False)
+
+
 def _zip_texts(batches):
     """Pack each row's text into an archive beside a decoy."""
     for batch in batches:
