@@ -6,7 +6,6 @@ import io
 import zipfile
 from collections.abc import Iterator
 from fnmatch import fnmatchcase
-from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -131,28 +130,30 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.regexp_replace(name, r"\.[^.]*$", "").alias("assembly_id"), "content")
 
 
-def _part_attributes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Attributes of every Part element below the root; a text that is no XML document has none."""
-    for batch in batches:
-        rows = []
-        for key, text in zip(batch["assembly_id"], batch["text"]):
-            try:
-                found = ElementTree.fromstring(text or "").findall(".//Part")
-            except ElementTree.ParseError:
-                continue
-            rows += [(key, i, dict(part.attrib)) for i, part in enumerate(found)]
-        yield pd.DataFrame(rows, columns=["assembly_id", "part_index", "attributes"])
+_NO_MARKUP = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>"  # may hold what looks like an element
+_TAG = r"""<[^\s/>!]+(?:[^<>"']|"[^"]*"|'[^']*')*+>"""
+_PART_TAG = r"""<Part(?=[\s/>])(?:[^<>"']|"[^"]*"|'[^']*')*+>"""
+_ATTRIBUTES = ["design", "color", "tx", "ty", "tz", *[f"m{i}{j}" for i in range(3) for j in range(3)]]
 
 
 def studio_xml_parts(scenes: DataFrame) -> DataFrame:
-    """assembly_id, text (document.xml) -> placed parts; identity defaults, missing colour 14."""
-    key = scenes.schema["assembly_id"].dataType.simpleString()
-    parts = scenes.select("assembly_id", "text").mapInPandas(
-        _part_attributes, f"assembly_id {key}, part_index INT, attributes MAP<STRING, STRING>"
-    )
+    """assembly_id, text (document.xml) -> placed parts; identity defaults, missing colour 14.
+
+    Every Part element below the root counts, at any depth. A text that is no well-formed document has none; document types are
+    not accepted, and what follows the end of the root is not checked. The parser sees the whole text once for that and then
+    the start tags of the parts, so attributes are read by it and not by a pattern.
+    """
+    # asked for an element that no document has, the parser goes through the text and reports only whether it could
+    checked = F.from_xml("text", "_corrupt_record STRING, _ STRING")["_corrupt_record"]
+    sound = scenes.filter(F.col("text").isNotNull() & checked.isNull()).select("assembly_id", F.regexp_replace("text", _NO_MARKUP, "").alias("text"))
+    below = F.regexp_replace("text", rf"(?s)^.*?{_TAG}", "")  # without the root's own tag
+    tags = sound.select("assembly_id", F.posexplode(F.regexp_extract_all(below, F.lit(_PART_TAG), F.lit(0))).alias("part_index", "tag"))
+    closed = F.concat(F.regexp_replace("tag", r"\s*/?>$", ""), F.lit("/>"))
+    schema = ", ".join(f"_{name} STRING" for name in _ATTRIBUTES)
+    parts = tags.withColumn("attributes", F.from_xml(closed, schema, {"ignoreSurroundingSpaces": "false"}))
 
     def attr(name: str) -> Column:
-        return F.col("attributes")[name]
+        return F.col(f"attributes._{name}")
 
     def number(name: str, default: float) -> Column:
         return F.coalesce(attr(name).try_cast("double"), F.lit(default))

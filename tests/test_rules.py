@@ -101,9 +101,15 @@ def test_layers_give_the_queue_order():
 
 def test_studio_parts_of_real_xml(spark):
     text = '<S><!-- <Part design="no"/> --><G><Part/><Part design="a&amp;b" color="3" tx="1.5"></Part></G></S>'
-    rows = [("m", text), ("broken", "<S><Part"), ("none", None)]
+    deep = """<?xml version="1.0"?><Part design="root"><A x='>'><Parts/><B><![CDATA[<Part design="no"/>]]><Part design='x"y'\n tx="-2" m00="&#48;" color=""/></B></A></Part>"""
+    rows = [("m", text), ("broken", "<S><Part"), ("open", "<S><Part></S>"), ("none", None), ("empty", ""), ("root", '<Part design="alone"/>'), ("deep", deep)]
     got = documents.studio_xml_parts(spark.createDataFrame(rows, "assembly_id string, text string")).collect()
-    assert [(r.assembly_id, r.part_index, r.part_id, r.color, r.transform[3]) for r in got] == [("m", 0, "None.dat", 14, 0.0), ("m", 1, "a&b.dat", 3, 1.5)]
+    assert [(r.assembly_id, r.part_index, r.part_id, r.color, r.transform[3]) for r in got] == [
+        ("m", 0, "None.dat", 14, 0.0), ("m", 1, "a&b.dat", 3, 1.5), ("deep", 0, 'x"y.dat', 14, -2.0),
+    ]
+    assert got[2].transform[0] == 0.0
+    long = "<S>" + '<Part design="3001" color="4"/>' * 20_000 + "</S>"
+    assert documents.studio_xml_parts(spark.createDataFrame([("long", long)] * 2, "assembly_id string, text string")).count() == 40_000
 
 
 def test_nearest_template_in_blocks_equals_all_pairs(spark):
