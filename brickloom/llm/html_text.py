@@ -27,6 +27,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style title textarea xmp".split())  # their content is no markup
 HIDDEN = frozenset("noscript template iframe object svg math noembed noframes canvas audio video".split())  # left out with what they hold
 CLOSED_BY_SAME = frozenset("li dt dd tr td th option".split())
+WHOLE = frozenset("html body main article".split())  # their names speak of the page, not of a part of it
 TITLES = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 #: What an ancestor element says about a block, in hundredths.
@@ -34,13 +35,21 @@ TAG_SCORES = {
     "article": 500, "main": 400, "p": 80, "blockquote": 60, "pre": 60, "figcaption": 20, "td": -10, "li": -30, "nav": -900, "footer": -900,
     "aside": -900, "header": -500, "form": -900, "button": -900, "select": -900, "menu": -900, "dialog": -700, "address": -200, "label": -200,
 }
-GOOD = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|story|entry|body|text)(?:$|[\s_-])", re.I)
+GOOD = re.compile(r"(?:^|[_-])(?:article|content|main|post|story|entry|body|text)(?:$|[_-])", re.I)
 BAD = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side|menu|nav\w*|breadcrumbs?|footer|header|masthead|cookies?|consent|"
-    r"notice|gdpr|popup|modal|overlay|share|social|related|recommend\w*|comments?|replies|disqus|widget|newsletter|subscribe|signup|login|"
-    r"search|pagination|pager|toolbar|tags?|copyright|legal|hidden|skip)(?:$|[\s_-])",
+    r"(?:^|[_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|cookies?|consent|"
+    r"gdpr|popup|modal|overlay|recommended|recommendations|comments?|replies|disqus|newsletter|subscribe|signup|login|pagination|pager|toolbar|copyright)(?:$|[_-])",
     re.I,
 )
+#: Words that name boilerplate alone or beside words of LISTING only: related-posts does, related-work does not.
+UNSURE = frozenset("side notice share sharing social related recommend widget search tag tags legal hidden skip".split())
+LISTING = frozenset(
+    "area articles article bar block box button buttons by cloud col column container content entry footer form group icons inner items left link "
+    "links list media meta nav network networks page panel post posts results right row section site stories story text to top widget widgets wrap wrapper".split()
+)
+# state of the page or the layout, or the article's own subjects, not what an element is
+STATE = re.compile(r"(?:has|no|not|with|without|is|js|can|supports?)[_-]|(?:.*[_-])?(?:has|with|without|no)[_-]|(?:.*[_-])?(?:layout|open|closed|enabled|disabled)$", re.I)
+SUBJECT = re.compile(r"(?:tag|category|topic|status|type|format)-(.+)", re.I)
 NEXT_TO, SAME_PARENT = 60, 40  # capacities of the smoothness edges, the first divided by the steps between the containers
 
 _TOKEN = re.compile(
@@ -53,11 +62,12 @@ _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\
 class _Node:
     """An open element: what it and its ancestors say about the blocks inside."""
 
-    __slots__ = ("tag", "block", "parent", "depth", "score", "link", "number")
+    __slots__ = ("tag", "block", "parent", "depth", "score", "link", "number", "article")
 
     def __init__(self, tag: str, parent: _Node | None, score: int, link: bool, number: int):
         self.tag, self.parent, self.score, self.link, self.number = tag, parent, score, link, number
         self.block = tag in BLOCKS
+        self.article = tag == "article" or (parent is not None and parent.article)
         self.depth = parent.depth + 1 if parent else 0
 
     def container(self) -> _Node:
@@ -74,12 +84,30 @@ class Block:
         self.text, self.links, self.node = text, links, node
 
 
+def _name_score(names: str) -> int:
+    """What class names, id and role say about an element, name by name. A BEM modifier (after ``--``) is no part of a name."""
+    good = False
+    for name in names.split():
+        name = name.partition("--")[0]
+        subject = SUBJECT.fullmatch(name)
+        if STATE.match(name) or (subject and subject[1].lower() not in LISTING):
+            continue
+        words = {w for w in re.split(r"[_-]+", name.lower()) if w and not w.isdigit()}
+        if BAD.search(name) or (words & UNSURE and words <= UNSURE | LISTING):
+            return -900
+        good = good or GOOD.search(name) is not None
+    return 200 if good else 0
+
+
 def _open(tag: str, attributes: str, parent: _Node, number: int) -> _Node:
-    score = parent.score + TAG_SCORES.get(tag, 0)
-    if attributes:
+    inner = tag == "article" and parent.article  # articles in an article are comments or teasers
+    score = parent.score + (0 if inner else TAG_SCORES.get(tag, 0))
+    if tag == "main":
+        score = max(parent.score, 0) + TAG_SCORES[tag]  # a page has one; layouts and forms around it say nothing about it
+    elif attributes and (inner or tag not in WHOLE):
         names = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes))
         if names:
-            score += -900 if BAD.search(names) else 200 if GOOD.search(names) else 0
+            score += _name_score(names)
     return _Node(tag, parent, score, parent.link or tag == "a", number)
 
 

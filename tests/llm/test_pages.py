@@ -60,6 +60,31 @@ def test_hidden_elements_hide_only_themselves():
     assert html_text.main_text(f"<article><svg><title/><p>{one}") == one
 
 
+WRAPPERS = [
+    '<article class="post tag-python">', '<body class="post has-sidebar">', '<body class="no-sidebar"><main>', '<html class="js cookies">', '<section id="related-work">',
+    '<div class="content-area with-side-nav">', '<div class="post type-post status-publish category-menu tag-search hentry">', '<body id="top" class="single single-post comments-open">',
+    '<div class="layout layout--with-sidebar">', '<div class="page-with-sidebar"><article>', '<div id="content" class="mw-body" role="main">', '<section class="legal-history">',
+    '<div class="story-body search-engines">', '<form id="aspnetForm"><main role="main">', '<div class="row skip-lazy"><div class="entry-content">', '<div class="sidebar-layout">',
+    '<html class="no-js hidden-menu"><body class="ads-enabled"><div id="main">', '<article class="article share-price-report">', '<div class="right-sidebar"><main class="site-main">',
+]
+PARAGRAPHS = [f"Paragraph {k} tells of things that happened long ago. It has several sentences; they go on, and on." for k in (1, 2, 3)]
+
+
+def test_names_of_wrappers_lose_no_article():
+    body = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+    for w in WRAPPERS:
+        assert html_text.main_text(w + body) == " ".join(PARAGRAPHS), w
+
+
+def test_names_of_boilerplate_are_left_out():
+    body, more = "".join(f"<p>{p}</p>" for p in PARAGRAPHS), "<p>Some words that are no part of it, although they read like a text. They go on.</p>"
+    for x in [
+        '<div id="comments">', '<ol class="comment-list"><li class="comment-42">', '<article class="comment byuser">', '<div class="related-posts">', '<div class="tags-links">', '<div class="widget">',
+        '<div class="sidebar sidebar--left">', '<section class="social share-buttons">', '<div id="cookie-notice">', '<div role="navigation">', '<div class="notice">', '<div class="ad">',
+    ]:
+        assert html_text.main_text(f'<body class="single"><article class="post"><h1>Title</h1>{body}{x}{more}') == " ".join(["Title", *PARAGRAPHS]), x
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None, 1), (2, None, "", 1), (None, "v", PAGE, 1), (3, "w", "<p", 1), (3, "w", "<div " * 2000, 1), (4, "x", PAGE * 60, 1)]
     df = spark.createDataFrame(rows, "page_id int, url string, html string, text int")
