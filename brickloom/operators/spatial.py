@@ -18,7 +18,7 @@ from brickloom.functions.geometry import (
     relative_transform,
     solids,
 )
-from brickloom.operators.scans import all_of, first_per_key, opaque
+from brickloom.operators.scans import all_of, first_per_key, opaque, ordinal, scan
 from brickloom.session import durable
 
 CONTACT = 1.0
@@ -410,3 +410,56 @@ def parent_connections(parts: DataFrame) -> DataFrame:
         .select("assembly_id", "part_index", "parent_index", "parent_anchor", "child_anchor",
                 relative_matrix("tp", "tc").alias("relative_transform"))
     )
+
+
+def ranked_members(parts: DataFrame) -> DataFrame:
+    """assembly_id, owner, part_index, rank: the copies of every placement, numbered from 0 in list order."""
+    return ordinal(placement_members(parts), ["assembly_id", "owner"], ["part_index"], "rank")
+
+
+def _copy_runs(parts: DataFrame) -> DataFrame:
+    """assembly_id, owner, first (part_index), n, before: copies that follow each other without another placement between them."""
+    members = scan(placement_members(parts), ["assembly_id"], ["part_index"], lags={"_prev": F.col("owner")})
+    starts = (~F.col("owner").eqNullSafe(F.col("_prev"))).cast("int")
+    members = scan(members, ["assembly_id"], ["part_index"], sums={"_run": starts})
+    runs = members.groupBy("assembly_id", "owner", "_run").agg(F.min("part_index").alias("first"), F.count(F.lit(1)).alias("n"))
+    runs = scan(runs, ["assembly_id", "owner"], ["first"], sums={"_end": F.col("n")})
+    return runs.select("assembly_id", "owner", "first", "n", (F.col("_end") - F.col("n")).alias("before"))
+
+
+def connection_ranges(parts: DataFrame) -> DataFrame:
+    """Contacts with earlier parts as ranges of copies, which say the same as ``parent_connections`` in far fewer rows.
+
+    p and c are parent and child placements; the copies of c with ranks ``child_from`` to ``child_to`` (see ``ranked_members``)
+    have the first ``n_parents`` copies of p before them. Runs of copies of two placements never overlap in the list, so one
+    ordered scan per linked pair over their runs counts the parents of every run, and piles of copies cost a row each.
+    """
+    links = durable(best_anchor(parts))
+    runs = durable(_copy_runs(parts))
+    key = ["assembly_id", "p", "c"]
+    zero = F.lit(0).cast("long")
+    giving = links.select(*key).join(runs.withColumnRenamed("owner", "p"), ["assembly_id", "p"]).select(
+        *key, "first", F.col("n").alias("_given"), zero.alias("n"), zero.alias("before")
+    )
+    taking = links.select(*key).join(runs.withColumnRenamed("owner", "c"), ["assembly_id", "c"]).select(*key, "first", zero.alias("_given"), "n", "before")
+    counted = scan(giving.unionByName(taking), key, ["first"], sums={"n_parents": F.col("_given")})
+    ranges = counted.filter("n > 0 AND n_parents > 0").groupBy(*key, "n_parents").agg(
+        F.min("before").alias("child_from"), F.max(F.col("before") + F.col("n") - 1).alias("child_to")
+    )
+    pose = placements(parts)
+    tp = pose.select("assembly_id", F.col("owner").alias("p"), F.col("transform").alias("tp"))
+    tc = pose.select("assembly_id", F.col("owner").alias("c"), F.col("transform").alias("tc"))
+    return (
+        links.join(tp, ["assembly_id", "p"]).join(tc, ["assembly_id", "c"])
+        .select(*key, "parent_anchor", "child_anchor", relative_matrix("tp", "tc").alias("relative_transform"))
+        .join(ranges, key)
+        .select(*key, "child_from", "child_to", "n_parents", "parent_anchor", "child_anchor", "relative_transform")
+    )
+
+
+def child_connections(parts: DataFrame, ranges: DataFrame) -> DataFrame:
+    """assembly_id, part_index, p, n_parents, anchors and matrix: one row per part and parent placement, parents still counted."""
+    listed = ranges.withColumn("rank", F.explode(F.sequence(F.col("child_from").cast("int"), F.col("child_to").cast("int"))))
+    return listed.join(ranked_members(parts).withColumnRenamed("owner", "c"), ["assembly_id", "c", "rank"]).select(
+        "assembly_id", "part_index", "p", "n_parents", "parent_anchor", "child_anchor", "relative_transform"
+    )

@@ -386,6 +386,26 @@ def vehicle_reward(spark, sf):
     return metrics.vehicle_reward(renamed, stable=stable)
 
 
+RANGE_MEM = ORACLES["parent_connections"].split("\nSELECT l.assembly_id, kid.part_index")[0].replace(
+    "SELECT p.assembly_id, p.part_index, pl.owner,", "SELECT p.assembly_id, p.part_index, pl.owner, row_number() OVER (PARTITION BY p.assembly_id, pl.owner ORDER BY p.part_index) - 1 AS rk,")
+RANGE_SQL = RANGE_MEM + """,
+counted AS MATERIALIZED (SELECT l.assembly_id, po, co, kid.part_index, kid.rk, count(*) AS n, any_value(kid.x - par.x) AS dx, any_value(kid.y - par.y) AS dy, any_value(kid.z - par.z) AS dz
+  FROM links l JOIN mem kid ON kid.assembly_id = l.assembly_id AND kid.owner = co JOIN mem par ON par.assembly_id = l.assembly_id AND par.owner = po
+  WHERE par.part_index < kid.part_index GROUP BY l.assembly_id, po, co, kid.part_index, kid.rk),
+kids AS MATERIALIZED (SELECT counted.*, CASE mode WHEN 0 THEN 'stud_' || pi WHEN 1 THEN 'socket_' || pi ELSE 'unknown' END AS parent_anchor,
+  CASE mode WHEN 0 THEN 'socket_' || ci WHEN 1 THEN 'stud_' || ci ELSE 'unknown' END AS child_anchor FROM counted LEFT JOIN best USING (assembly_id, po, co))"""
+
+
+@query("connection_ranges", RANGE_SQL + """
+SELECT assembly_id, po AS p, co AS c, min(rk) AS child_from, max(rk) AS child_to, n AS n_parents, parent_anchor, child_anchor, any_value(dx) AS dx, any_value(dy) AS dy, any_value(dz) AS dz
+FROM kids GROUP BY assembly_id, po, co, n, parent_anchor, child_anchor""")
+def connection_ranges(spark, sf):
+    t = F.col("relative_transform")
+    return spatial.connection_ranges(placed_parts(spark, sf)).select(
+        "assembly_id", "p", "c", "child_from", "child_to", "n_parents", "parent_anchor", "child_anchor", t[3].alias("dx"), t[7].alias("dy"), t[11].alias("dz")
+    )
+
+
 BEST_SQL = ORACLES["parent_connections"].split(",\nmem AS")[0] + """
 SELECT l.assembly_id, po AS p, co AS c, CASE mode WHEN 0 THEN 'stud_' || pi WHEN 1 THEN 'socket_' || pi ELSE 'unknown' END AS parent_anchor,
   CASE mode WHEN 0 THEN 'socket_' || ci WHEN 1 THEN 'stud_' || ci ELSE 'unknown' END AS child_anchor

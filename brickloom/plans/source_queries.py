@@ -13,13 +13,13 @@ from brickloom.functions import geometry as g
 from brickloom.lookups import MECABRICKS_COLORS, MECABRICKS_PARTS, values_sql
 from brickloom.operators import manual as m
 from brickloom.operators import sequencing as q
-import brickloom.plans.assembly_queries  # noqa: F401  (its SQL is reused here)
+from brickloom.plans.assembly_queries import RANGE_SQL
 from brickloom.plans.bindings import LINE_ORDER, P_SQL, numbered_lines, placed_parts, table
 from brickloom.plans.catalog_queries import bind, duck
 from brickloom.plans.registry import ORACLES, query
 from brickloom.plans.sequence_queries import SYN, TRAIN_SQL, _pose
-from brickloom.sinks.ldraw import assembly_documents, homogenized_documents
-from brickloom.operators.spatial import parent_connections
+from brickloom.sinks.ldraw import assembly_documents, homogenized_chunks, homogenized_documents
+from brickloom.operators.spatial import child_connections, connection_ranges, parent_connections
 from brickloom.session import ensure_checkpoint_dir
 from brickloom.sources import documents as d
 from brickloom.sources import html as h
@@ -231,6 +231,21 @@ def to_homogenized_json(spark, sf):
     return docs.select("assembly_id", "set_name", "num_parts", F.array_join(listed, ",").alias("links"))
 
 
+@query("homogenized_chunks", RANGE_SQL + """, placed AS (SELECT assembly_id, part_index, CAST((row_number() OVER (PARTITION BY assembly_id ORDER BY part_index) - 1) // 3 AS INTEGER) AS chunk_no FROM p),
+sized AS (SELECT assembly_id, chunk_no, CAST(count(*) AS INTEGER) AS num_parts FROM placed GROUP BY assembly_id, chunk_no),
+listed AS (SELECT assembly_id, chunk_no, string_agg(part_index || '<' || po || '*' || n || ':' || parent_anchor || ':' || child_anchor, ',' ORDER BY part_index, po) AS links
+  FROM kids JOIN placed USING (assembly_id, part_index) GROUP BY assembly_id, chunk_no)
+SELECT assembly_id, assembly_id || '-1_Set' AS set_name, chunk_no, num_parts, coalesce(links, '') AS links FROM sized LEFT JOIN listed USING (assembly_id, chunk_no)""")
+def homogenized_chunks_query(spark, sf):
+    """Chunks of three parts, their connections listed as text."""
+    parts, names = _documents(spark, sf, limited=False)
+    docs = homogenized_chunks(parts, child_connections(parts, connection_ranges(parts)), names, size=3)
+    listed = F.flatten(F.transform("sequence", lambda p: F.transform(p["connections"], lambda c: F.concat(
+        p["part_index"].cast("string"), F.lit("<"), c["parent_part_index"].cast("string"), F.lit("*"), c["parent_copies"].cast("string"),
+        F.lit(":"), c["parent_anchor"], F.lit(":"), c["child_anchor"]))))
+    return docs.select("assembly_id", "set_name", "chunk_no", "num_parts", F.array_join(listed, ",").alias("links"))
+
+
 # --- manuals --------------------------------------------------------------------------------------
 
 O_SQL = f"o AS (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(LINE_ORDER)}) - 1 AS INTEGER) AS pi FROM lineitem)"

@@ -123,5 +123,27 @@ def homogenized_documents(parts: DataFrame, connections: DataFrame, names: DataF
     return docs.join(names, "assembly_id").select("assembly_id", "set_name", "num_parts", "sequence")
 
 
+def homogenized_chunks(parts: DataFrame, children: DataFrame, names: DataFrame, size: int = 1000) -> DataFrame:
+    """Connection documents of assemblies of any size, in chunks of ``size`` parts in list order.
+
+    children: rows of ``child_connections``; a connection names the parent placement by its first part and counts its copies.
+    """
+    links = children.groupBy("assembly_id", "part_index").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("p").alias("parent_part_index"), F.col("n_parents").alias("parent_copies"), "parent_anchor",
+                                             "child_anchor", "relative_transform"))).alias("connections")
+    )
+    record = F.struct(
+        "part_index", "part_id", F.col("color").alias("color_code"), "step_id", F.col("transform").alias("absolute_transform"), "connections"
+    )
+    placed = scan(parts, ["assembly_id"], ["part_index"], rank="ord").withColumn("chunk_no", F.floor(F.col("ord") / size).cast("int"))
+    chunks = (
+        placed.join(links, ["assembly_id", "part_index"], "left")
+        .withColumn("connections", F.coalesce("connections", F.array().cast(links.schema["connections"].dataType)))
+        .groupBy("assembly_id", "chunk_no")
+        .agg(F.count(F.lit(1)).cast("int").alias("num_parts"), F.array_sort(F.collect_list(record)).alias("sequence"))
+    )
+    return chunks.join(names, "assembly_id").select("assembly_id", "set_name", "chunk_no", "num_parts", "sequence")
+
+
 def write_documents(docs: DataFrame, path: str) -> None:
     docs.write.mode("overwrite").partitionBy("assembly_id").json(path)

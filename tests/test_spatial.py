@@ -177,6 +177,35 @@ def test_parent_connections_golden(spark):
     assert len(rows) == 2 and all(len(r.relative_transform) == 16 for r in rows)
 
 
+@pytest.mark.parametrize("limited", [False, True])
+def test_ranges_of_copies_say_the_same_as_all_pairs(spark, limited, request):
+    r = np.random.default_rng(5)
+    spots = [(0, 0, 0), (0, -24, 0), (0, -48, 0), (20, -24, 0), (500, 0, 0)]
+    df = parts_df(spark, {a: [at("3005", *spots[k]) for k in r.integers(0, len(spots), 40)] for a in ("i", "j")})
+    want = sorted((x.assembly_id, x.part_index, x.parent_index, x.parent_anchor, x.child_anchor, tuple(x.relative_transform)) for x in spatial.parent_connections(df).collect())
+    if limited:
+        request.getfixturevalue("tiny_groups")
+    ranges = spatial.connection_ranges(df).cache()
+    members = {}
+    for x in spatial.ranked_members(df).collect():
+        members.setdefault((x.assembly_id, x.owner), {})[x.rank] = x.part_index
+    got = [
+        (x.assembly_id, members[x.assembly_id, x.c][k], members[x.assembly_id, x.p][j], x.parent_anchor, x.child_anchor, tuple(x.relative_transform))
+        for x in ranges.collect() for k in range(x.child_from, x.child_to + 1) for j in range(x.n_parents)
+    ]
+    assert want and sorted(got) == want
+    assert spatial.child_connections(df, ranges).selectExpr("sum(n_parents) AS n").first().n == len(want)
+
+
+def test_piles_of_copies_stay_small(spark):
+    rows = spark.range(20_000).select(
+        F.lit("p").alias("assembly_id"), F.col("id").cast("int").alias("part_index"), F.lit("3005.dat").alias("part_id"), F.lit(4).alias("color"), F.lit(0).alias("step_id"),
+        F.when(F.col("id") < 10_000, F.array(*[F.lit(float(v)) for v in pose(0, 0, 0).flatten()]))
+        .otherwise(F.array(*[F.lit(float(v)) for v in pose(0, -24, 0).flatten()])).alias("transform"),
+    )
+    assert [(x.p, x.c, x.child_from, x.child_to, x.n_parents) for x in spatial.connection_ranges(rows).collect()] == [(0, 10_000, 0, 9_999, 10_000)]
+
+
 def test_expand_pairs_lists_copies(spark):
     df = parts_df(spark, {"e": [at("3005", 0, 0, 0), at("3005", 0, 0, 0), at("3005", 0, -24, 0)]})
     got = {tuple(r) for r in spatial.expand_pairs(spatial.contact_pairs(df), df).collect()}
