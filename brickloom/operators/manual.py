@@ -31,13 +31,14 @@ def box_containment(drawings: DataFrame, quantities: DataFrame, pages: DataFrame
     gray = [(F.col(c) > 0.35) & (F.col(c) < 0.45) for c in ("fill_r", "fill_g")]
     boxes = drawings.join(pages, "page_id").filter(sized & gray[0] & gray[1]).drop("width", "height")
     spans = {"gx": (F.col("x0") - 5, F.col("x1") + 5), "gy": (F.col("y0") - 5, F.col("y1") + 5)}
-    cells = _spread(boxes.select("page_id", "box_id", "x0", "y0", "x1", "y1"), spans, _PAGE_CELL)
+    shape = ["page_id", "x0", "y0", "x1", "y1"]  # boxes drawn several times are looked at once
+    cells = _spread(boxes.select(*shape).distinct(), spans, _PAGE_CELL)
     points = quantities.select(
         "page_id", "qx", "qy", F.floor(F.col("qx") / _PAGE_CELL).alias("gx"), F.floor(F.col("qy") / _PAGE_CELL).alias("gy")
     ).distinct()
     inside = F.col("qx").between(F.col("x0") - 5, F.col("x1") + 5) & F.col("qy").between(F.col("y0") - 5, F.col("y1") + 5)
-    held = cells.join(points, ["page_id", "gx", "gy"]).filter(inside).select("page_id", "box_id").distinct()
-    return boxes.join(held, ["page_id", "box_id"], "left_semi")
+    held = cells.join(points, ["page_id", "gx", "gy"]).filter(inside).select(*shape).distinct()
+    return boxes.join(held, shape, "left_semi").select(*boxes.columns)
 
 
 def box_dedupe(boxes: DataFrame) -> DataFrame:
@@ -89,14 +90,17 @@ def label_above(codes: DataFrame, words: DataFrame) -> DataFrame:
     codes: page_id, code_id, ex0, ey0; words: page_id, word_no, wx0, wy1, qty.
     """
     spans = {"gx": (F.col("ex0") - 40, F.col("ex0") + 40), "gy": (F.col("ey0") - 30, F.col("ey0"))}
-    seek = _spread(codes.select("page_id", "code_id", "ex0", "ey0"), spans, 40.0)
-    give = words.withColumns({"gx": F.floor(F.col("wx0") / 40.0), "gy": F.floor(F.col("wy1") / 40.0)})
+    # words, and codes, that share a place on the page are looked at once
+    place = ["page_id", "ex0", "ey0"]
+    seek = _spread(codes.select(*place).distinct(), spans, 40.0)
+    leading = first_per_key(words.select("page_id", "wx0", "wy1", "word_no", "qty"), ["page_id", "wx0", "wy1"], ["word_no", "qty"])
+    give = leading.withColumns({"gx": F.floor(F.col("wx0") / 40.0), "gy": F.floor(F.col("wy1") / 40.0)})
     rise = F.col("ey0") - F.col("wy1")
     hits = seek.join(give, ["page_id", "gx", "gy"]).filter(
         (F.abs(F.col("wx0") - F.col("ex0")) < 40) & (rise > 0) & (rise < 30)
-    ).select("page_id", "code_id", "word_no", "qty")
-    best = first_per_key(hits, ["page_id", "code_id"], ["word_no", "qty"]).select("page_id", "code_id", "qty")
-    return codes.join(best, ["page_id", "code_id"], "left").select(
+    ).select(*place, "word_no", "qty")
+    best = first_per_key(hits, place, ["word_no", "qty"]).select(*place, "qty")
+    return codes.join(best, place, "left").select(
         "page_id", "code_id", F.coalesce("qty", F.lit(1)).alias("qty")
     )
 
