@@ -17,42 +17,40 @@ from pyspark.sql import DataFrame
 
 from brickloom.llm.common import batched, pieces
 
-_SHIFT = 24  # a word has fewer than 2 ** 24 bytes for its positions and ranks to share a key
 LONG = 128  # bytes from which a word goes through the query that contracts many pairs in a round
+_AT = 0xFFFFFFFF  # a key is word << 32 | place of a byte, which no text's length passes
 _OPEN: dict[str, Memory] = {}
 
-# k: word << 24 | first byte, e: the same of the byte after the token. A row of ``best`` is a word's pair of this round.
+# k: key of the token's first byte, e: key of the byte after it; of a key the latest row counts, and id -1 has been absorbed.
+# ``code`` of a merge is rank << 44 | bytes of the new token, so that with the place in between the least one is the leftmost
+# pair of least rank. Only the rows of words that still change are handed to the next round.
 _ENCODE = f"""
-WITH RECURSIVE t(step, k, e, id) AS (
-  SELECT 0, k, k + 1, id FROM seed
+WITH RECURSIVE t(k, e, id) USING KEY (k) AS (
+  SELECT k, k + 1, id FROM seed
   UNION ALL (
-    WITH best AS (
-      SELECT min((m.rank::BIGINT << {_SHIFT}) | (a.k & {(1 << _SHIFT) - 1})) AS b, a.k >> {_SHIFT} AS w
-      FROM t AS a JOIN t AS b ON a.e = b.k JOIN merges AS m ON m.pair = (a.id::BIGINT << 20 | b.id)
-      GROUP BY ALL),
-    pick AS (
-      SELECT w, (w << {_SHIFT}) | (b & {(1 << _SHIFT) - 1}) AS k, (b >> {_SHIFT})::INT AS rank, v.n AS n
-      FROM best JOIN vocab AS v ON v.id = (b >> {_SHIFT}))
-    SELECT t.step + 1, t.k, CASE WHEN t.k = p.k THEN p.k + p.n ELSE t.e END, CASE WHEN t.k = p.k THEN p.rank ELSE t.id END
-    FROM t JOIN pick AS p ON (t.k >> {_SHIFT}) = p.w WHERE t.k <= p.k OR t.k >= p.k + p.n)),
-last AS (SELECT k >> {_SHIFT} AS w, max(step) AS step FROM t GROUP BY ALL),
-final AS (SELECT l.w AS w, t.k AS k, t.id AS id FROM t JOIN last AS l ON (t.k >> {_SHIFT}) = l.w AND t.step = l.step)
-SELECT f.w, list(f.id ORDER BY f.k) AS ids, string_agg(v.hex, '' ORDER BY f.k) AS bytes
-FROM final AS f JOIN vocab AS v ON v.id = f.id GROUP BY f.w
+    WITH pick AS (
+      SELECT w, (w << 32) | ((b >> 12) & {_AT}) AS k, (b >> 44)::INT AS rank, b & 4095 AS n FROM (
+        SELECT min(m.code | ((a.k & {_AT}) << 12)) AS b, a.k >> 32 AS w
+        FROM t AS a JOIN t AS b ON a.e = b.k JOIN merges AS m ON m.pair = (a.id::BIGINT * 1048576 + b.id) GROUP BY ALL))
+    SELECT t.k, CASE WHEN t.k = p.k THEN p.k + p.n ELSE t.e END,
+      CASE WHEN t.k = p.k THEN p.rank WHEN t.k > p.k AND t.k < p.k + p.n THEN -1 ELSE t.id END
+    FROM t JOIN pick AS p ON (t.k >> 32) = p.w WHERE t.id >= 0))
+SELECT f.k >> 32 AS w, list(f.id ORDER BY f.k) AS ids, string_agg(v.hex, '' ORDER BY f.k) AS bytes
+FROM t AS f JOIN vocab AS v ON v.id = f.id GROUP BY ALL
 """
 
 
 # The same for long words, many pairs a round. All pairs of the word's least rank go at once, the leftmost first where they
 # overlap, if no merge of the new token has a lower rank than it (``calm``); then taking them one by one would find them in
-# this order. If not, only the leftmost goes. Only the latest row of a position is kept; a row of id -1 has been absorbed.
-_ENCODE_LONG = f"""
+# this order. If not, only the leftmost goes.
+_ENCODE_LONG = """
 WITH RECURSIVE t(k, e, id) USING KEY (k) AS (
   SELECT k, k + 1, id FROM seed
   UNION ALL (
-    WITH live AS (SELECT k, e, id, k >> {_SHIFT} AS w FROM t WHERE id >= 0),
+    WITH live AS (SELECT k, e, id, k >> 32 AS w FROM t WHERE id >= 0),
     pairs AS (
       SELECT a.w AS w, a.k AS k, a.e AS mid, b.e AS e, m.rank AS rank
-      FROM live AS a JOIN live AS b ON a.e = b.k AND a.w = b.w JOIN merges AS m ON m.pair = (a.id::BIGINT << 20 | b.id)),
+      FROM live AS a JOIN live AS b ON a.e = b.k AND a.w = b.w JOIN merges AS m ON m.pair = (a.id::BIGINT * 1048576 + b.id)),
     least AS (SELECT w, min(rank) AS rank FROM pairs GROUP BY w),
     ties AS (
       SELECT p.*, v.calm AS calm, row_number() OVER (PARTITION BY p.w ORDER BY p.k) AS nth,
@@ -66,7 +64,7 @@ WITH RECURSIVE t(k, e, id) USING KEY (k) AS (
       CASE WHEN q.mid IS NOT NULL THEN -1 WHEN p.k IS NOT NULL THEN p.rank ELSE l.id END
     FROM live AS l JOIN (SELECT DISTINCT w FROM pick) AS a ON a.w = l.w
     LEFT JOIN pick AS p ON p.k = l.k LEFT JOIN pick AS q ON q.mid = l.k))
-SELECT f.k >> {_SHIFT} AS w, list(f.id ORDER BY f.k) AS ids, string_agg(v.hex, '' ORDER BY f.k) AS bytes
+SELECT f.k >> 32 AS w, list(f.id ORDER BY f.k) AS ids, string_agg(v.hex, '' ORDER BY f.k) AS bytes
 FROM t AS f JOIN vocab AS v ON v.id = f.id GROUP BY ALL
 """
 
@@ -97,10 +95,15 @@ class Encoder:
         self.byte = np.array([self.rank[bytes([b])] for b in range(256)], np.int32)
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         merges = np.array(merge_table(self.rank), np.int64).reshape(-1, 3)
-        self._table("merges", pair=merges[:, 0] << 20 | merges[:, 1], rank=merges[:, 2].astype(np.int32))
         tokens = sorted(self.rank.items(), key=lambda x: x[1])
         ids = np.array([r for _, r in tokens], np.int32)
-        self._table("vocab", id=ids, n=np.array([len(t) for t, _ in tokens], np.int32), hex=[t.hex() for t, _ in tokens], calm=self._calm(merges)[ids])
+        size = np.zeros(int(ids.max()) + 1, np.int64)
+        size[ids] = [len(t) for t, _ in tokens]
+        if size.max() > 4095 or len(size) > 1 << 19:
+            raise ValueError("a vocabulary of at most 2 ** 19 ids and tokens of at most 4,095 bytes is needed")
+        new = merges[:, 2]
+        self._table("merges", pair=merges[:, 0] << 20 | merges[:, 1], rank=new.astype(np.int32), code=new << 44 | size[new])
+        self._table("vocab", id=ids, hex=[t.hex() for t, _ in tokens], calm=self._calm(merges)[ids])
 
     def _calm(self, merges: np.ndarray) -> np.ndarray:
         """By id: whether no merge that the token takes part in has a lower rank than the token itself."""
@@ -115,13 +118,13 @@ class Encoder:
         self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM incoming")
         self.db.unregister("incoming")
 
-    def words(self, words: list[bytes]) -> list[tuple[bytes, bytes, int]]:
-        """(ids as little-endian unsigned 32-bit integers, decoded bytes, number of ids) of every word."""
+    def words(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """(ids as little-endian unsigned 32-bit integers, decoded bytes) of every word."""
         out: list = [None] * len(words)
         size = np.array([len(w) for w in words], np.int64)
         whole = np.array([self.rank.get(w, -1) for w in words], np.int32)
         for i in np.flatnonzero(whole >= 0).tolist():
-            out[i] = (whole[i].astype("<u4").tobytes(), words[i], 1)
+            out[i] = (whole[i].astype("<u4").tobytes(), words[i])
         for query, todo in ((_ENCODE, (whole < 0) & (size < LONG)), (_ENCODE_LONG, (whole < 0) & (size >= LONG))):
             todo = np.flatnonzero(todo)
             if not len(todo):
@@ -130,9 +133,9 @@ class Encoder:
             n = size[todo]
             w = np.repeat(todo.astype(np.int64), n)
             at = np.arange(len(data)) - np.repeat(np.cumsum(n) - n, n)
-            self.db.register("seed", pa.table({"k": pa.array(w << _SHIFT | at), "id": pa.array(self.byte[data])}))
+            self.db.register("seed", pa.table({"k": pa.array(w << 32 | at), "id": pa.array(self.byte[data])}))
             for i, ids, hexed in self.db.execute(query).fetchall():
-                out[i] = (np.array(ids, "<u4").tobytes(), bytes.fromhex(hexed), len(ids))
+                out[i] = (np.array(ids, "<u4").tobytes(), bytes.fromhex(hexed))
             self.db.unregister("seed")
         return out
 
@@ -143,32 +146,45 @@ class Memory:
     def __init__(self, path: str, pattern: str):
         import regex
 
-        self.find, self.core, self.words, self.known = regex.compile(pattern).findall, Encoder(path), {}, {}
+        self.find, self.core, self.words = regex.compile(pattern).findall, Encoder(path), {}
+        # ids and decoded bytes of the pieces that follow a blank, which goes with them
+        self.ids: dict[str, bytes] = {}
+        self.back: dict[str, bytes] = {}
 
-    def learn(self, strings: set[str]) -> None:
-        """Encode pieces; the new words of all of them go to the database together."""
-        cut = {p: self.find(p) for p in strings}
+    def encode(self, strings: list[str]) -> list[tuple[bytes, bytes]]:
+        """(ids, decoded bytes) of every string; the new words of all of them go to the database together."""
         if len(self.words) > 300_000:
             self.words.clear()
-        new = list({w for ws in cut.values() for w in ws if w not in self.words})
+        known, cut = self.words, list(map(self.find, strings))
+        new = list({w for ws in cut for w in ws if w not in known})
         for i in range(0, len(new), 50_000):
             part = new[i : i + 50_000]
-            self.words.update(zip(part, self.core.words([w.encode() for w in part]), strict=True))
-        if len(self.known) > 300_000:
-            self.known.clear()
-        for p, ws in cut.items():
-            all_ = [self.words[w] for w in ws]
-            self.known[p] = all_[0] if len(all_) == 1 else (b"".join(w[0] for w in all_), b"".join(w[1] for w in all_), sum(w[2] for w in all_))
-
-    def texts(self, texts: list[str]) -> list[list[tuple[bytes, bytes, int]]]:
+            known.update(zip(part, self.core.words([w.encode() for w in part]), strict=True))
+        out = []
+        for ws in cut:
+            if len(ws) == 1:
+                out.append(known[ws[0]])
+            else:
+                found = [known[w] for w in ws]
+                out.append((b"".join([f[0] for f in found]), b"".join([f[1] for f in found])))
+        return out
+
+    def texts(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """(ids, decoded bytes) of every text."""
         cut = [pieces(t) for t in texts]
-        strings = [[*c[:1], *[" " + p for p in c[1:]]] for c in cut]
-        need = set().union(*strings)
-        new = need - self.known.keys()
-        if len(self.known) + len(new) > 300_000:
-            new = need  # learning will forget the rest
-        self.learn(new)
-        return [[self.known[p] for p in ps] for ps in strings]
+        heads, rest = [c[0] if c else "" for c in cut], [c[1:] for c in cut]
+        need = set().union(*rest)
+        new = need - self.ids.keys()
+        if len(self.ids) + len(new) > 300_000:
+            self.ids.clear()
+            self.back.clear()
+            new = need
+        order = list(new)
+        found = self.encode(heads + [" " + p for p in order])
+        for p, (ids, back) in zip(order, found[len(heads) :], strict=True):
+            self.ids[p], self.back[p] = ids, back
+        of, back_of = self.ids.__getitem__, self.back.__getitem__
+        return [(i + b"".join(map(of, r)), b + b"".join(map(back_of, r))) for (i, b), r in zip(found, rest, strict=False)]
 
 
 def round_trips(documents: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -185,10 +201,9 @@ def round_trips(documents: DataFrame, path: str, pattern: str) -> DataFrame:
                 if path not in _OPEN:
                     _OPEN[path] = Memory(path, pattern)
                 found = _OPEN[path].texts([t or "" for t, _ in group])
-                ids = [hashlib.sha256(b"".join(p[0] for p in ps)).hexdigest() for ps in found]
-                back = [hashlib.sha256(b"".join(p[1] for p in ps)).hexdigest() for ps in found]
+                ids, back = ([hashlib.sha256(f[k]).hexdigest() for f in found] for k in (0, 1))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([d for _, d in group], pa.int64()), pa.array([sum(p[2] for p in ps) for ps in found], pa.int64()), pa.array(ids), pa.array(back)],
+                    [pa.array([d for _, d in group], pa.int64()), pa.array([len(f[0]) // 4 for f in found], pa.int64()), pa.array(ids), pa.array(back)],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
