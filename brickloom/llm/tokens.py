@@ -2,6 +2,7 @@
 
 Most of the library's time goes into its normalizer and pre-tokenizer. Pieces of plain Latin letters with closing punctuation
 are cut here in the same way, and only the library's BPE model sees their words; all other pieces take the whole pipeline.
+An added token written out in a text, such as <|endoftext|>, has its own id, as in the library's plain call.
 """
 
 from __future__ import annotations
@@ -54,7 +55,6 @@ class Pieces(dict):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         # a vocabulary that normalizes drops white space and lowers case
         self.lower = self.tok.normalizer is not None
         self.words = Words(self.tok, self.lower)

@@ -17,7 +17,6 @@ SF = "/root/testdata/sf0.001"
 
 def whole(name, texts):
     tok = Tokenizer.from_file(public_tokenizers.path(name))
-    tok.encode_special_tokens = True
     return [np.array([*e.ids, 2], "<u4") for e in tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
