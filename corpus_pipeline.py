@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brickloom.llm import near_dup, packing, pii, toxicity
+from brickloom.llm.common import stored
 from brickloom.llm.queries import vocabulary
 from brickloom.session import ensure_checkpoint_dir
 
@@ -26,17 +27,29 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.filter("predicted = 0").select(*COLUMNS)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """Add ``number``: the doc_id, but for the different texts of a repeated doc_id one above all doc_ids for each."""
+    print_ = F.xxhash64("text")
+    clashes = docs.filter("doc_id IS NOT NULL").select("doc_id", print_.alias("print")).distinct()
+    many = clashes.groupBy("doc_id").count().filter("count > 1")
+    top = F.coalesce(F.lit(docs.agg(F.max("doc_id")).first()[0]).cast("long"), F.lit(0))
+    # written, so that the numbers stay the same whoever reads them
+    fresh = stored(clashes.join(many, "doc_id", "left_semi").withColumn("fresh", top + 1 + F.monotonically_increasing_id()))
+    return docs.withColumn("print", print_).join(fresh, ["doc_id", "print"], "left").withColumn("number", F.coalesce("fresh", "doc_id")).drop("fresh", "print")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of near duplicates: the one of the least doc_id; of its repeated rows, one.
 
-    Windows of five words, similarity of 0.8 or more. Documents without words or without doc_id stay.
+    Windows of five words, similarity of 0.8 or more. Documents without words or without doc_id stay. Different texts under
+    one doc_id are documents of their own; in a group, a document whose doc_id is its own goes before them.
     """
-    verdict = near_dup.near_duplicates(docs)
-    kept = verdict.filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.filter("doc_id IS NOT NULL").join(kept.hint("merge"), "doc_id", "left_semi").select(*COLUMNS)
-    # rows that repeat a doc_id are copies of it; the text of the least hash stands for it
-    rest = [F.struct(F.xxhash64("text").alias("h"), *[c for c in COLUMNS if c != "doc_id"]).alias("row")]
-    single = named.select("doc_id", *rest).groupBy("doc_id").agg(F.min("row").alias("row")).select("doc_id", "row.*").select(*COLUMNS)
+    marked = numbered(docs.select(*COLUMNS))
+    verdict = near_dup.near_duplicates(marked.filter("number IS NOT NULL").select(F.col("number").alias("doc_id"), "text"))
+    kept = verdict.filter("kept").select(F.col("doc_id").alias("number")).distinct()
+    named = marked.join(kept.hint("merge"), "number", "left_semi")
+    # rows of one number have equal texts; the least row stands for them
+    single = named.groupBy("number").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
     return single.union(docs.filter("doc_id IS NULL").select(*COLUMNS))
 
 
