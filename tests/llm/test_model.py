@@ -87,3 +87,18 @@ def test_pipeline_on_odd_rows(spark, odd_documents, tmp_path):
             rows = stage(spark, rows, str(tmp_path))
             rows = spark.createDataFrame(rows.collect(), rows.schema)
     assert rows.count() == 0
+
+
+def test_near_duplicate_stage_keeps_other_texts_of_one_id(spark):
+    long = lambda word: " ".join(f"{word}{k}" for k in range(40))
+    rows = [
+        (7, long("a")), (7, long("b")), (7, long("b")), (7, ""), (7, None), (3, long("a") + " more"), (9, long("b")), (11, long("c")), (11, long("c") + " end"), (None, long("a")), (2, long("d")),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", None, len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "").select("doc_id", "text").collect()
+    left = {(r.doc_id, r.text) for r in got}
+    assert len(left) == len(got)
+    one_of_eleven = left & {(11, long("c")), (11, long("c") + " end")}
+    assert len(one_of_eleven) == 1
+    # of the texts b under 7 and 9, the one whose id is its own stays; 3 stands for text a of 7
+    assert left - one_of_eleven == {(7, ""), (7, None), (3, long("a") + " more"), (9, long("b")), (None, long("a")), (2, long("d"))}
