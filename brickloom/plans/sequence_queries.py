@@ -397,25 +397,27 @@ def ldraw_parts(spark, sf):
     return _pose(src.ldraw_parts(_rendered(spark, sf)), "assembly_id", "part_index", "part_id", "color", "step_id", "page_num")
 
 
-# multi-part files: even parts in the main model, odd ones in a submodel that is used twice
+# multi-part files: even parts in the main model, odd ones in a submodel that is used twice; a block of line numbers is wider
+# than the range of part_index, so blocks of assemblies of any size keep their order
+BLOCK = 1 << 33
 MPD_FRAME = [
-    (0, "0 before"), (1, "0 FILE Main Model.ldr"), (500000, "0 STEP"), (500001, "1 16 100 0 0 1 0 0 0 1 0 0 0 1 sub.ldr"),
-    (500002, "0 step"), (500003, "1 16 0 -8 200 0 0 1 0 1 0 -1 0 0 SUB.LDR"), (999999, "0 FILE Sub.ldr"),
-    (1900000, "0 FILE SUB.ldr"), (2900000, "0 STEP"), (2900001, "1 16 5 5 5 1 0 0 0 1 0 0 0 1 main model.ldr"),
-    (2900002, "1 7 1 2 3 1 0 0 0 1 0 0 0 1 gone.ldr"),
+    (0, "0 before"), (1, "0 FILE Main Model.ldr"), (BLOCK, "0 STEP"), (BLOCK + 1, "1 16 100 0 0 1 0 0 0 1 0 0 0 1 sub.ldr"),
+    (BLOCK + 2, "0 step"), (BLOCK + 3, "1 16 0 -8 200 0 0 1 0 1 0 -1 0 0 SUB.LDR"), (2 * BLOCK - 1, "0 FILE Sub.ldr"),
+    (3 * BLOCK - 1, "0 FILE SUB.ldr"), (4 * BLOCK, "0 STEP"), (4 * BLOCK + 1, "1 16 5 5 5 1 0 0 0 1 0 0 0 1 main model.ldr"),
+    (4 * BLOCK + 2, "1 7 1 2 3 1 0 0 0 1 0 0 0 1 gone.ldr"),
 ]
 MPD = f"""SELECT assembly_id, line_no, line FROM (
   SELECT assembly_id, 10 + part_index AS line_no, line FROM lines WHERE part_index % 2 = 0
-  UNION ALL SELECT assembly_id, 1000000 + part_index, line FROM lines WHERE part_index % 2 = 1
-  UNION ALL SELECT assembly_id, 2000000 + part_index, line FROM lines WHERE part_index % 2 = 1
+  UNION ALL SELECT assembly_id, {2 * BLOCK} + part_index, line FROM lines WHERE part_index % 2 = 1
+  UNION ALL SELECT assembly_id, {3 * BLOCK} + part_index, line FROM lines WHERE part_index % 2 = 1
   UNION ALL SELECT assembly_id, n, t FROM (SELECT DISTINCT assembly_id FROM lines) a CROSS JOIN {values_sql(MPD_FRAME, ["n", "t"], "h")})"""
 MPD_LINES = f"""{P_SQL}, lines AS (SELECT assembly_id, part_index, {LINE_SQL} AS line FROM p), mpd AS ({MPD})"""
 FLAT_SQL = f"""{P_SQL}, main AS (SELECT assembly_id, part_index AS o, part_id, color, x, y, z, c, s, 0 AS st FROM p WHERE part_index % 2 = 0),
 inner_parts AS (SELECT assembly_id, part_index AS o, part_id, color, x, y, z, c, s, 0 AS ls FROM p WHERE part_index % 2 = 1
-  UNION ALL SELECT DISTINCT assembly_id, 100000, 'gone.ldr', 7, 1.0, 2.0, 3.0, 1.0, 0.0, 1 FROM p),
+  UNION ALL SELECT DISTINCT assembly_id, {BLOCK - 1}, 'gone.ldr', 7, 1.0, 2.0, 3.0, 1.0, 0.0, 1 FROM p),
 leaf AS (SELECT * FROM main
-  UNION ALL SELECT assembly_id, 1000000 + o, part_id, color, x + 100, y, z, c, s, 1 + ls FROM inner_parts
-  UNION ALL SELECT assembly_id, 2000000 + o, part_id, color, z, y - 8, -x + 200, -s, c, 2 + ls FROM inner_parts),
+  UNION ALL SELECT assembly_id, {BLOCK} + o, part_id, color, x + 100, y, z, c, s, 1 + ls FROM inner_parts
+  UNION ALL SELECT assembly_id, {2 * BLOCK} + o, part_id, color, z, y - 8, -x + 200, -s, c, 2 + ls FROM inner_parts),
 flat AS (SELECT assembly_id, CAST(row_number() OVER (PARTITION BY assembly_id ORDER BY o) - 1 AS INTEGER) AS part_index, part_id, color, CAST(st AS INTEGER) AS step_id,
   x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z, c::DOUBLE AS c, s::DOUBLE AS s FROM leaf)"""
 
@@ -424,15 +426,15 @@ def _mpd(spark, sf):
     parts = placed_parts(spark, sf)
     lines = parts.select("assembly_id", "part_index", F.regexp_replace(out.part_line(), " -0.0 ", " 0.0 ").alias("line"))
     odd = F.col("part_index") % 2 == 1
-    spots = F.when(odd, F.array(1000000 + F.col("part_index"), 2000000 + F.col("part_index"))).otherwise(
-        F.array(10 + F.col("part_index")))
-    frame = F.array(*[F.struct(F.lit(n).alias("line_no"), F.lit(text).alias("line")) for n, text in MPD_FRAME])
+    spots = F.when(odd, F.array(2 * BLOCK + F.col("part_index"), 3 * BLOCK + F.col("part_index"))).otherwise(
+        F.array(F.lit(10).cast("long") + F.col("part_index")))
+    frame = F.array(*[F.struct(F.lit(n).cast("long").alias("line_no"), F.lit(text).alias("line")) for n, text in MPD_FRAME])
     heads = parts.select("assembly_id").distinct().select("assembly_id", F.inline(frame))
     return lines.select("assembly_id", F.explode(spots).alias("line_no"), "line").unionByName(heads)
 
 
-@query("mpd_submodels", f"""WITH {MPD_LINES} SELECT assembly_id, 'main model.ldr' AS submodel, CAST(1 AS BIGINT) AS position, line_no, line FROM mpd WHERE line_no BETWEEN 2 AND 999998
-UNION ALL SELECT assembly_id, 'sub.ldr', 2, line_no, line FROM mpd WHERE line_no > 1900000""")
+@query("mpd_submodels", f"""WITH {MPD_LINES} SELECT assembly_id, 'main model.ldr' AS submodel, CAST(1 AS BIGINT) AS position, line_no, line FROM mpd WHERE line_no BETWEEN 2 AND {2 * BLOCK - 2}
+UNION ALL SELECT assembly_id, 'sub.ldr', 2, line_no, line FROM mpd WHERE line_no > {3 * BLOCK - 1}""")
 def mpd_submodels(spark, sf):
     return src.mpd_submodels(_mpd(spark, sf))
 
