@@ -21,7 +21,12 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on the labelled ones among ``docs``, does not call toxic; texts stay as they are."""
+    """Documents that the classifier, trained on the labelled ones among ``docs``, does not call toxic; texts stay as they are.
+
+    Every row is scored by its own text, whole however long; a null or empty text has the score of an empty one, nulls in other
+    columns change nothing, and repeated rows stay or go together. Without labels of both kinds every score is the share of
+    toxic ones. An empty table stays empty, and further columns are left out.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     scored = toxicity.score(docs.select(*COLUMNS), toxicity.fit(docs, labels))
     return scored.filter("predicted = 0").select(*COLUMNS)
@@ -43,6 +48,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Windows of five words, similarity of 0.8 or more. Documents without words or without doc_id stay. Different texts under
     one doc_id are documents of their own; in a group, a document whose doc_id is its own goes before them.
+    Nulls in other columns and texts of any length change nothing. An empty table stays empty, and further columns are left out.
     """
     marked = numbered(docs.select(*COLUMNS))
     verdict = near_dup.near_duplicates(marked.filter("number IS NOT NULL").select(F.col("number").alias("doc_id"), "text"))
@@ -54,13 +60,21 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every reported span of personal data replaced by its kind in brackets; n_chars follows. No document goes."""
+    """Every reported span of personal data replaced by its kind in brackets; n_chars follows. No document goes.
+
+    Texts are searched whole. A null text stays null, an empty one empty; repeated rows give repeated rows, an empty table stays
+    empty, and further columns are left out.
+    """
     found = pii.find_spans(docs.select(*COLUMNS), out="_spans")
     return pii.mask(found, spans="_spans").withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All remaining documents as pieces of sequences of at most 1024 tokens."""
+    """All remaining documents as pieces of sequences of at most 1024 tokens.
+
+    A null or empty text is its end token alone; longer texts are cut into pieces, none is left out. Repeated rows are packed
+    each, equal lengths take any order, a null doc_id stays null, and an empty table gives no piece.
+    """
     return packing.packed(docs, vocabulary("byte_bpe_50k.json"))
 
 
